@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, topk, urls
+from . import langid, mixing, packing, sharding, tokencount, topk, urls
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_sharding": lambda spark, sf: sharding.shard_digest(table(spark, sf, "documents")),
+        "op5_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
         "op6_url_filters": lambda spark, sf: urls.url_digest(table(spark, sf, "pages")),
+        "op7_language_id": lambda spark, sf: langid.lang_digest(table(spark, sf, "documents")),
         "op8_exact_top_k": lambda spark, sf: topk.top_k(table(spark, sf, "embeddings")),
+        "op9_token_counts": lambda spark, sf: tokencount.token_digest(table(spark, sf, "documents")),
         "op10_mixing": lambda spark, sf: mixing.mix_digest(table(spark, sf, "documents")),
     }
 
