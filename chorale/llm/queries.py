@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, sharding, tokencount, topk, urls
+from . import langid, mixing, packing, quality, sharding, tokencount, topk, urls
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_sharding": lambda spark, sf: sharding.shard_digest(table(spark, sf, "documents")),
+        "op3_quality_rules": lambda spark, sf: quality.quality_digest(table(spark, sf, "documents")),
         "op5_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
         "op6_url_filters": lambda spark, sf: urls.url_digest(table(spark, sf, "pages")),
         "op7_language_id": lambda spark, sf: langid.lang_digest(table(spark, sf, "documents")),
