@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the cluster's shared checkpoint folder and cut its lineage there."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own if unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        own = context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='chorale-')}"
-        context.setCheckpointDir(own)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='chorale-')}")
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

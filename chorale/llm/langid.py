@@ -154,3 +154,12 @@ def identify(docs: DataFrame, model: dict | None = None, text: str = "text", lan
 def lang_digest(docs: DataFrame) -> DataFrame:
     thin = docs.select("doc_id", "text", "lang")
     return identify(thin).select("doc_id", (id_remainder("doc_id", FOLDS) == 0).alias("held_out"), "lang_pred", "score")
+
+
+#: Smallest score of a document that the pipeline keeps.
+LEAST_SCORE = 0.3
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is determined, with their columns; ``lang`` is only learned from."""
+    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def _scores(depth: int, buckets: int, end_count: int):
                 tokens[first:last] = np.bincount(s.word_text, minlength=n)
                 known[first:last] = np.bincount(s.word_text, count > 0, n)
                 logs[first:last] = np.bincount(s.word_text, LOG10(count + 0.1), n)
-        columns = (left["doc_id"], ~train, tokens + 1, known + (end_count > 0), logs + LOG10(end_count + 0.1), score, pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+        columns = (left["doc_id"], ~train, tokens + 1, known + (end_count > 0), logs + LOG10(end_count + 0.1), score, pc.fill_null(pc.binary_length(texts), 0))
         types = _schema(_SCORED).types
         return pa.table([c.cast(t) if isinstance(c, (pa.ChunkedArray, pa.Array)) else pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types)], schema=_schema(_SCORED))
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, lmscore, mixing, packing, quality, sharding, tokencount, topk, urls
+from . import langid, lmscore, mixing, neardup, packing, quality, sharding, tokencount, topk, urls
 from .common import table
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_sharding": lambda spark, sf: sharding.shard_digest(table(spark, sf, "documents")),
         "op2_lm_scoring": lambda spark, sf: lmscore.score_documents(table(spark, sf, "documents")),
         "op3_quality_rules": lambda spark, sf: quality.quality_digest(table(spark, sf, "documents")),
+        "op4_ngram_jaccard_join": lambda spark, sf: neardup.neardup_digest(table(spark, sf, "documents")),
         "op5_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
         "op6_url_filters": lambda spark, sf: urls.url_digest(table(spark, sf, "pages")),
         "op7_language_id": lambda spark, sf: langid.lang_digest(table(spark, sf, "documents")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -27,7 +28,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def slices(texts: pa.Array, size: int = 1 << 21):
     """Runs of consecutive texts, (first, last), of about ``size`` bytes each; a longer text is a run of its own."""
     first, total = 0, 0
-    lengths = pa.compute.binary_length(texts).to_pylist() if len(texts) else []
+    lengths = pc.binary_length(texts).to_pylist() if len(texts) else []
     for i, n in enumerate(lengths):
         if total and total + (n or 0) > size:
             yield first, i
