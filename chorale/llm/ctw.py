@@ -23,16 +23,12 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for positive x, by Stirling's series after a shift by 8."""
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift = shift * (x + k) if k else x.copy()
-    y = x + 8
-    big = x > 1e30
-    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    with np.errstate(over="ignore"):
-        low = np.log(x) + sum(np.log(x + k) for k in range(1, 8)) if not big.any() else np.zeros_like(x)
-    return series - low
+    """Logarithm of the gamma function for positive x (up to 1e30), by Stirling's series after a shift by 8."""
+    y, product = x + 8, x.copy()
+    for k in range(1, 8):
+        product = product * (x + k)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

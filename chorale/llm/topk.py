@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 LEVELS = (1, 4, 16)
 #: Rows of a block of queries or candidates.
 BLOCK = 2048
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, query_key long, vec_id long, score long"
 
 
 def _stats(m: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +34,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+def search_block(queries: np.ndarray, query_ids: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of this block for each query, ties to the smaller id. Matrices hold integers."""
     exact = np.float64 if vectors.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < 2**53 else object
     q, v = queries.astype(np.float64), vectors.astype(np.float64)
@@ -59,8 +59,12 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         alive = np.union1d(alive, first)
         scores = ve[alive] @ qe[i]
         best = _best(ids[alive], scores, k)
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[alive][best], "score": scores[best].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        out.append(pd.DataFrame({"query_id": own, "query_key": query_keys[i], "vec_id": ids[alive][best], "score": scores[best].astype(np.int64)}))
+    return pd.concat(out) if out else _nothing()
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def clean_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -76,26 +80,27 @@ def clean_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
 def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its ``k`` best other rows.
 
-    Only vectors of equal length are compared. Rows with the query's own id are no candidates; repeated rows count each.
+    Only vectors of equal length are compared. Rows with the query's own id are no candidates; repeated rows are
+    candidates each, but ask once; rows that share an id and not the vector ask each.
     Every candidate block meets every query block once, in a task of its own; only k rows per query leave a task.
     """
     vectors = clean_vectors(df, vec_id, vector)
     total = vectors.count()
     blocks, query_blocks = max(1, -(-total // block)), max(1, -(-total // (every * block)))
     spread = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40))
-    queries = vectors.where(F.col("id") % every == 0).withColumn("qb", (spread % query_blocks).cast("int"))
+    queries = vectors.where(F.col("id") % every == 0).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"]).withColumn("qb", (spread % query_blocks).cast("int"))
     queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = vectors.withColumn("cb", (spread % blocks).cast("int"))
     candidates = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return search_block(np.stack(left["v"]), left["id"].to_numpy(), np.stack(right["v"]), right["id"].to_numpy(), k)
+            return _nothing()
+        return search_block(np.stack(left["v"]), left["id"].to_numpy(), left["key"].to_numpy(), np.stack(right["v"]), right["id"].to_numpy(), k)
 
     keys = ["dim", "qb", "cb"]
     found = queries.groupBy(keys).cogroup(candidates.groupBy(keys)).applyInPandas(meet, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
