@@ -68,45 +68,60 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 class Scorer:
-    """Scores texts with a model; pieces between spaces repeat, so their scores are cached."""
+    """Scores texts with a model. Pieces between spaces repeat, so each keeps a row with the sum of its words' scores
+    and, last, their number; the rows of a text's new pieces are computed together."""
 
     def __init__(self, model: dict):
-        self.langs, self.tables = model["langs"], model["tables"]
-        self.size = len(self.langs)
+        self.langs = model["langs"]
+        self.size, at = len(self.langs), 0
+        self.index: list[dict[str, int]] = []
+        for t in model["tables"]:
+            self.index.append({g: at + i for i, g in enumerate(t)})
+            at += len(t)
+        found = [np.stack(list(t.values())) for t in model["tables"] if t]
+        self.scores = np.concatenate([*found, np.zeros((1, self.size), np.float32)]).astype(np.float32)
+        self.none = len(self.scores) - 1  # the row of a word of which nothing is known
         scorer = self
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> int:
                 self[piece] = row = len(self)
-                if row == len(scorer.rows):
-                    scorer.rows = np.concatenate([scorer.rows, np.zeros_like(scorer.rows)])
-                scorer.rows[row] = scorer.piece(piece)
+                scorer.pending.append([scorer.word(w) for w in _RUN.findall(piece.lower())])
                 return row
 
-        self.pieces = Pieces()
+        self.pieces, self.pending = Pieces(), []
         self.rows = np.zeros((4096, self.size + 1), np.float32)
 
-    def word(self, word: str) -> np.ndarray | None:
-        known = self.tables[0].get(word)
+    def word(self, word: str) -> list[int]:
+        """Rows of the model whose mean scores the word."""
+        known = self.index[0].get(word)
         if known is not None:
-            return known
+            return [known]
         padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            table = self.tables[n]
+            table = self.index[n]
             found = [s for i in range(len(padded) - n + 1) if (s := table.get(padded[i : i + n])) is not None]
             if found:
-                return sum(found) / len(found)
-        return None
-
-    def piece(self, piece: str) -> np.ndarray:
-        """Sum of the words' scores and, last, the number of words."""
-        out = np.zeros(self.size + 1, np.float32)
-        for word in _RUN.findall(piece.lower()):
-            out[-1] += 1
-            scores = self.word(word)
-            if scores is not None:
-                out[:-1] += scores
-        return out
+                return found
+        return [self.none]
+
+    def _settle(self) -> None:
+        """Rows of the pieces that were new."""
+        last = len(self.pieces)
+        first = last - len(self.pending)
+        while last > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        new = self.rows[first:last]
+        new[:] = 0
+        words = [w for piece in self.pending for w in piece]
+        if words:
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            starts = np.cumsum(sizes) - sizes
+            means = np.add.reduceat(self.scores[np.fromiter((i for w in words for i in w), np.int64, int(sizes.sum()))], starts, axis=0) / sizes[:, None]
+            piece = np.repeat(np.arange(last - first), [len(p) for p in self.pending])
+            np.add.at(new[:, :-1], piece, means)
+            new[:, -1] = np.bincount(piece, minlength=last - first)
+        self.pending = []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
@@ -115,6 +130,8 @@ class Scorer:
             self.pieces.clear()
         parts = text.split()
         rows = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        if self.pending:
+            self._settle()
         total = self.rows[rows].sum(axis=0, dtype=np.float64)
         if not total[-1] and not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
