@@ -261,8 +261,10 @@ def test_components_equal_brute_force(docs, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.neardup_digest(docs).collect()} == expected
 
 
-def test_components_of_chains_and_sizes(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 5])
+def test_components_of_chains_and_sizes(spark, monkeypatch, block):
     """Copies with one to many changed words around the threshold, in many sizes, and one large family."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     random.seed(11)
     texts, n = {}, 0
     for size in [5, 6, 7, 9, 10, 13, 14, 20, 21, 33, 49, 50, 76, 120] + [60] * 3:
