@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, sized_join
+from .common import fresh, id_text, let, sized_join
 
 #: A source's default target weight is its size to this power: small sources are raised, large ones lowered.
 TEMPERATURE = 0.5
@@ -28,13 +28,18 @@ def uniform(*parts: Column) -> Column:
 
 def poisson_quantile(u: Column, mean: Column) -> Column:
     """The least n whose cumulative Poisson probability exceeds ``u``."""
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
 
-    def step(s, k):
-        term = s["term"] * mean / k
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), (s["n"] + F.when(u >= s["sum"], 1).otherwise(0)).alias("n"))
+    def invert(given: Column) -> Column:  # the number and the mean are computed once, not at every term
+        u, mean = given["u"], given["mean"]
+        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["n"])
+        def step(s, k):
+            term = s["term"] * mean / k
+            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), (s["n"] + F.when(u >= s["sum"], 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["n"])
+
+    return let(F.struct(u.alias("u"), mean.alias("mean")), invert)
 
 
 def repetition_rates(docs: DataFrame, weights: dict | None = None, source: str = "source", text: str = "text", epochs: float = 1.0) -> DataFrame:

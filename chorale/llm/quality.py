@@ -8,12 +8,10 @@ every rule. Everything is DataFrame expressions; the estimation is one fold over
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, let
 
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,11 +26,6 @@ GOOD_RANGE, BAD_RANGE = (0.999, 0.9999), (0.1, 0.99)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words, whole text, in order; none for null."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
