@@ -150,10 +150,6 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
 
 
-def with_stats(docs: DataFrame, text: str, column: str) -> DataFrame:
-    return docs.withColumn(column, text_stats(F.col(text)))
-
-
 def _kept(s: Column, model: Column | None) -> Column:
     good = posterior(votes(s), model) if model is not None else F.lit(1.0)
     return ~base_failed(s) & (good >= LEAST)
@@ -164,11 +160,11 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A document with fewer than 10 words, or with over a fifth of its words in repeated 5-word windows, goes; so does a
     null or empty text, and any whose posterior is below LEAST. Repeated rows share a fate; an empty table stays empty.
-    The statistics are computed twice, for the estimate and for the verdict: that costs less than storing the texts.
+    The rows are stored with their statistics, as a filter on computed columns would compute them anew at each use.
     """
     (s,) = fresh(docs, "_stats")
-    model = fit(docs.select(text_stats(F.col(text)).alias(s)), s)
-    return with_stats(docs, text, s).where(_kept(F.col(s), model)).select(*docs.columns)
+    staged = durable(docs.withColumn(s, text_stats(F.col(text))))
+    return staged.where(_kept(F.col(s), fit(staged, s))).select(*docs.columns)
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
