@@ -12,7 +12,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, id_remainder
@@ -40,9 +40,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     sample = labelled.where((F.pmod("h", F.lit(1 << 30)) < kept) & F.col("l").isin(langs))
     words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c")).withColumn("n", F.lit(0))
     padded = F.concat(F.lit(" "), "g", F.lit(" "))
+
+    def parts(n: int) -> Column:
+        """All n-grams of a padded word; the function given to transform has one argument, as a second would be the index."""
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+
     grams = [
-        words.select("l", "c", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).alias("g"))
-        .where(F.length("g") == n).groupBy("l", "g").agg(F.sum("c").alias("c")).withColumn("n", F.lit(n))
+        words.select("l", "c", F.explode(parts(n)).alias("g")).where(F.length("g") == n).groupBy("l", "g").agg(F.sum("c").alias("c")).withColumn("n", F.lit(n))
         for n in range(1, LONGEST + 1)
     ]
     every = words.select("l", "n", "g", "c")
