@@ -64,11 +64,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         counts[r["n"]].setdefault(r["g"], {})[at[r["l"]]] = r["c"]
         totals[r["n"], at[r["l"]]] = r["total"]
     for n, grams_ in enumerate(counts):
+        # One floor for all languages: else a language of few documents would win by what none of them holds.
+        floor = 0.5 / (totals[n].max(initial=0) + 0.5 * len(grams_) + 1)
         for g, by in grams_.items():
-            row = np.full(len(langs), 0.5)
+            row = np.full(len(langs), floor)
             for i, c in by.items():
-                row[i] += c
-            tables[n][g] = np.log(row / (totals[n] + 0.5 * len(grams_))).astype(np.float32)
+                row[i] += c / totals[n, i]
+            tables[n][g] = np.log(row).astype(np.float32)
     return {"langs": langs, "tables": tables}
 
 

@@ -101,6 +101,19 @@ def test_language_of_odd_rows(docs):
     assert got[4] == got[5] and got[6][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_language_model_knows_every_ngram(docs):
+    tables = langid.fit(docs)["tables"]
+    words = {w for r in ROWS if r[0] in (4, 8) for w in r[1].split()}
+    for n in range(1, langid.LONGEST + 1):
+        assert set(tables[n]) == {p[i : i + n] for w in words for p in [f" {w} "] for i in range(len(p) - n + 1)}
+
+
+def test_language_of_few_documents_wins_nothing_unseen(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran off", "en") for i in range(50)] + [(i, "hund", "de") for i in range(50, 53)] + [(100, "the dog sat wandering thereupon", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id = 100").first()
+    assert got["lang_pred"] == "en"
+
+
 def test_quality_of_odd_rows(docs):
     got = {r["doc_id"]: r for r in quality.quality_digest(docs).collect()}
     assert got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
