@@ -20,9 +20,13 @@ WINDOW = 5
 ROUNDS = 25
 #: Smallest posterior probability of a kept document.
 LEAST = 0.5
-#: The rules' bad votes are meant to be rare on good documents, and each rule knows only some kinds of bad ones; the
-#: estimated probabilities of a right vote stay in these ranges, which also keeps the two classes from changing places.
-GOOD_RANGE, BAD_RANGE = (0.999, 0.9999), (0.1, 0.99)
+#: The estimated probabilities of a right vote on good and on bad documents, and the share of good ones, stay in these
+#: ranges, which only keep the logarithms finite and a rule no worse than chance on good documents.
+GOOD_RANGE, BAD_RANGE, SHARE_RANGE = (0.5, 0.9999), (0.01, 0.99), (0.01, 0.99)
+#: An erring rule votes bad where the others do at least as often as elsewhere. One that does so under this part as often
+#: as by chance knows a kind of bad document of its own, on which the others' votes say nothing about it: such a rule is
+#: taken at its word, with these least probabilities of a right vote.
+APART, TRUSTED_GOOD, TRUSTED_BAD = 0.5, 0.999, 0.1
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts")
 
 
@@ -107,22 +111,37 @@ def _estimate(patterns: Column) -> Column:
     """EM over array<struct<v array<int>, c double>>: struct of the share of good documents and, for each rule, the
     probability that a vote on a good document is good and that one on a bad document is bad."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    bounded = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    bounded = lambda x, low, high: F.greatest(low, F.least(F.lit(high), x))
+    rules = F.sequence(F.lit(0), F.lit(RULES - 1))
 
-    def maximise(q: Column) -> Column:
+    def count(condition) -> Column:
+        return total(F.transform(patterns, lambda p: F.when(condition(p["v"]), p["c"]).otherwise(0.0)))
+
+    def apart(r: Column) -> Column:
+        own = lambda v: F.get(v, r) == -1
+        others = lambda v: F.size(F.filter(v, lambda x: x == -1)) > own(v).cast("int")
+        return count(lambda v: own(v) & others(v)) * count(lambda v: F.lit(True)) < APART * count(own) * count(others)
+
+    def maximise(q: Column, trusted: Column) -> Column:
         def right(vote: int, good: bool) -> Column:
-            weight, (low, high) = (lambda p, x: p["c"] * (x if good else 1 - x)), (GOOD_RANGE if good else BAD_RANGE)
+            weight, (least, high) = (lambda p, x: p["c"] * (x if good else 1 - x)), (GOOD_RANGE if good else BAD_RANGE)
+            low = lambda r: F.when(F.get(trusted, r), TRUSTED_GOOD if good else TRUSTED_BAD).otherwise(least)
             one = lambda r: bounded(
                 (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) == vote, weight(p, x)).otherwise(0.0))) + 1)
-                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + 2), low, high)
-            return F.transform(F.sequence(F.lit(0), F.lit(RULES - 1)), one)
+                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + 2), low(r), high)
+            return F.transform(rules, one)
 
         share = total(F.zip_with(patterns, q, lambda p, x: p["c"] * x)) / total(F.transform(patterns, lambda p: p["c"]))
-        return F.struct(bounded(share, 0.5, 0.95).alias("share"), right(1, True).alias("good"), right(-1, False).alias("bad"))
+        return F.struct(bounded(share, F.lit(SHARE_RANGE[0]), SHARE_RANGE[1]).alias("share"), right(1, True).alias("good"), right(-1, False).alias("bad"))
 
     first = F.transform(patterns, lambda p: F.when(F.array_contains(p["v"], -1), 0.1).otherwise(0.9))
-    improve = lambda s, _: let(F.transform(patterns, lambda p: posterior(p["v"], s)), maximise)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), let(first, maximise), improve)
+
+    def settle(trusted: Column) -> Column:
+        step = lambda q: let(q, lambda x: maximise(x, trusted))
+        improve = lambda s, _: step(F.transform(patterns, lambda p: posterior(p["v"], s)))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), step(first), improve)
+
+    return let(F.transform(rules, apart), settle)
 
 
 def posterior(vote: Column, model: Column) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chorale.llm import ctw, langid, lmscore, neardup, packing, quality, tokencount, topk, wordbytes
 from chorale.llm.components import connected_components
@@ -224,6 +225,21 @@ def test_estimation_equals_numpy(spark):
     assert math.isclose(m["share"], share, rel_tol=1e-9) and np.allclose(m["good"], good) and np.allclose(m["bad"], bad)
 
 
+@pytest.mark.parametrize("noisy, good_share", [(0, 0.9), (3, 0.9), (0, 0.4)])
+def test_noisy_rule_is_found_out(spark, noisy, good_share):
+    rng = np.random.default_rng(5)
+    good = rng.random(20_000) < good_share
+    wrong = np.where(np.arange(quality.RULES) == noisy, 0.05, 0.0005)
+    v = np.where(rng.random((len(good), quality.RULES)) < np.where(good[:, None], wrong, 0.6), -1, 1)
+    found, at = np.unique(v, axis=0, return_inverse=True)
+    planted, all_ = np.bincount(at.ravel(), good), np.bincount(at.ravel())
+    df = spark.createDataFrame([([(x.tolist(), float(c)) for x, c in zip(found, all_)],)], "p array<struct<v:array<int>,c:double>>")
+    posteriors = df.select(quality._estimate(df["p"]).alias("m"), "p").select(F.transform("p", lambda p: quality.posterior(p["v"], F.col("m"))), "m.good", "m.share").first()
+    kept = np.array(posteriors[0]) >= quality.LEAST
+    assert planted[kept].sum() >= 0.99 * planted.sum() and (all_ - planted)[kept].sum() <= 0.05 * (all_ - planted).sum()
+    assert abs(posteriors["good"][noisy] - 0.95) < 0.01 and abs(posteriors["share"] - good_share) < 0.02
+
+
 def test_junk_goes_and_clean_stays(spark, docs):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     rows = [r for r in quality.quality_digest(docs).collect() if r["doc_id"] in labels and not r["base_failed"]]
