@@ -1,8 +1,8 @@
 """Language identification by words first, then by ever shorter character n-grams.
 
 A known word scores its log frequency in each language. An unseen word falls back to its known 4-grams, else to its
-3-grams, 2-grams and single characters. The model is fitted on a bounded sample of labelled documents and keeps a
-bounded number of words and n-grams per language, so its size does not depend on the corpus.
+3-grams, 2-grams and single characters. The model is fitted on a bounded sample of each language's labelled documents
+and keeps a bounded number of words and n-grams per language, so its size depends on the number of languages only.
 """
 
 from __future__ import annotations
@@ -12,32 +12,38 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, id_remainder
 
-#: The sample of labelled documents is expected to hold no more rows than this.
+#: Of each language, all labelled documents are learned from up to so many, and of more a sample expected to hold so many.
 SAMPLE_DOCS = 8_000
-#: Words and, for each length, n-grams kept per language; the most frequent languages are kept.
-WORDS, GRAMS, LANGUAGES = 10_000, 4_000, 64
+#: Words and, for each length, n-grams kept per language. All languages are kept; labels of more than LANGUAGES are refused.
+WORDS, GRAMS, LANGUAGES = 10_000, 4_000, 512
 LONGEST = 4
 UNDETERMINED = "und"
 #: Of every FOLDS documents by their ids' crc32, one is held out.
 FOLDS = 5
-CACHE = 200_000
+#: Pieces, and numbers in their rows, that a task remembers.
+CACHE, CACHE_CELLS = 200_000, 1 << 26
 
 _RUN = re.compile(r"[^\W\d_]+")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Model from the training documents: ``langs`` and for n = 0 (words) to LONGEST a dict of log frequencies."""
+    """Model from the training documents: ``langs``, and for n = 0 (words) to LONGEST a dict of rows. Row i has the entries
+    from ``starts[i]`` to ``starts[i + 1]``: languages ``at``, and how far their log frequency is above the floor, ``gain``."""
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (id_remainder(doc_id, FOLDS) != 0))
-    labelled = labelled.select(F.col(lang).alias("l"), F.lower(F.col(text)).alias("t"), F.xxhash64(F.col(doc_id), F.length(text)).alias("h"))
-    langs = [r["l"] for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    count = labelled.count()
-    kept = int(min(1.0, sample_docs / max(count, 1)) * (1 << 30))
-    sample = labelled.where((F.pmod("h", F.lit(1 << 30)) < kept) & F.col("l").isin(langs))
+    labelled = labelled.select(F.col(lang).alias("l"), F.lower(F.col(text)).alias("t"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)).alias("h"))
+    counted = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"the documents are labelled with more than {LANGUAGES} languages")
+    langs = [r["l"] for r in counted]
+    # Up to its least hash at least, so that no language is missed by the sample.
+    rates = [(r["l"], max(int(min(1.0, sample_docs / r["n"]) * (1 << 30)), r["h"] + 1)) for r in counted]
+    sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, below long")), "l").where("h < below")
     words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c")).withColumn("n", F.lit(0))
     padded = F.concat(F.lit(" "), "g", F.lit(" "))
 
@@ -55,23 +61,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         every = every.unionByName(g.select("l", "n", "g", "c"))
     part = Window.partitionBy("l", "n")
     ranked = every.withColumn("total", F.sum("c").over(part)).withColumn("rank", F.row_number().over(part.orderBy(F.desc("c"), "g")))
-    rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).collect()
-    at = {name: i for i, name in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    totals = np.zeros((LONGEST + 1, len(langs)))
-    counts: list[dict[str, dict[int, int]]] = [{} for _ in range(LONGEST + 1)]
-    for r in rows:
-        counts[r["n"]].setdefault(r["g"], {})[at[r["l"]]] = r["c"]
-        totals[r["n"], at[r["l"]]] = r["total"]
-    for n, grams_ in enumerate(counts):
+    rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("l", "n", "g", "c", "total").toArrow()
+    of = lambda found, name: found[name].to_numpy()
+    tables, sizes, at, gain, first = [], [], [], [], 0
+    for n in range(LONGEST + 1):
+        found = rows.filter(pc.equal(rows["n"], n))
+        grams_ = found["g"].combine_chunks().dictionary_encode()
+        row, names = grams_.indices.to_numpy(), grams_.dictionary.to_pylist()
+        order = np.argsort(row, kind="stable")
         # One floor for all languages: else a language of few documents would win by what none of them holds.
-        floor = 0.5 / (totals[n].max(initial=0) + 0.5 * len(grams_) + 1)
-        for g, by in grams_.items():
-            row = np.full(len(langs), floor)
-            for i, c in by.items():
-                row[i] += c / totals[n, i]
-            tables[n][g] = np.log(row).astype(np.float32)
-    return {"langs": langs, "tables": tables}
+        floor = 0.5 / (of(found, "total").max(initial=0) + 0.5 * len(names) + 1)
+        tables.append({g: first + i for i, g in enumerate(names)})
+        sizes.append(np.bincount(row, minlength=len(names)))
+        at.append(pc.index_in(found["l"], pa.array(langs, pa.string())).to_numpy()[order])
+        gain.append(np.log1p(of(found, "c") / of(found, "total") / floor).astype(np.float32)[order])
+        first += len(names)
+    return {"langs": langs, "tables": tables, "starts": np.concatenate([[0], *sizes]).cumsum(), "at": np.concatenate(at), "gain": np.concatenate(gain)}
 
 
 class Scorer:
@@ -79,15 +84,11 @@ class Scorer:
     and, last, their number; the rows of a text's new pieces are computed together."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.size, at = len(self.langs), 0
-        self.index: list[dict[str, int]] = []
-        for t in model["tables"]:
-            self.index.append({g: at + i for i, g in enumerate(t)})
-            at += len(t)
-        found = [np.stack(list(t.values())) for t in model["tables"] if t]
-        self.scores = np.concatenate([*found, np.zeros((1, self.size), np.float32)]).astype(np.float32)
-        self.none = len(self.scores) - 1  # the row of a word of which nothing is known
+        self.langs, self.index = model["langs"], model["tables"]
+        self.size = len(self.langs)
+        self.starts, self.at, self.gain = np.append(model["starts"], model["starts"][-1]), model["at"], model["gain"]
+        self.none = len(self.starts) - 2  # the row of a word of which nothing is known
+        self.limit = min(CACHE, CACHE_CELLS // (self.size + 1))
         scorer = self
 
         class Pieces(dict):
@@ -123,17 +124,19 @@ class Scorer:
         words = [w for piece in self.pending for w in piece]
         if words:
             sizes = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.cumsum(sizes) - sizes
-            means = np.add.reduceat(self.scores[np.fromiter((i for w in words for i in w), np.int64, int(sizes.sum()))], starts, axis=0) / sizes[:, None]
+            row = np.fromiter((i for w in words for i in w), np.int64, int(sizes.sum()))
             piece = np.repeat(np.arange(last - first), [len(p) for p in self.pending])
-            np.add.at(new[:, :-1], piece, means)
+            many = self.starts[row + 1] - self.starts[row]
+            entry = np.arange(many.sum()) + np.repeat(self.starts[row] - (np.cumsum(many) - many), many)
+            share = np.repeat(np.repeat(1 / sizes, sizes), many)
+            np.add.at(new, (np.repeat(np.repeat(piece, sizes), many), self.at[entry]), (self.gain[entry] * share).astype(np.float32))
             new[:, -1] = np.bincount(piece, minlength=last - first)
         self.pending = []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNDETERMINED, 0.0
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > self.limit:
             self.pieces.clear()
         parts = text.split()
         rows = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))

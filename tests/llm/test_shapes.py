@@ -1,5 +1,7 @@
 """Every operator on missing values, empty and long texts, repeated rows, empty tables and clashing column names."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,19 @@ def test_language_of_few_documents_wins_nothing_unseen(spark):
     assert got["lang_pred"] == "en"
 
 
+def test_every_labelled_language_is_known(spark, monkeypatch):
+    own = lambda i: " ".join(chr(0x4E00 + 100 * i + k) + chr(0x4E00 + 100 * i + k + 1) for k in range(20))
+    rows = [(i, own(i), f"l{i:02}") for i in range(1000) if i < 80 and zlib.crc32(str(i).encode()) % langid.FOLDS] + [(1000 + i, own(90) + f" {i}", "big") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, sample_docs=4)
+    assert set(model["langs"]) == {r[2] for r in rows} and len(model["langs"]) > 64 and set(model["at"]) == set(range(len(model["langs"])))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    monkeypatch.setattr(langid, "LANGUAGES", 60)
+    with pytest.raises(ValueError, match="60 languages"):
+        langid.fit(table)
+
+
 def test_quality_of_odd_rows(docs):
     got = {r["doc_id"]: r for r in quality.quality_digest(docs).collect()}
     assert got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
