@@ -9,11 +9,15 @@ from ..sources.files import EVENT
 
 
 def follow(spark: SparkSession, folder: str, late: str = "10 minutes") -> DataFrame:
-    """Events of all journals in a folder as they arrive, each committed item once within the watermark."""
+    """Events of all journals in a folder as they arrive, those of a transaction key once within the watermark.
+
+    Failures have no transaction key: each is an event of its own, as in the batch replay.
+    """
     lines = spark.readStream.schema("value string").text(folder)
     events = lines.select(F.from_json("value", EVENT).alias("e")).where("e.event IS NOT NULL").select("e.*")
     timed = events.withColumn("at", F.to_timestamp("occurred_at_utc")).withWatermark("at", late)
-    return timed.dropDuplicatesWithinWatermark(["run_id", "event", "transaction_key"])
+    once = timed.where("transaction_key IS NOT NULL").dropDuplicatesWithinWatermark(["run_id", "event", "transaction_key"])
+    return once.unionByName(timed.where("transaction_key IS NULL"))
 
 
 def failures_by_window(events: DataFrame, width: str = "5 minutes") -> DataFrame:

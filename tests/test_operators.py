@@ -191,3 +191,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["event"] for r in spark.table("followed").collect()) == ["item-committed", "item-failed"]
+
+
+def test_stream_counts_every_failure(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    event = lambda kind, second, **more: json.dumps({"event": kind, "run_id": "r", "occurred_at_utc": f"2024-01-01T00:00:{second:02}Z"} | more)
+    fail = lambda second, item: event("item-failed", second, message_id=item, failure={"message_id": item, "stage": "decode", "error": "decode"})
+    commit = event("item-committed", 4, transaction_key="k")
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join([fail(1, "m1"), fail(2, "m2"), fail(2, "m2"), commit, commit]) + "\n")
+    (tmp_path / "in" / "b.jsonl").write_text(json.dumps({"event": "run-started", "run_id": "s", "occurred_at_utc": "2024-01-01T02:00:00Z"}) + "\n")
+    found = journal.failures_by_window(journal.follow(spark, str(tmp_path / "in")))
+    q = found.writeStream.format("memory").queryName("failed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["run_id"], r["committed"], r["failed"]) for r in spark.table("failed").collect()] == [("r", 1, 3)]
