@@ -334,6 +334,13 @@ def test_connected_components(spark):
     assert got == {k: v for k, v in root.items() if k not in alone}
 
 
+def test_unsettled_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        connected_components(chain, rounds=2)
+    assert {r["root"] for r in connected_components(chain).collect()} == {0}
+
+
 # Search
 
 
