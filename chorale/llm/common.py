@@ -8,15 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side of a join may be broadcast, at so many for a row; beyond it the join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 100
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own serves in local mode only; on a cluster no other machine would see it, so that
+    is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='chorale-')}")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='chorale-')}")
     return context.getCheckpointDir()
 
 
@@ -57,6 +64,6 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """Join that broadcasts ``right`` only after its counted rows are known to be few, and shuffles otherwise."""
+    """Join that broadcasts ``right`` only after its counted rows are known to be small, and shuffles otherwise."""
     rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+    return left.join(F.broadcast(right) if rows * ROW_BYTES <= BROADCAST_BYTES else right, on, how)
