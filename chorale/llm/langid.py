@@ -1,8 +1,8 @@
 """Language identification by words first, then by ever shorter character n-grams.
 
 A known word scores its log frequency in each language. An unseen word falls back to its known 4-grams, else to its
-3-grams, 2-grams and single characters. The model is fitted on a bounded sample of each language's labelled documents
-and keeps a bounded number of words and n-grams per language, so its size depends on the number of languages only.
+3-grams, 2-grams and single characters. The model is fitted on a bounded sample of the labelled documents, shared evenly
+among the languages, and keeps every word and n-gram of it, so its size does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -13,15 +13,14 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, id_remainder
 
-#: Of each language, all labelled documents are learned from up to so many, and of more a sample expected to hold so many.
-SAMPLE_DOCS = 8_000
-#: Words and, for each length, n-grams kept per language. All languages are kept; labels of more than LANGUAGES are refused.
-WORDS, GRAMS, LANGUAGES = 10_000, 4_000, 512
+#: Labelled documents to learn from: each language has an equal share, of which it uses all its documents or, of more, a
+#: sample expected to fill the share. All languages are kept; labels of more than LANGUAGES are refused.
+SAMPLE_DOCS, LANGUAGES = 16_000, 512
 LONGEST = 4
 UNDETERMINED = "und"
 #: Of every FOLDS documents by their ids' crc32, one is held out.
@@ -29,9 +28,18 @@ FOLDS = 5
 #: Pieces, and numbers in their rows, that a task remembers.
 CACHE, CACHE_CELLS = 200_000, 1 << 26
 
+#: A run of letters, which may hold numerals that are no digits; these are cut out of the few runs that have them.
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters (Unicode's L, as the training's ``\\p{L}+``)."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split(" ") if w]
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Model from the training documents: ``langs``, and for n = 0 (words) to LONGEST a dict of rows. Row i has the entries
     from ``starts[i]`` to ``starts[i + 1]``: languages ``at``, and how far their log frequency is above the floor, ``gain``."""
@@ -42,7 +50,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         raise ValueError(f"the documents are labelled with more than {LANGUAGES} languages")
     langs = [r["l"] for r in counted]
     # Up to its least hash at least, so that no language is missed by the sample.
-    rates = [(r["l"], max(int(min(1.0, sample_docs / r["n"]) * (1 << 30)), r["h"] + 1)) for r in counted]
+    rates = [(r["l"], max(int(min(1.0, sample_docs / len(langs) / r["n"]) * (1 << 30)), r["h"] + 1)) for r in counted]
     sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, below long")), "l").where("h < below")
     words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c")).withColumn("n", F.lit(0))
     padded = F.concat(F.lit(" "), "g", F.lit(" "))
@@ -59,9 +67,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     every = words.select("l", "n", "g", "c")
     for g in grams:
         every = every.unionByName(g.select("l", "n", "g", "c"))
-    part = Window.partitionBy("l", "n")
-    ranked = every.withColumn("total", F.sum("c").over(part)).withColumn("rank", F.row_number().over(part.orderBy(F.desc("c"), "g")))
-    rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("l", "n", "g", "c", "total").toArrow()
+    rows = every.toArrow()  # the words and n-grams of SAMPLE_DOCS documents
+    sums = rows.group_by(["l", "n"]).aggregate([("c", "sum")])
+    rows = rows.join(sums, ["l", "n"]).rename_columns({"c_sum": "total"}).sort_by([("n", "ascending"), ("g", "ascending"), ("l", "ascending")])
     of = lambda found, name: found[name].to_numpy()
     tables, sizes, at, gain, first = [], [], [], [], 0
     for n in range(LONGEST + 1):
@@ -94,7 +102,7 @@ class Scorer:
         class Pieces(dict):
             def __missing__(self, piece: str) -> int:
                 self[piece] = row = len(self)
-                scorer.pending.append([scorer.word(w) for w in _RUN.findall(piece.lower())])
+                scorer.pending.append([scorer.word(w) for w in words_of(piece.lower())])
                 return row
 
         self.pieces, self.pending = Pieces(), []
@@ -143,7 +151,7 @@ class Scorer:
         if self.pending:
             self._settle()
         total = self.rows[rows].sum(axis=0, dtype=np.float64)
-        if not total[-1] and not any(map(str.isalpha, text)):
+        if not total[-1]:
             return UNDETERMINED, 0.0
         best = int(np.argmax(total[:-1]))
         return self.langs[best], float(1 / np.exp(np.maximum(total[:-1] - total[best], -700)).sum())
@@ -153,17 +161,11 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: dict | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1, the posterior under equal priors); columns of these names are replaced.
-
-    Without a model, one is fitted on ``docs`` first. A null text, or one without a letter, is ``und`` with score 0; so
-    is every text if there is no labelled document. Ties go to the more frequent language. Repeated rows are judged
-    alike, and an empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, model: dict | None, text: str, lang: str, doc_id: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column of a new name: a struct of lang_pred and score."""
     model = fit(docs, text, lang, doc_id) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see WORDS, GRAMS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see SAMPLE_DOCS and LANGUAGES
     run = uuid4().hex
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     (found,) = fresh(docs, "_found")
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -175,10 +177,24 @@ def identify(docs: DataFrame, model: dict | None = None, text: str = "text", lan
         scorer = _scorers[run]
         return pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()))) for t in texts], kind)
 
-    return docs.withColumn(found, predict(F.col(text))).select(*kept, f"{found}.lang_pred", f"{found}.score")
+    return docs.withColumn(found, predict(F.col(text))), found
+
+
+def identify(docs: DataFrame, model: dict | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (0 to 1, the posterior under equal priors); columns of these names are replaced.
+
+    Without a model, one is fitted on ``docs`` first. A null text, or one without a letter, is ``und`` with score 0; so
+    is every text if there is no labelled document. Ties go to the more frequent language. Repeated rows are judged
+    alike, and an empty table gives an empty result.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    judged, found = _judged(docs, model, text, lang, doc_id)
+    return judged.select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def lang_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, as ``identify`` judges nulls, empty texts, ties and repeats; a null
+    id is split as the empty text. Other columns of ``docs`` are left out, whatever their names."""
     thin = docs.select("doc_id", "text", "lang")
     return identify(thin).select("doc_id", (id_remainder("doc_id", FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
@@ -188,5 +204,10 @@ LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is determined, with their columns; ``lang`` is only learned from."""
-    return identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """The rows of ``docs`` whose language is determined, with all their columns as they were; ``lang`` is only learned from.
+
+    Null texts, and texts without a letter, go; repeated rows share a fate; an empty table stays empty. Columns of any
+    name, ``score`` and ``lang_pred`` too, pass through.
+    """
+    judged, found = _judged(docs, None, "text", "lang", "doc_id")
+    return judged.where((F.col(f"{found}.lang_pred") != UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*docs.columns)
