@@ -3,7 +3,8 @@
 Rules read a document's statistics and vote good (1), bad (-1) or abstain (0). The votes' patterns are counted over all
 documents; expectation-maximisation on these counts (at most 3 to the number of rules) estimates how often each rule is
 right about good and about bad documents. A document is kept by its posterior probability of being good, not by passing
-every rule. Everything is DataFrame expressions; the estimation is one fold over an array.
+every rule: a rule whose bad votes no other rule shares is found to err and is outvoted. Everything is DataFrame
+expressions; the estimation is one fold over an array.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ from .common import durable, fresh, let
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+#: A word of letters, with the punctuation that prose has around and within words.
+PLAIN = r"""(?<![^\x20\x09-\x0D])[("'\u00AB\u201C\u00BF\u00A1]?\p{L}[\p{L}\p{M}'\u2019-]*[.,;:!?)"'\u00BB\u201D\u2026]*(?![^\x20\x09-\x0D])"""
+#: A line that ends as a sentence does, quotes and brackets aside.
+ENDED = r"[.!?:;\u2026\u3002][\"'\u00BB\u201D\u2019)\]]?$"
 WINDOW = 5
 ROUNDS = 25
 #: Smallest posterior probability of a kept document.
 LEAST = 0.5
 #: The estimated probabilities of a right vote on good and on bad documents, and the share of good ones, stay in these
-#: ranges, which only keep the logarithms finite and a rule no worse than chance on good documents.
+#: ranges, which only keep the logarithms finite and a rule no worse than chance on good documents (else classes could swap).
 GOOD_RANGE, BAD_RANGE, SHARE_RANGE = (0.5, 0.9999), (0.01, 0.99), (0.01, 0.99)
-#: An erring rule votes bad where the others do at least as often as elsewhere. One that does so under this part as often
-#: as by chance knows a kind of bad document of its own, on which the others' votes say nothing about it: such a rule is
-#: taken at its word, with these least probabilities of a right vote.
-APART, TRUSTED_GOOD, TRUSTED_BAD = 0.5, 0.999, 0.1
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts", "n_plain_words", "n_ended_lines")
 
 
 def words_of(text: Column) -> Column:
@@ -67,7 +68,8 @@ def text_stats(text: Column) -> Column:
 
     def with_words(words: Column) -> Column:
         lines = F.filter(F.split(value, "\n", -1), lambda line: F.trim(line, F.lit(SPACE_CHARS)) != "")
-        counted = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), F.size(F.array_distinct(ls)).alias("d")))
+        ended = lambda line: F.rtrim(line, F.lit(SPACE_CHARS)).rlike(ENDED)
+        counted = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), F.size(F.array_distinct(ls)).alias("d"), F.size(F.filter(ls, ended)).alias("e")))
         return let(counted, lambda ls: F.struct(
             F.size(words).cast("long").alias("n_words"),
             (F.length(value) - count(SPACE)).cast("long").alias("word_chars"),
@@ -78,6 +80,8 @@ def text_stats(text: Column) -> Column:
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
             count(r"\p{Lu}").cast("long").alias("n_upper"),
             count("!").cast("long").alias("n_shouts"),
+            count(PLAIN).cast("long").alias("n_plain_words"),
+            ls["e"].cast("long").alias("n_ended_lines"),
         ))
 
     return let(words_of(text), with_words)
@@ -93,18 +97,21 @@ def votes(s: Column) -> Column:
 
     symbols, upper, shouts = s["n_symbols"] / n, s["n_upper"] / chars, s["n_shouts"] / n
     variety, again, repeats, length = s["n_distinct_words"] / n, s["n_dup_lines"] / lines, s["n_repeat_words"] / n, s["word_chars"] / n
+    plain, ended = s["n_plain_words"] / n, s["n_ended_lines"] / lines
     return F.array(
-        rule(symbols, symbols < 0.1, symbols > 0.3),
+        rule(symbols, symbols < 0.05, symbols > 0.1),
         rule(upper, upper < 0.15, upper > 0.35, s["word_chars"] >= 20),
         rule(shouts, shouts < 0.1, shouts > 0.5),
-        rule(variety, variety > 0.5, variety < 0.2, s["n_words"] >= 30),
-        rule(again, again < 0.1, again > 0.5, s["n_lines"] >= 4),
-        rule(repeats, repeats < 0.05, repeats > 0.2, s["n_words"] >= 10),
+        rule(variety, variety > 0.5, variety < 0.3, s["n_words"] >= 30),
+        rule(again, again < 0.1, again > 0.3, s["n_lines"] >= 4),
+        rule(repeats, repeats < 0.05, repeats > 0.15, s["n_words"] >= 10),
         rule(length, (length > 2) & (length < 15), (length < 1.2) | (length > 40), s["n_words"] >= 10),
+        rule(plain, plain > 0.9, plain < 0.8, s["n_words"] >= 10),
+        rule(ended, ended > 0.8, ended < 0.5, s["n_words"] >= 10),
     )
 
 
-RULES = 7
+RULES = 9
 
 
 def _estimate(patterns: Column) -> Column:
@@ -114,34 +121,23 @@ def _estimate(patterns: Column) -> Column:
     bounded = lambda x, low, high: F.greatest(low, F.least(F.lit(high), x))
     rules = F.sequence(F.lit(0), F.lit(RULES - 1))
 
-    def count(condition) -> Column:
-        return total(F.transform(patterns, lambda p: F.when(condition(p["v"]), p["c"]).otherwise(0.0)))
-
-    def apart(r: Column) -> Column:
-        own = lambda v: F.get(v, r) == -1
-        others = lambda v: F.size(F.filter(v, lambda x: x == -1)) > own(v).cast("int")
-        return count(lambda v: own(v) & others(v)) * count(lambda v: F.lit(True)) < APART * count(own) * count(others)
-
-    def maximise(q: Column, trusted: Column) -> Column:
+    def maximise(q: Column) -> Column:
         def right(vote: int, good: bool) -> Column:
-            weight, (least, high) = (lambda p, x: p["c"] * (x if good else 1 - x)), (GOOD_RANGE if good else BAD_RANGE)
-            low = lambda r: F.when(F.get(trusted, r), TRUSTED_GOOD if good else TRUSTED_BAD).otherwise(least)
+            weight, (low, high) = (lambda p, x: p["c"] * (x if good else 1 - x)), (GOOD_RANGE if good else BAD_RANGE)
             one = lambda r: bounded(
                 (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) == vote, weight(p, x)).otherwise(0.0))) + 1)
-                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + 2), low(r), high)
+                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + 2), F.lit(low), high)
             return F.transform(rules, one)
 
         share = total(F.zip_with(patterns, q, lambda p, x: p["c"] * x)) / total(F.transform(patterns, lambda p: p["c"]))
         return F.struct(bounded(share, F.lit(SHARE_RANGE[0]), SHARE_RANGE[1]).alias("share"), right(1, True).alias("good"), right(-1, False).alias("bad"))
 
-    first = F.transform(patterns, lambda p: F.when(F.array_contains(p["v"], -1), 0.1).otherwise(0.9))
+    bad = lambda p: F.size(F.filter(p["v"], lambda x: x == -1))
+    first = F.transform(patterns, lambda p: F.when(bad(p) == 0, 0.9).when(bad(p) == 1, 0.5).otherwise(0.1))  # one bad vote decides nothing
 
-    def settle(trusted: Column) -> Column:
-        step = lambda q: let(q, lambda x: maximise(x, trusted))
-        improve = lambda s, _: step(F.transform(patterns, lambda p: posterior(p["v"], s)))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), step(first), improve)
-
-    return let(F.transform(rules, apart), settle)
+    step = lambda q: let(q, maximise)
+    improve = lambda s, _: step(F.transform(patterns, lambda p: posterior(p["v"], s)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), step(first), improve)
 
 
 def posterior(vote: Column, model: Column) -> Column:
@@ -187,6 +183,50 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the five base statistics, base_failed and kept of every row.
+
+    A null text has no words, like an empty one, and fails; repeated rows share a fate; a posterior of exactly LEAST keeps;
+    an empty table gives an empty result. Other columns of ``docs`` are left out, whatever their names.
+    """
     stats = durable(docs.select("doc_id", text_stats(F.col("text")).alias("s")))
     model, s = fit(stats, "s"), F.col("s")
     return stats.select("doc_id", *[s[c].alias(c) for c in STATS[:5]], base_failed(s).alias("base_failed"), _kept(s, model).alias("kept"))
+
+
+#: The same statistics, votes, estimation (a recursion over the patterns' posteriors) and verdicts in DuckDB.
+QUALITY_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT row, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM w WHERE len(w) >= 5),
+again AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS j FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+s AS MATERIALIZED (SELECT w.row, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  len(l) AS n_lines, len(list_distinct(w)) AS n_distinct_words, len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_shouts,
+  len(list_filter(w, lambda x: regexp_full_match(x, '[("''«“¿¡]?\p{L}[\p{L}\p{M}''’-]*[.,;:!?)"''»”…]*'))) AS n_plain_words,
+  len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;…。]["''»”’)\]]?[\x20\x09-\x0D]*$'))) AS n_ended_lines FROM w LEFT JOIN again USING (row)),
+m AS (SELECT *, greatest(n_words, 1) AS n, greatest(word_chars, 1) AS c, greatest(n_lines, 1) AS k FROM s),
+v AS MATERIALIZED (SELECT *, [
+  CASE WHEN n_symbols / n > 0.1 THEN -1 WHEN n_symbols / n < 0.05 THEN 1 ELSE 0 END,
+  CASE WHEN word_chars < 20 THEN 0 WHEN n_upper / c > 0.35 THEN -1 WHEN n_upper / c < 0.15 THEN 1 ELSE 0 END,
+  CASE WHEN n_shouts / n > 0.5 THEN -1 WHEN n_shouts / n < 0.1 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 30 THEN 0 WHEN n_distinct_words / n < 0.3 THEN -1 WHEN n_distinct_words / n > 0.5 THEN 1 ELSE 0 END,
+  CASE WHEN n_lines < 4 THEN 0 WHEN n_dup_lines / k > 0.3 THEN -1 WHEN n_dup_lines / k < 0.1 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 10 THEN 0 WHEN n_repeat_words / n > 0.15 THEN -1 WHEN n_repeat_words / n < 0.05 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 10 THEN 0 WHEN word_chars / n < 1.2 OR word_chars / n > 40 THEN -1 WHEN word_chars / n > 2 AND word_chars / n < 15 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 10 THEN 0 WHEN n_plain_words / n < 0.8 THEN -1 WHEN n_plain_words / n > 0.9 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 10 THEN 0 WHEN n_ended_lines / k < 0.5 THEN -1 WHEN n_ended_lines / k > 0.8 THEN 1 ELSE 0 END] AS v FROM m),
+pat AS MATERIALIZED (SELECT list({'v': v, 'c': c} ORDER BY v) AS p, sum(c) AS total FROM (SELECT v, count(*)::DOUBLE AS c FROM v GROUP BY v)),
+em AS (SELECT 0 AS round, list_transform(p, lambda x: CASE len(list_filter(x.v, lambda y: y = -1)) WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 0.1 END::DOUBLE) AS q FROM pat
+  UNION ALL SELECT round + 1, list_transform(p, lambda x: 1 / (1 + exp(-(ln(share / (1 - share)) + list_sum(list_transform(range(1, 10), lambda r:
+    CASE x.v[r] WHEN 1 THEN ln(good[r] / (1 - bad[r])) WHEN -1 THEN ln((1 - good[r]) / bad[r]) ELSE 0 END)))))) FROM (
+    SELECT round, p, greatest(0.01, least(0.99, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].c * q[i])) / total)) AS share,
+      list_transform(range(1, 10), lambda r: greatest(0.5, least(0.9999, (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] = 1 THEN p[i].c * q[i] ELSE 0 END)) + 1)
+        / (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] <> 0 THEN p[i].c * q[i] ELSE 0 END)) + 2)))) AS good,
+      list_transform(range(1, 10), lambda r: greatest(0.01, least(0.99, (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] = -1 THEN p[i].c * (1 - q[i]) ELSE 0 END)) + 1)
+        / (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] <> 0 THEN p[i].c * (1 - q[i]) ELSE 0 END)) + 2)))) AS bad
+    FROM em, pat WHERE round < 26)),
+judged AS (SELECT unnest(p).v AS v, unnest(q) AS good FROM em, pat WHERE round = 26)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good >= 0.5 AS kept FROM v JOIN judged USING (v)
+"""
