@@ -2,8 +2,10 @@
 
 Each task packs the documents it reads, in order. A document's full windows are cut off at once; its rest goes to the
 fill level (or to a new window) for which the sum over the levels of the squared number of partly filled windows grows
-least. The level array of a task has one number per fill level, whatever the input's size. What stays open when a task
-ends is cut into full windows, so each task pads one window at most.
+least. The level array of a task has one number per fill level, whatever the input's size. With OPEN windows open, a rest
+that would need a new one is cut instead: its first ids fill up the window whose closing lowers the sum of squares most, and
+what is left is placed anew. So only OPEN windows stay open when a task ends; these are cut into full ones, and each task
+pads one window at most.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 #: Id that ends each document.
 END = 1
 WINDOW = 2048
+#: Partly filled windows that a task keeps at most.
+OPEN = 64
 CACHE = 250_000
 
 #: White space as the vocabulary's pattern has it (fixed by Unicode).
@@ -92,10 +96,11 @@ def encoder(path: str) -> Encoder:
 class LevelPacker:
     """Online packing into windows; pieces are (document, start, ids, document's tokens)."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most: int | None = OPEN):
+        self.window, self.most = window, most
         self.open: dict[int, list[list]] = {}
         self.level = np.zeros(window + 1, np.int64)
+        self.count = 0
 
     def place(self, doc, ids: bytes) -> Iterator[list]:
         """Put one document's ids; yields the windows that are full now."""
@@ -103,28 +108,44 @@ class LevelPacker:
         full = n // self.window * size
         for at in range(0, full, size):
             yield [(doc, at // 4, ids[at : at + size], n)]
-        if rest := n % self.window:
-            window = self._put((doc, full // 4, ids[full:], n), rest)
-            if window:
-                yield window
+        if full < len(ids):
+            yield from self._put((doc, full // 4, ids[full:], n))
 
-    def _put(self, piece: tuple, size: int) -> list | None:
-        level, top = self.level, self.window - size
+    def _put(self, piece: tuple) -> Iterator[list]:
+        doc, start, ids, n = piece
+        size, level = len(ids) // 4, self.level
+        top = self.window - size
         # Growth of the sum of squares, halved, for each level h that the piece would leave for h + size.
         growth = level[size : self.window + 1] - level[: top + 1] + 1.0
         growth[top] = 0.5 - level[top]  # the window is full then, and no longer counted
         growth[level[: top + 1] == 0] = np.inf
         growth[0] = level[size] + 0.5  # a new window
         h = top - int(np.argmin(growth[::-1]))
-        window = self.open[h].pop() if h else []
-        if h:
-            level[h] -= 1
+        if not h and self.most is not None and self.count >= self.most:
+            fits = growth[1:].min(initial=np.inf) < np.inf
+            h = top - int(np.argmin(growth[:0:-1])) if fits else self._fullest()
+        if h + size > self.window:  # cut: no window has room for the whole piece
+            room = self.window - h
+            yield [*self._take(h), (doc, start, ids[: room * 4], n)]
+            yield from self._put((doc, start + room, ids[room * 4 :], n))
+            return
+        window = self._take(h) if h else []
         window.append(piece)
         if h + size == self.window:
-            return window
+            yield window
+            return
         level[h + size] += 1
+        self.count += 1
         self.open.setdefault(h + size, []).append(window)
-        return None
+
+    def _take(self, h: int) -> list:
+        self.level[h] -= 1
+        self.count -= 1
+        return self.open[h].pop()
+
+    def _fullest(self) -> int:
+        """The level with most windows; of several, the fullest one."""
+        return self.window - int(np.argmax(self.level[::-1]))
 
     def finish(self) -> Iterator[list]:
         """Cut what is still open into full windows; the last one may be short."""
@@ -142,7 +163,7 @@ class LevelPacker:
                         window, room = [], self.window
         if window:
             yield window
-        self.open, self.level = {}, np.zeros(self.window + 1, np.int64)
+        self.open, self.level, self.count = {}, np.zeros(self.window + 1, np.int64), 0
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None, with_ids: bool = False) -> DataFrame:
