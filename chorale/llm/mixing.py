@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", te
     shuffled = exploded.withColumn(order, F.xxhash64(name, F.col(copy), F.lit(seed)))
     shuffled = shuffled.repartition(F.col(order)).sortWithinPartitions(order)
     if numbered:
-        return shuffled.select(*[c for c in docs.columns if c != "n_copies"], copy, F.col(count).alias("n_copies"))
+        return shuffled.select(*[c for c in docs.columns if c.lower() != "n_copies"], copy, F.col(count).alias("n_copies"))
     return shuffled.select(*docs.columns)
 
 
