@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.URLS_SQL, "op8_exact_top_k": topk.TOPK_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_sharding": sharding.SHARDS_SQL, "op3_quality_rules": quality.QUALITY_SQL, "op4_ngram_jaccard_join": neardup.COMPONENTS_SQL, "op6_url_filters": urls.URLS_SQL, "op8_exact_top_k": topk.TOPK_SQL, "op10_mixing": mixing.MIX_SQL}
