@@ -1,11 +1,13 @@
 """Scoring documents with a context-tree-weighting byte model learned from the corpus, beside a word unigram base.
 
 The model may be larger than any task's memory, so it is never gathered. The table is worked through in chunks of
-consecutive rows. Each chunk lists its different byte n-grams and words with their training counts and sends each
-bucket its part. A bucket sums the counts over all chunks, builds the context trees below its pairs of nearest bytes, and
-answers each chunk with the log probability (for a word: the count) of just what that chunk listed, in its order. The
-nodes nearest to the root, at most 256 by 255 of them, are summed up once and shared. At last each chunk meets its
-answers and scores its texts. Texts are shuffled once; what the model learns from grows with the corpus.
+consecutive rows, cut by rows and by bytes. Each chunk lists its different byte n-grams and words with their training
+counts and sends each bucket its part. The lists of a bucket are dealt over as many shares as their entries fill; each
+share merges its own, and the shares' sums, which hold an n-gram once each, make the bucket's model: the context trees
+below its pairs of nearest bytes. The model goes back to each share, which answers its chunks with the log probability
+(for a word: the count) of just what they listed, in their order. The nodes nearest to the root, at most 256 by 255 of
+them, are summed up once and told to all. At last each chunk meets its answers and scores its texts. Texts are shuffled
+once; what the model learns from grows with the corpus.
 """
 
 from __future__ import annotations
@@ -15,18 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ctw
-from .common import durable, id_remainder
+from .common import durable, id_remainder, sized_join
 from .wordbytes import joined, mix64, per_text, slices, word_hashes
 
 #: Bytes of context.
 DEPTH = 5
 #: Of every FOLDS documents by their ids' crc32, one is held out.
 FOLDS = 10
-CHUNK_ROWS = 8192
+#: Rows and bytes of text at which a chunk ends.
+CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
+#: Listed entries of a bucket for each share.
+SHARE_ENTRIES = 16 << 20
 #: Bytes of text for each bucket of the model.
 BUCKET_BYTES = 32 << 20
 END = b"\xff"  # ends each text; no UTF-8 text holds it
@@ -34,7 +40,8 @@ LOG10 = np.log10
 
 GRAM, WORD, CHECK = 0, 1, 2
 _REQUEST = "kind int, bucket int, chunk long, n long, keys binary, counts binary, trained long"
-_ANSWER = "kind int, bucket int, chunk long, n long, value binary, trained long, known long"
+_MODEL = "kind int, bucket int, n long, keys binary, counts binary"
+_ANSWER = "kind int, bucket int, chunk long, n long, value binary"
 
 
 def _shrink(values: np.ndarray) -> bytes:
@@ -112,7 +119,7 @@ def _requests(depth: int, buckets: int):
             rows = [(CHECK, 0, chunk, len(texts), b"", b"", int(train.sum()))]
             for kind, (keys, counts) in enumerate(tables):
                 for bucket, part in _parts(kind, keys, depth, buckets):
-                    rows.append((kind, bucket, chunk, len(part), _sorted_blob(keys[part]), _shrink(counts[part].astype(np.uint32)), 0))
+                    rows.append((kind, bucket, chunk, len(part), _sorted_blob(keys[part]), _shrink(counts[part].astype(np.uint64)), 0))
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=_schema(_REQUEST))
 
         held: list[pa.RecordBatch] = []
@@ -128,17 +135,30 @@ def _requests(depth: int, buckets: int):
 
 
 def _by_chunk(batches):
-    """Batches cut where the chunk changes."""
+    """Batches of (text, ...) cut where a chunk ends, with its number before the other columns: the task's number and a
+    running one. A text longer than a chunk is a chunk of its own."""
+    number, rows, size = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
-        chunk = batch.column(0).to_numpy()
-        for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
-            if len(part):
-                yield batch.slice(int(part[0]), len(part))
+        first, lengths = 0, pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
+
+        def cut(last):
+            part = batch.slice(first, last - first)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(last - first, number)), *part.columns], ["chunk", *part.schema.names])
+
+        for i, n in enumerate(lengths):
+            if rows and (rows >= CHUNK_ROWS or size + n > CHUNK_BYTES):
+                if i > first:
+                    yield cut(i)
+                first, number, rows, size = i, number + 1, 0, 0
+            rows, size = rows + 1, size + n
+        if len(lengths) > first:
+            yield cut(len(lengths))
 
 
 def _chunk(table: pa.Table):
-    texts = table.column("text").combine_chunks()
-    return table.column("chunk")[0].as_py(), texts if isinstance(texts, pa.Array) else texts.chunk(0), table.column("train").to_numpy().astype(bool)
+    texts = table.column("text").cast(pa.large_string()).combine_chunks()  # one array, whatever the bytes
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks or [pa.array([], pa.large_string())])
+    return table.column("chunk")[0].as_py(), texts, table.column("train").to_numpy().astype(bool)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -147,50 +167,64 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of a bucket with their counts over all chunks, taking in the chunks' lists one by one."""
+    """Sorted keys with their counts over all lists, taking them in one by one."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for n, keys, counts in zip(table["n"].to_pylist(), table["keys"], table["counts"]):
-        held.append((_sorted_keys(keys.as_py(), n), _grow(counts.as_py(), n, np.uint32).astype(np.int64)))
+        held.append((_sorted_keys(keys.as_py(), n), _grow(counts.as_py(), n, np.uint64).astype(np.int64)))
         if len(held) > 16:
             held = [ctw.merge(*map(np.concatenate, zip(*held)))]
     return ctw.merge(*map(np.concatenate, zip(*held)))
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The lists of a bucket, or of a share of it, as one row of the model."""
+    keys, counts = _summed(table)
+    row = (table["kind"][0].as_py(), table["bucket"][0].as_py(), len(keys), _sorted_blob(keys), _shrink(counts.astype(np.uint64)))
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, _schema(_MODEL).types)], schema=_schema(_MODEL))
+
+
 _TOP = "nearest int, place int, zeros double, ones double, below double"
 
 
 def _near_root(depth: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = _summed(table)
-        key, *sums = ctw.top_sums(ctw.subtree(keys, counts, depth, 2))
-        return pa.table([(key >> np.uint64(8)).astype(np.int32), (key & np.uint64(0xFF)).astype(np.int32), *sums], schema=_schema(_TOP))
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, *sums = ctw.top_sums(ctw.subtree(*_summed(pa.Table.from_batches([batch.slice(i, 1)])), depth, 2))
+                yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(8)).astype(np.int32)), pa.array((key & np.uint64(0xFF)).astype(np.int32)), *map(pa.array, sums)], schema=_schema(_TOP))
 
     return run
 
 
 def _answers(depth: int, top):
-    def run(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        keys, counts = _summed(table)
-        if kind == GRAM:
-            deep = ctw.deep_probabilities(keys, ctw.subtree(keys, counts, depth, 2), depth)
-            byte = keys & np.uint64(0xFF)
-            for at, nodes in zip((1, 0), top.value):
-                context = keys >> np.uint64(8 * depth) if at else np.zeros_like(keys)
-                deep = nodes.mix(context, byte, deep, bottom=False)
-            value = LOG10(deep).sum(axis=0).astype(np.float32)
-        else:
-            value = counts.astype(np.uint64)
+    def run(lists: pa.Table, model: pa.Table) -> pa.Table:
         rows = []
-        for i, (chunk, n, blob) in enumerate(zip(table["chunk"].to_pylist(), table["n"].to_pylist(), table["keys"])):
-            own = value[np.searchsorted(keys, _sorted_keys(blob.as_py(), n))]
-            sums = (int(counts.sum()), int((counts > 0).sum())) if i == 0 and kind == WORD else (0, 0)
-            rows.append((kind, bucket, chunk, n, _shrink(own), *sums))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _schema(_ANSWER).types)], schema=_schema(_ANSWER))
+        if lists.num_rows:
+            kind, bucket = lists["kind"][0].as_py(), lists["bucket"][0].as_py()
+            keys, counts = _summed(model)
+            if kind == GRAM:
+                deep = ctw.deep_probabilities(keys, ctw.subtree(keys, counts, depth, 2), depth)
+                byte = keys & np.uint64(0xFF)
+                for at, nodes in zip((1, 0), top.value):
+                    context = keys >> np.uint64(8 * depth) if at else np.zeros_like(keys)
+                    deep = nodes.mix(context, byte, deep, bottom=False)
+                value = LOG10(deep).sum(axis=0).astype(np.float32)
+            else:
+                value = counts.astype(np.uint64)
+            for chunk, n, blob in zip(lists["chunk"].to_pylist(), lists["n"].to_pylist(), lists["keys"]):
+                rows.append((kind, bucket, chunk, n, _shrink(value[np.searchsorted(keys, _sorted_keys(blob.as_py(), n))])))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, _schema(_ANSWER).types)], schema=_schema(_ANSWER))
 
     return run
 
 
+def _word_sums(batches):
+    """Tokens and different words of the training texts, of each bucket of words."""
+    for batch in batches:
+        counts = [_summed(pa.Table.from_batches([batch.slice(i, 1)]))[1] for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], ["trained", "known"])
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
 
 
@@ -239,24 +273,37 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = base if repeatable else durable(base)
-    base = base.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_ROWS.bit_length() - 1).alias("chunk"), "doc_id", "text", (id_remainder("doc_id", FOLDS) != 0).alias("train"))
+    base = base.select("text", "doc_id", (id_remainder("doc_id", FOLDS) != 0).alias("train"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(4, -(-size // BUCKET_BYTES))
 
-    requests = durable(base.select("chunk", "text", "train").mapInArrow(_requests(depth, buckets), _REQUEST))
-    near = requests.where(F.col("kind") == GRAM).groupBy("bucket").applyInArrow(_near_root(depth), _TOP)
+    requests = durable(base.select("text", "train").mapInArrow(_requests(depth, buckets), _REQUEST))
+    lists = requests.where(F.col("kind") != CHECK)
+    shares = lists.groupBy("kind", "bucket").agg(F.ceil(F.sum("n") / SHARE_ENTRIES).cast("int").alias("shares"))
+    several = durable(shares.where("shares > 1"))
+    lists = sized_join(lists, several, ["kind", "bucket"], "left").withColumn("share", F.pmod(F.xxhash64("chunk"), F.coalesce("shares", F.lit(1))))
+    # A bucket of one share is merged at once; the others are merged share by share first.
+    one, many = (lists.where(test).select("kind", "bucket", "share", "n", "keys", "counts") for test in (F.col("shares").isNull(), F.col("shares").isNotNull()))
+    merged = many.groupBy("kind", "bucket", "share").applyInArrow(_merged, _MODEL)
+    model = durable(one.drop("share").unionByName(merged).groupBy("kind", "bucket").applyInArrow(_merged, _MODEL))
+
+    near = model.where(F.col("kind") == GRAM).mapInArrow(_near_root(depth), _TOP)
     tables = np.zeros((3, 256, 256))
     for r in near.groupBy("nearest", "place").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect():  # at most 256 x 255
         tables[:, r[0], r[1]] = r[2:]
     top = spark.sparkContext.broadcast(ctw.join_top(*tables))
 
-    answers = durable(requests.where(F.col("kind") != CHECK).groupBy("kind", "bucket").applyInArrow(_answers(depth, top), _ANSWER))
     ends = requests.where(F.col("kind") == CHECK).agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
-    tokens, distinct = answers.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    words = model.where(F.col("kind") == WORD).mapInArrow(_word_sums, "trained long, known long")
+    tokens, distinct = words.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
 
-    replies = answers.select("chunk", "kind", "bucket", "n", "value")
-    scored = base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(depth, buckets, ends), _SCORED)
+    spread = sized_join(model, several, ["kind", "bucket"], "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)))
+    asked = lists.select("kind", "bucket", F.col("share").cast("long").alias("share"), "chunk", "n", "keys")
+    share = ["kind", "bucket", "share"]
+    replies = durable(asked.groupBy(share).cogroup(spread.select(*share, "n", "keys", "counts").groupBy(share)).applyInArrow(_answers(depth, top), _ANSWER))
+    numbered = base.mapInArrow(_by_chunk, "chunk long, text string, doc_id long, train boolean")
+    scored = numbered.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(depth, buckets, ends), _SCORED)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("known_log") - F.col("n_tokens") * F.lit(float(LOG10(tokens + 0.1 * (distinct + 1))))).alias("base_score"),
