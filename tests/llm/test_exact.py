@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def test_packing_is_an_exact_round_trip(docs, texts):
 
 def test_level_packer_chooses_the_least_sum_of_squares():
     random.seed(3)
-    packer, window = packing.LevelPacker(64), 64
+    packer, window = packing.LevelPacker(64, None), 64
     for i in range(400):
         size = random.randint(1, 63)
         before = packer.level.copy()
@@ -106,6 +107,27 @@ def test_level_packer_chooses_the_least_sum_of_squares():
         assert squares(packer.level) == min(options)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=120), st.integers(1, 6))
+def test_level_packer_keeps_few_windows_open(sizes, most):
+    packer, seen, full, held = packing.LevelPacker(64, most), {}, 0, 0
+    for i, size in enumerate(sizes):
+        for window in packer.place(i, b"".join(k.to_bytes(4, "little") for k in range(size))):
+            assert sum(len(p[2]) for p in window) == 4 * 64
+            full += 1
+            for doc, start, ids, n in window:
+                seen.setdefault(doc, []).append((start, ids))
+        held = sum(map(len, packer.open.values()))
+        assert held == packer.count == packer.level.sum() <= most
+    last = list(packer.finish())
+    assert len(last) <= held and all(sum(len(p[2]) for p in w) == 4 * 64 for w in last[:-1])
+    for window in last:
+        for doc, start, ids, n in window:
+            seen.setdefault(doc, []).append((start, ids))
+    for i, size in enumerate(sizes):
+        assert b"".join(ids for _, ids in sorted(seen[i])) == b"".join(k.to_bytes(4, "little") for k in range(size))
+
+
 # Language models
 
 
@@ -155,8 +177,11 @@ def brute_ctw(train: list[bytes], text: bytes, depth: int) -> float:
     return total
 
 
-@pytest.mark.parametrize("depth", [2, 4])
-def test_scores_equal_brute_force(spark, depth):
+@pytest.mark.parametrize("depth, share, rows, size", [(2, lmscore.SHARE_ENTRIES, 8192, 1 << 25), (4, lmscore.SHARE_ENTRIES, 8192, 1 << 25), (3, 20, 3, 90)])
+def test_scores_equal_brute_force(spark, monkeypatch, depth, share, rows, size):
+    """In the last case, chunks end by rows and by bytes, and hot buckets are dealt over shares."""
+    for name, value in (("SHARE_ENTRIES", share), ("CHUNK_ROWS", rows), ("CHUNK_BYTES", size)):
+        monkeypatch.setattr(lmscore, name, value)
     words = "the cat sat on a mat ÄÖ Dog\nran".split(" ")
     random.seed(5)
     rows = [(i, " ".join(random.choices(words, k=random.randint(0, 12)))) for i in range(40)] + [(40, None)]
@@ -193,6 +218,50 @@ def test_language_accuracy_on_held_out(docs):
     assert rows and sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
 
 
+def brute_languages(rows):
+    """(lang_pred, score) of each document, from plain counters over all labelled training documents."""
+    lowered = {r["doc_id"]: (r["text"] or "").lower() for r in rows}
+    words = {k: regex.findall(r"\p{L}+", t) for k, t in lowered.items()}
+    train = [r for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    langs = [k for k, _ in sorted(Counter(r["lang"] for r in train).items(), key=lambda x: (-x[1], x[0]))]
+    counts = {(n, k): Counter() for n in range(5) for k in langs}
+    for r in train:
+        for w in words[r["doc_id"]]:
+            counts[0, r["lang"]][w] += 1
+            for n in range(1, 5):
+                counts[n, r["lang"]].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    total = {key: sum(c.values()) for key, c in counts.items()}
+    names = [set().union(*(counts[n, k] for k in langs)) for n in range(5)]
+    floor = [0.5 / (max(total[n, k] for k in langs) + 0.5 * len(names[n]) + 1) for n in range(5)]
+    gain = lambda n, g: np.array([np.log1p(counts[n, k][g] / total[n, k] / floor[n]) for k in langs])
+    memo: dict = {}
+
+    def score(word):
+        if word in names[0]:
+            return gain(0, word)
+        for n in range(min(4, len(word) + 2), 0, -1):
+            found = [gain(n, g) for i in range(len(word) + 3 - n) if (g := f" {word} "[i : i + n]) in names[n]]
+            if found:
+                return sum(found) / len(found)
+        return np.zeros(len(langs))
+
+    out = {}
+    for k, own in words.items():
+        for w in own:
+            memo.setdefault(w, None)
+            if memo[w] is None:
+                memo[w] = score(w)
+        sums = sum((memo[w] for w in own), np.zeros(len(langs)))
+        out[k] = (langs[int(sums.argmax())], 1 / np.exp(np.maximum(sums - sums.max(), -700)).sum()) if own else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_brute_force(docs):
+    expected = brute_languages(docs.collect())
+    got = {r["doc_id"]: r for r in langid.lang_digest(docs).collect()}
+    assert len(got) == len(expected) and all(got[k]["lang_pred"] == lang and math.isclose(got[k]["score"], s, rel_tol=1e-3) for k, (lang, s) in expected.items())
+
+
 # Quality
 
 
@@ -210,21 +279,55 @@ def test_quality_statistics(docs, texts):
         assert r["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
 
 
-def test_estimation_equals_numpy(spark):
-    patterns = [([-1, 1, 1, 1, 1, 1, 1], 40.0), ([1] * 7, 900.0), ([-1, -1, 0, 1, 1, -1, 1], 60.0), ([0, 1, 1, 0, 1, 1, 0], 30.0)]
-    df = spark.createDataFrame([(patterns,)], "p array<struct<v:array<int>,c:double>>")
-    m = df.select(quality._estimate(df["p"]).alias("m")).select("m.*").first()
-    v, c = np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns])
-    q = np.where((v == -1).any(1), 0.1, 0.9)
+def estimate(v: np.ndarray, c: np.ndarray):
+    """The posteriors of the patterns and the model, in numpy."""
+    q = np.choose(np.minimum((v == -1).sum(1), 2), [0.9, 0.5, 0.1])
     for _ in range(quality.ROUNDS + 1):
         weight = lambda x, vote, bounds: np.clip((((c * x)[:, None] * (v == vote)).sum(0) + 1) / (((c * x)[:, None] * (v != 0)).sum(0) + 2), *bounds)
-        share = np.clip((c * q).sum() / c.sum(), 0.5, 0.95)
+        share = np.clip((c * q).sum() / c.sum(), *quality.SHARE_RANGE)
         good, bad = weight(q, 1, quality.GOOD_RANGE), weight(1 - q, -1, quality.BAD_RANGE)
         odds = np.log(share / (1 - share)) + np.where(v == 1, np.log(good / (1 - bad)), np.where(v == -1, np.log((1 - good) / bad), 0)).sum(1)
         q = 1 / (1 + np.exp(-odds))
+    return q, share, good, bad
+
+
+def test_estimation_equals_numpy(spark):
+    patterns = [([-1, 1, 1, 1, 1, 1, 1, 1, 1], 40.0), ([1] * 9, 900.0), ([-1, -1, 0, 1, 1, -1, 1, 0, -1], 60.0), ([0, 1, 1, 0, 1, 1, 0, 1, 0], 30.0)]
+    df = spark.createDataFrame([(patterns,)], "p array<struct<v:array<int>,c:double>>")
+    m = df.select(quality._estimate(df["p"]).alias("m")).select("m.*").first()
+    _, share, good, bad = estimate(np.array([p[0] for p in patterns]), np.array([p[1] for p in patterns]))
     assert math.isclose(m["share"], share, rel_tol=1e-9) and np.allclose(m["good"], good) and np.allclose(m["bad"], bad)
 
 
+def brute_votes(t: str) -> list[int]:
+    words, lines = re.findall(SPACE, t), [x for x in t.split("\n") if re.search(SPACE, x)]
+    n, chars, k = max(len(words), 1), max(sum(map(len, words)), 1), max(len(lines), 1)
+    starts: dict = {}
+    for i in range(len(words) - 4):
+        starts.setdefault(tuple(words[i : i + 5]), []).append(i)
+    repeated = len({j for v in starts.values() if len(v) > 1 for i in v for j in range(i, i + 5)})
+    plain = sum(bool(regex.fullmatch(r"""[("'«“¿¡]?\p{L}[\p{L}\p{M}'’-]*[.,;:!?)"'»”…]*""", w)) for w in words)
+    ended = sum(bool(re.search(r"""[.!?:;…。]["'»”’)\]]?$""", x.rstrip(" \t\n\v\f\r"))) for x in lines)
+    bad = lambda x, least: x < least
+    vote = lambda good, wrong, applies=True: (-1 if wrong else 1 if good else 0) if applies else 0
+    symbols, upper, shouts = len(re.findall(r"[#*$%&|<>]", t)) / n, len(regex.findall(r"\p{Lu}", t)) / chars, t.count("!") / n
+    variety, again, repeats, length = len(set(words)) / n, (len(lines) - len(set(lines))) / k, repeated / n, sum(map(len, words)) / n
+    return [
+        vote(symbols < 0.05, symbols > 0.1), vote(upper < 0.15, upper > 0.35, sum(map(len, words)) >= 20), vote(shouts < 0.1, shouts > 0.5), vote(variety > 0.5, variety < 0.3, len(words) >= 30),
+        vote(again < 0.1, again > 0.3, len(lines) >= 4), vote(repeats < 0.05, repeats > 0.15, len(words) >= 10), vote(2 < length < 15, length < 1.2 or length > 40, len(words) >= 10),
+        vote(plain / n > 0.9, bad(plain / n, 0.8), len(words) >= 10), vote(ended / k > 0.8, bad(ended / k, 0.5), len(words) >= 10),
+    ]
+
+
+def test_verdicts_equal_brute_force(docs, texts):
+    votes = {i: tuple(brute_votes(t)) for i, t in texts.items()}
+    counted = Counter(votes.values())
+    patterns = sorted(counted)
+    posterior = dict(zip(patterns, estimate(np.array(patterns), np.array([counted[p] for p in patterns], float))[0]))
+    for r in quality.quality_digest(docs).collect():
+        assert r["kept"] == (not r["base_failed"] and posterior[votes[r["doc_id"]]] >= quality.LEAST)
+
+
 @pytest.mark.parametrize("noisy, good_share", [(0, 0.9), (3, 0.9), (0, 0.4)])
 def test_noisy_rule_is_found_out(spark, noisy, good_share):
     rng = np.random.default_rng(5)
@@ -277,10 +380,11 @@ def test_components_equal_brute_force(docs, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.neardup_digest(docs).collect()} == expected
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 5])
-def test_components_of_chains_and_sizes(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, crowd", [(neardup.BLOCK, neardup.CROWD_COUNT), (5, neardup.CROWD_COUNT), (5, 1)])
+def test_components_of_chains_and_sizes(spark, monkeypatch, block, crowd):
     """Copies with one to many changed words around the threshold, in many sizes, and one large family."""
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("CROWD_COUNT", crowd), ("SAMPLE_SHARE", 1 / 16 if crowd > 1 else 1.0), ("ROW_CELLS", 2)):
+        monkeypatch.setattr(neardup, name, value)
     random.seed(11)
     texts, n = {}, 0
     for size in [5, 6, 7, 9, 10, 13, 14, 20, 21, 33, 49, 50, 76, 120] + [60] * 3:

@@ -34,7 +34,7 @@ def test_empty_table(spark, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows_and_clashing_columns(docs, name):
-    clash = docs.withColumns({c: F.lit("kept") for c in ("_key", "_size", "_rate", "_stats", "_found", "_gone", "_tokens", "copy", "size", "key", "name", "set_key", "chunk")})
+    clash = docs.withColumns({c: F.lit("kept") for c in ("_key", "_size", "_rate", "_stats", "_found", "_gone", "_tokens", "copy", "size", "key", "name", "set_key", "chunk", "_alike", "_earlier", "_range", "_row", "lang_pred", "score", "tag", "N_Copies")})
     out = OPERATORS[name](clash)
     rows = out.collect()
     assert rows
@@ -42,6 +42,46 @@ def test_odd_rows_and_clashing_columns(docs, name):
         assert {r["_key"] for r in rows} == {"kept"} and {r["chunk"] for r in rows} == {"kept"}
 
 
+def test_columns_pass_through_unchanged(docs):
+    clash = docs.withColumns({"score": F.lit(-7.0), "lang_pred": F.lit("mine"), "_stats": F.col("n_chars"), "tag": F.lit(3), "set_key": F.lit(4)})
+    for stage in (langid.keep_identified, quality.keep_good, neardup.keep_one, mixing.mix):
+        out = stage(clash)
+        rows = out.collect()
+        assert out.columns == clash.columns and rows and {(r["score"], r["lang_pred"], r["tag"], r["set_key"]) for r in rows} == {(-7.0, "mine", 3, 4)}
+
+
+def test_no_letter_is_no_language(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(9)] + [(20, "½ ² ①", None), (21, "Ⅷ ①", None), (22, "x½y", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[20] == got[21] == ("und", 0.0) and got[22][0] == "en" and langid.words_of("x½y Ⅷab") == ["x", "y", "ab"]
+
+
+def test_one_row_stays_of_each_group(spark):
+    """Ids that stand on several texts, repeated rows and missing ids."""
+    same, other, third = ("one two three four five six seven", "some wholly other text of seven words", "a third text that nobody else has here")
+    rows = [(3, same), (7, same), (7, other), (7, other), (None, same), (None, third), (None, third), (9, other), (5, ""), (5, "")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(3, same), (7, other), (None, third), (5, ""), (5, "")], key=repr)
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    sharded = sharding.shard_documents(docs, 3)
+    sharding.write_shards(sharded, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: repr((r["doc_id"], r["text"], r["shard"], r["slot"]))
+    assert sorted(map(key, back.collect())) == sorted(map(key, sharded.collect()))
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from chorale.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://head:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_shards_are_gapless_and_even(spark, docs):
     many = docs.where("doc_id <> 6").crossJoin(spark.range(40).select(F.col("id").alias("n")))
     rows = sharding.shard_documents(many).collect()
@@ -94,7 +134,7 @@ def test_near_duplicates_of_odd_rows(docs):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 11, 4), (5, 11, 4), (7, 1, 7), (8, 1, 8)} <= got and len(rows) == len(ROWS)
     kept = neardup.keep_one(docs).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 3, 4, 6, 7, 8]
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 3, 4, 6, 7, 8] and sum(r["doc_id"] is None for r in kept) == 1
 
 
 def test_language_of_odd_rows(docs):
