@@ -39,6 +39,13 @@ def epoch(c: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
+def utc_time(text: Column) -> Column:
+    """A time of an ISO text; one without a zone is UTC, whatever the session's zone, and one that is none is null."""
+    zoned = text.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$") & F.contains(text, F.lit(":"))
+    dated = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), F.concat(F.trim(text), F.lit("T00:00:00"))).otherwise(F.trim(text))
+    return F.when(zoned, F.trim(text)).otherwise(F.concat(dated, F.lit("Z"))).try_cast("timestamp")
+
+
 def message_table(username: Column) -> Column:
     return F.concat(F.lit("Msg_"), F.md5(username))
 

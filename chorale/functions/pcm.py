@@ -26,12 +26,17 @@ def frame_metrics(samples: Column, silence: float = SILENT_FRAME, clipping: floa
 
 
 def read_wav(data: bytes | None) -> tuple[int, int, int, np.ndarray] | None:
-    """Rate, channels, bits and samples (frames by channels, in -1 to 1) of PCM WAV bytes; None on any defect."""
-    if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    """Rate, channels, bits and samples (frames by channels, in -1 to 1) of PCM WAV bytes; None on any defect.
+
+    A size that reaches beyond the file is a defect; bytes after the last whole frame are left out.
+    """
+    if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE" or int.from_bytes(data[4:8], "little") + 8 > len(data):
         return None
     at, form, body = 12, None, None
     while at + 8 <= len(data):
         size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if size > len(data) - at - 8:
+            return None
         chunk = data[at + 8 : at + 8 + size]
         if data[at : at + 4] == b"fmt " and size >= 16:
             form = chunk
@@ -42,8 +47,9 @@ def read_wav(data: bytes | None) -> tuple[int, int, int, np.ndarray] | None:
         return None
     kind, channels, rate, bits = (int.from_bytes(form[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8), (14, 16)))
     width = channels * bits // 8
-    if kind != 1 or not rate or not channels or bits not in (8, 16, 24, 32) or len(body) % width:
+    if kind != 1 or not rate or not channels or bits not in (8, 16, 24, 32) or len(body) < width:
         return None
+    body = body[: len(body) // width * width]
     if bits == 24:
         raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
         whole = (raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8

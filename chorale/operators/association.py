@@ -14,10 +14,9 @@ def sender_lookup(messages: DataFrame, names: DataFrame, on: Column) -> DataFram
     return messages.join(names, on, "left")
 
 
-def has_voice_header(payload: Column) -> Column:
-    """The payload starts with the magic, or with the byte 2 and then the magic."""
-    magic = F.lit(MAGIC)
-    return F.startswith(payload, magic) | ((F.substring(payload, 1, 1) == F.lit(b"\x02")) & F.startswith(F.substring(payload, 2, len(MAGIC)), magic))
+def has_voice_header(payload: Column, magic: bytes = MAGIC, lead: bytes = b"\x02") -> Column:
+    """The payload starts with the magic, or with the lead byte and then the magic."""
+    return F.startswith(payload, F.lit(magic)) | ((F.substring(payload, 1, 1) == F.lit(lead)) & F.startswith(F.substring(payload, 2, len(magic)), F.lit(magic)))
 
 
 def payload_state(rows: Column, length: Column, valid_header: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
+
 #: Legal moves of a materialization (fixed values).
 MATERIALIZATION = {"Staging": "DatabasesCommitted", "DatabasesCommitted": "WorkspaceCommitted", "WorkspaceCommitted": "Completed"}
 #: Legal moves of an export transaction (fixed values).
@@ -26,6 +30,61 @@ def decoded_state(present: Column, known_hash: Column, found_hash: Column, known
     return F.when(~F.coalesce(present, F.lit(False)), "Missing").when(fits & (known_hash.isNotNull() | valid), "VerifiedExisting").otherwise("Conflict")
 
 
+def pending_resolution(existing: Column, fresh: Column) -> Column:
+    """What a pending original is once the source was read: verified if the hashes are equal, else another content."""
+    return F.when(F.lower(existing) == F.lower(fresh), "VerifiedExisting").otherwise("source-content-mismatch")
+
+
+def breaks_expectation(expected_hash: Column, expected_length: Column, found_hash: Column, found_length: Column) -> Column:
+    """The written file differs from what its record expects, where it expects anything."""
+    wrong_hash = expected_hash.isNotNull() & ~F.lower(expected_hash).eqNullSafe(F.lower(found_hash))
+    return wrong_hash | (expected_length.isNotNull() & ~expected_length.eqNullSafe(found_length))
+
+
+def artifact_decision(policy: Column, original: Column, decoded: Column) -> Column:
+    """What to do with an item's files under a policy (Fail, VerifyOnly, Replace, SkipIfHashMatches), given their states:
+    an error code, and which of the two files are to be written."""
+    there = (original != "Missing") | (decoded != "Missing")
+    error = F.when((policy == "Fail") & there, "existing-artifact-conflict").when((policy == "VerifyOnly") & (original == "PendingExisting"), "existing-artifact-needs-hash")
+    replace = policy == "Replace"
+    write = error.isNull()
+    return F.struct(error.alias("error"), (write & (replace | original.isin("Missing", "PendingExisting"))).alias("write_original"), (write & (replace | (decoded == "Missing"))).alias("write_decoded"))
+
+
+def ready_item(item: dict[str, Column], entry: dict[str, Column]) -> Column:
+    """An item whose entry, keys, paths, hash and length are all bound and equal, in a state from which it can be published.
+
+    ``item``: stable_key, transaction_key, original_path, original_sha256, original_bytes, decoded_path, decoded_sha256,
+    decoded_bytes, state; ``entry``: stable_key, original_path, original_sha256, original_bytes, decoded_path.
+    """
+    path = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    equal_paths = lambda a, b: I.not_blank(a) & I.not_blank(b) & (path(a) == path(b))
+    decoded = ~I.not_blank(item["decoded_path"]) | (I.not_blank(item["decoded_sha256"]) & item["decoded_bytes"].isNotNull() & equal_paths(entry["decoded_path"], item["decoded_path"]))
+    tests = (
+        I.not_blank(item["stable_key"]), entry["stable_key"] == item["stable_key"], item["transaction_key"] == I.transaction_key(item["stable_key"]),
+        equal_paths(entry["original_path"], item["original_path"]), I.not_blank(item["original_sha256"]), F.lower(entry["original_sha256"]) == F.lower(item["original_sha256"]),
+        entry["original_bytes"] == item["original_bytes"], decoded, item["state"].isin("ReadyToPublish", "Publishing", "Published"),
+    )
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def reconcile_artifact(state: Column, previous: Column, staged: Column, final: Column, expected: tuple[Column, Column], found: tuple[Column, Column], waiting: tuple[Column, Column]) -> Column:
+    """Struct of state, resolved and move for one file of an interrupted run.
+
+    ``staged`` and ``final`` are its paths; the pairs are (length, hash) of what is expected, of the final and of the staged
+    file, null where there is no file. A staged file moves only where no final one is; then it is what was expected.
+    """
+    there = lambda pair: pair[0].isNotNull()
+    fits = lambda pair: F.coalesce(I.not_blank(expected[1]) & (pair[0] == expected[0]) & (F.lower(pair[1]) == F.lower(expected[1])), F.lit(False))
+    existing = (state == "Existing") | ((previous == "VerifiedExisting") & ~I.not_blank(staged))
+    move = I.not_blank(staged) & there(waiting) & fits(waiting) & ~there(found)
+    told = (
+        F.when(existing, F.when(I.not_blank(final) & fits(found), "Existing").otherwise("Failed"))
+        .when(~I.not_blank(final), "NotStarted").when(fits(found), "Committed").when(move, "Committed").otherwise("Failed")
+    )
+    return F.struct(told.alias("state"), (told != "Failed").alias("resolved"), (~existing & I.not_blank(final) & ~fits(found) & move).alias("move"))
+
+
 def recovery_decision(state: Column, items: Column, resolved: Column, published: Column, journal_commit: Column) -> Column:
     """What to do at start with each transaction, given the counts of its items."""
     return (
@@ -51,11 +110,17 @@ def account_evidence(rows: DataFrame, account: list, is_self: Column) -> DataFra
 
 
 def role_of_file(name: Column) -> tuple[Column, Column]:
-    """Role and shard number by a file's name."""
+    """Role and shard number by a file's name without its extension.
+
+    ``message_N`` and ``media_N`` are such only if all that follows the prefix is a number; any other file is a contact's by
+    a word in its name, else unknown, and has the number behind its last underscore.
+    """
     low = F.lower(name)
-    shard = F.regexp_extract(low, r"^(?:message|media)_(\d+)", 1)
-    role = F.when(low.rlike(r"^message_\d+"), "message").when(low.rlike(r"^media_\d+"), "media").when(F.contains(low, F.lit("contact")) | F.contains(low, F.lit("friend")), "contact").otherwise("unknown")
-    return role, F.when(shard != "", shard).cast("int")
+    stem = F.regexp_replace(low, r"\.[^.]*$", "")
+    after = lambda prefix: F.regexp_extract(stem, rf"{prefix}_\s*(\+?\d+|-0+)\s*$", 1).try_cast("int")
+    message, media = after("^message"), after("^media")
+    role = F.when(message.isNotNull(), "message").when(media.isNotNull(), "media").when(F.contains(low, F.lit("contact")) | F.contains(low, F.lit("friend")), "contact").otherwise("unknown")
+    return role, F.coalesce(message, media, after(""))
 
 
 def account_folder(name: Column) -> Column:
@@ -65,20 +130,62 @@ def account_folder(name: Column) -> Column:
 
 
 def redact_accounts(text: Column) -> Column:
-    return F.regexp_replace(text, r"wxid_[A-Za-z0-9_-]+", "wxid_***")
+    """Account ids, in any case, and words of 32 or more hex digits are masked; a null text is empty."""
+    accounts = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)wxid_[a-z0-9_]+", "wxid_***")
+    return F.regexp_replace(accounts, r"\b[0-9a-fA-F]{32,}\b", "***")
+
+
+#: Severities of the issues of a data set (fixed values).
+SEVERITY = {
+    "incomplete-wal-pair": "warning", "encrypted-or-non-sqlite": "error", "schema-probe-failed": "error", "missing-message-database": "error",
+    "missing-media-database": "error", "missing-contact-database": "warning", "unverified-shard-topology": "info", "no-databases": "error",
+}
+
+
+def file_issues(files: DataFrame, wal: Column, shm: Column, plain: Column, readable: Column) -> DataFrame:
+    """The files with ``code`` and ``severity`` of each issue of a single database file.
+
+    ``wal`` and ``shm``: its sidecars are there; ``plain``: it starts as SQLite files do; ``readable``: its schema could be read.
+    """
+    found = F.array_compact(F.array(F.when(wal != shm, "incomplete-wal-pair"), F.when(~plain, "encrypted-or-non-sqlite").when(~readable, "schema-probe-failed")))
+    return _with_severity(files.withColumn("code", F.explode(found)))
+
+
+def _with_severity(issues: DataFrame) -> DataFrame:
+    every = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return issues.withColumn("severity", every[F.col("code")])
 
 
 def topology_issues(artifacts: DataFrame, group: list[str], role: str, shard: str) -> DataFrame:
-    """Issue rows per data set: missing roles are errors, differing shard sets of messages and media an information."""
+    """Issue rows per data set by the roles of its files; a row without a role stands for a data set without files.
+
+    Shard sets of messages and media are compared where both have numbers.
+    """
     shards = lambda r: F.array_sort(F.collect_set(F.when(F.col(role) == r, F.col(shard))))
     has = lambda r: F.count_if(F.col(role) == r)
-    seen = artifacts.groupBy(*group).agg(has("message").alias("m"), has("media").alias("d"), has("contact").alias("c"), shards("message").alias("ms"), shards("media").alias("ds"))
+    seen = artifacts.groupBy(*group).agg(has("message").alias("m"), has("media").alias("d"), has("contact").alias("c"), F.count(role).alias("n"), shards("message").alias("ms"), shards("media").alias("ds"))
     found = F.array_compact(F.array(
         F.when(F.col("m") == 0, "missing-message-database"), F.when(F.col("d") == 0, "missing-media-database"), F.when(F.col("c") == 0, "missing-contact-database"),
-        F.when((F.col("m") > 0) & (F.col("d") > 0) & (F.col("ms") != F.col("ds")), "unverified-shard-topology"),
+        F.when((F.size("ms") > 0) & (F.size("ds") > 0) & (F.col("ms") != F.col("ds")), "unverified-shard-topology"), F.when(F.col("n") == 0, "no-databases"),
     ))
-    issues = seen.select(*group, F.explode(found).alias("code"))
-    return issues.withColumn("severity", F.when(F.col("code") == "unverified-shard-topology", "info").otherwise("error"))
+    return _with_severity(seen.select(*group, F.explode(found).alias("code")))
+
+
+def ranked_adapters(candidates: DataFrame, group: list[str], adapter: str, score: str, matches: Column) -> DataFrame:
+    """Matching adapters of each data set by score, then id; ``choice`` is the first one, or an error code where there is
+    none or the two highest scores are equal."""
+    order = Window.partitionBy(*group).orderBy(F.desc("_score"), adapter)
+    placed = candidates.withColumn("_score", F.when(matches, F.col(score))).withColumn("place", F.row_number().over(order))
+    top = F.max(F.when(F.col("place") == 1, F.col("_score"))).over(Window.partitionBy(*group))
+    second = F.max(F.when(F.col("place") == 2, F.col("_score"))).over(Window.partitionBy(*group))
+    first = F.max(F.when(F.col("place") == 1, F.col(adapter))).over(Window.partitionBy(*group))
+    choice = F.when(top.isNull(), "no-matching-adapter").when(top == second, "ambiguous-adapter").otherwise(first)
+    return placed.withColumn("choice", choice).where(F.col("_score").isNotNull() | (F.col("place") == 1)).drop("_score")
+
+
+def recoverable_workspace(state: Column, verified: Column) -> Column:
+    """A materialization can be taken up again in two states only, and with a verified manifest."""
+    return F.coalesce(state.isin("DatabasesCommitted", "FailedRecoverable") & verified, F.lit(False))
 
 
 def accepts(artifacts: DataFrame, group: list[str], role: str, matches: Column) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scan_report(rows: DataFrame, duration: Column, time: Column, exportable: Column, size: Column) -> DataFrame:
-    """matched, rejected, durations, first and last time, exportable rows and their bytes, in one aggregation."""
+def scan_report(rows: DataFrame, duration: Column, time: Column, exportable: Column, size: Column, *more: Column) -> DataFrame:
+    """matched, rejected, durations, first and last time, exportable rows and their bytes, and ``more``, in one aggregation."""
     known = duration > 0
     return rows.agg(
         F.count("*").alias("matched"),
@@ -18,6 +18,7 @@ def scan_report(rows: DataFrame, duration: Column, time: Column, exportable: Col
         F.count_if(exportable).alias("exportable"),
         F.greatest(F.count("*") - F.count_if(exportable), F.lit(0)).alias("rejected"),
         F.coalesce(F.sum(F.when(exportable, size)), F.lit(0)).alias("payload_bytes"),
+        *more,
     )
 
 

@@ -24,6 +24,32 @@ def latest_cache_rows(lines: DataFrame, key: list[str], line: str, time: str, us
     return last.orderBy(F.desc(time), *key).limit(keep)
 
 
+def cache_lookup(rows: DataFrame, cache: DataFrame, key: list[str], value: str, known: Column | None = None) -> DataFrame:
+    """Rows with ``value`` (their own ``known`` one, else the cached one) and ``hit``: the cache holds a positive value."""
+    stored = cache.where(F.col(value) > 0).select(*key, F.col(value).alias("_cached"))
+    joined = rows.join(stored, key, "left")
+    own = F.coalesce(known, F.col("_cached")) if known is not None else F.col("_cached")
+    return joined.withColumns({value: own, "hit": F.col("_cached").isNotNull()}).drop("_cached")
+
+
+#: Names of what a stopped run leaves behind (fixed patterns): staging folders and temporary payloads.
+ORPHANS = r"(?:^|/)(?:\..+\.staging|[^/]+\.input\.silk|[^/]+\.output\.wav|[^/]+\.tmp(?:-[0-9a-f]+)?)$"
+
+
+def orphans(listing: DataFrame, path: str, modified: Column, cutoff, link: Column | None = None, names: str = ORPHANS) -> DataFrame:
+    """What is older than the cutoff and has a known name; links are never taken."""
+    stale = F.col(path).rlike(names) & (modified < cutoff)
+    return listing.where(stale & ~F.coalesce(link, F.lit(False)) if link is not None else stale)
+
+
+def deletion_coverage(listed: DataFrame, files: DataFrame, group: list[str], key: str, size: str) -> DataFrame:
+    """Per group of listed databases: how many the files cover, with what bytes, and whether they cover every one."""
+    there = files.groupBy(F.lower(F.col(key).cast("string")).alias("_key")).agg(F.sum(size).alias("_bytes"))
+    both = listed.withColumn("_key", F.lower(F.col(key).cast("string"))).join(there, "_key", "left")
+    covered = F.count("_bytes")
+    return both.groupBy(*group).agg(F.count("*").alias("listed"), covered.alias("covered"), F.sum("_bytes").alias("covered_bytes"), (F.count("*") == covered).alias("complete"))
+
+
 def keep_recent(runs: DataFrame, part: list[str], created: str, complete: str, referenced: str, n: int = 5) -> DataFrame:
     """Referenced, then KeepRecent (incomplete, or fewer than ``n`` strictly newer complete runs), else Compactable."""
     newer = F.rank().over(Window.partitionBy(*part, complete).orderBy(F.desc(created))) - 1

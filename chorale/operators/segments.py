@@ -6,24 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def plan_segments(items: DataFrame, frames: Column, least: int, most: int, target: int, weight: Column | None = None) -> DataFrame:
-    """One row per segment (and per anchor copy): segment, start, length, outcome, copy.
+def plan_segments(items: DataFrame, frames: Column, least: int, most: int, target: int, weight: Column | None = None, shortest: int | None = None, supported: Column | None = None, readable: Column | None = None, rate: Column | None = None) -> DataFrame:
+    """One row per segment (and per anchor copy): segment, start, length, outcome, copy (and duration_ms, given a ``rate``).
 
     Segments have ``target`` frames; a remainder shorter than ``least`` is absorbed by the last one, which is rejected
-    if it thereby exceeds ``most``. A recording shorter than ``least`` is one rejected row.
+    if it thereby exceeds ``most``, as is a whole recording shorter than ``least``. One row rejects a recording that is not
+    ``supported``, not ``readable``, or shorter than ``shortest`` frames (``least``, if not given). Durations are rounded
+    half away from zero for kept segments and down for rejected ones.
     """
+    shortest = least if shortest is None else shortest
+    refused = F.lit(None).cast("string")
+    for test, code in ((frames >= shortest, "shorter-than-one-second"), (readable, "invalid-wav"), (supported, "unsupported-format")):
+        refused = refused if test is None else F.when(~F.coalesce(test, F.lit(False)), code).otherwise(refused)
+    items = items.withColumn("_refused", refused)
+    frames = F.coalesce(frames, F.lit(0))
     items = items.withColumn("_f", frames.cast("long"))
     whole, rest = F.floor(F.col("_f") / target), F.col("_f") % target
     absorbed = (rest < least) & (whole >= 1)
-    n = F.when(F.col("_f") < least, 1).when(absorbed, whole).otherwise(whole + 1).cast("int")
+    n = F.when(F.col("_refused").isNotNull() | (F.col("_f") < least), 1).when(absorbed, whole).otherwise(whole + 1).cast("int")
     out = items.withColumn("_n", n).withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     start = F.col("segment").cast("long") * target
     length = F.when(F.col("segment") == F.col("_n") - 1, F.col("_f") - start).otherwise(F.lit(target))
     out = out.withColumns({"start": start, "length": length})
-    outcome = F.when(F.col("_f") < least, "shorter-than-minimum").when(F.col("length") > most, "segment-out-of-range").otherwise("kept")
+    outcome = F.coalesce(F.col("_refused"), F.when((F.col("length") < least) | (F.col("length") > most), "segment-out-of-range").otherwise("kept"))
     out = out.withColumn("outcome", outcome)
+    if rate is not None:
+        exact = F.col("length") * 1000 / rate
+        out = out.withColumn("duration_ms", F.when(F.col("outcome") == "kept", F.round(exact)).otherwise(F.floor(exact)).cast("long"))
     copies = F.when(F.col("outcome") == "kept", weight).otherwise(1) if weight is not None else F.lit(1)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_f", "_n")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_f", "_n", "_refused")
 
 
 def segment_totals(segments: DataFrame, size: Column) -> DataFrame:

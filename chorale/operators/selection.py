@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
+
 
 def merge_shards(shards: list[DataFrame]) -> DataFrame:
     """Bag union; the order comes from the query, by one range-partitioned sort."""
@@ -53,6 +55,46 @@ def reject_reason(tests: dict[str, Column]) -> Column:
     return chain
 
 
+#: Fields in which a record must agree with the catalog that it came from (fixed values).
+PROVENANCE = ("dataset_id", "adapter_id", "adapter_family", "adapter_version", "account_id", "account_stable_id", "snapshot_id")
+
+
+def export_tests(r: dict[str, Column], context: dict[str, Column], guided: bool = True, conversation: Column | None = None, contact: Column | None = None, username: Column | None = None, direction: str | None = None) -> dict[str, Column]:
+    """The tests behind REASONS for a record's columns ``r``, against the catalog's context and the selection.
+
+    A guided selection names its contact; only then must the length be known, the provenance be whole and the speaker be the
+    expected one: the contact for incoming, the account for outgoing messages.
+    """
+    same = lambda name: I.not_blank(r[name]) & (r[name] == context[name])
+    prints = lambda c: F.transform(c, lambda x: F.lower(x))
+    whole = I.not_blank(r["source_database"]) & (F.size(r["fingerprints"]) > 0) & (prints(r["fingerprints"]) == prints(context["fingerprints"])) & I.not_blank(r["message_key"]) & I.not_blank(r["media_key"])
+    for name in PROVENANCE:
+        whole = whole & same(name)
+    bound = lambda own, wanted: I.not_blank(own) & (own == (wanted if wanted is not None else own))
+    expected = F.when(r["direction"] == "incoming", username if username is not None else r["speaker"]).otherwise(context["account_id"])
+    return {
+        "payload-state": r["payload_state"] == "Linked",
+        "payload-empty": (r["payload_length"] > 0) if guided else F.coalesce(r["payload_length"] > 0, F.lit(True)),
+        "payload-locator": I.not_blank(r["locator_role"]) & I.not_blank(r["locator_key"]) & F.coalesce(r["locator_shard"] >= 0, F.lit(True)),
+        "source-identity": I.not_blank(r["stable_key"]),
+        "provenance": whole if guided else F.lit(True),
+        "contact-identity": bound(r["conversation_id"], conversation) & bound(r["contact_id"], contact),
+        "direction": r["direction"] == direction if direction is not None else F.lit(True),
+        "speaker": I.not_blank(expected) & (r["speaker"] == expected) if guided else F.lit(True),
+    }
+
+
+def context_violation(r: dict[str, Column], context: dict[str, Column]) -> Column:
+    """The first field of a record that is known and differs from the context's, or null."""
+    out = F.lit(None).cast("string")
+    prints = lambda c: F.transform(c, lambda x: F.lower(x))
+    if "fingerprints" in r:
+        out = F.when((F.size(r["fingerprints"]) > 0) & ~prints(r["fingerprints"]).eqNullSafe(prints(context["fingerprints"])), "fingerprints").otherwise(out)
+    for name in reversed([n for n in PROVENANCE if n in r]):
+        out = F.when(r[name].isNotNull() & ~r[name].eqNullSafe(context[name]), name).otherwise(out)
+    return out
+
+
 def speaker_violations(rows: DataFrame, speaker: str, contact: Column) -> DataFrame:
     """Rows spoken by someone other than the contact; an unknown speaker counts as the contact."""
     return rows.where(F.coalesce(F.col(speaker), contact) != contact)

@@ -11,7 +11,7 @@ from ..functions import identity as I
 from ..operators import association as A
 from ..operators import report as R
 from ..operators import selection as S
-from ..schemas import require_schema
+from ..schemas import require_schema, voice_heads
 
 VOICE_TYPE = 34
 #: Origins of received and sent messages (fixed values).
@@ -74,17 +74,25 @@ class VoiceQuery:
 
 @dataclass(frozen=True)
 class Context:
-    """Who the records belong to; part of their stable keys."""
+    """Who the records belong to: family and account are part of their stable keys, the whole of their provenance."""
 
     family: str
     account_stable_id: str
+    dataset_id: str | None = None
+    adapter_id: str | None = None
+    adapter_version: str | None = None
+    snapshot_id: str | None = None
+    source_database: str | None = None
+    fingerprints: tuple[str, ...] = ()
 
 
 class Catalog:
-    """Tables are the landed ones of ``chorale.schemas``; payloads are read only where a query asks for their hashes."""
+    """Tables are the landed ones of ``chorale.schemas``. Scans read ``voice_heads``, which landing writes beside the payloads;
+    without it, the heads are computed from the payloads at each scan."""
 
-    def __init__(self, contact: DataFrame, message_names: DataFrame, messages: DataFrame, media_names: DataFrame, voice_info: DataFrame, account: str | None, context: Context):
+    def __init__(self, contact: DataFrame, message_names: DataFrame, messages: DataFrame, media_names: DataFrame, voice_info: DataFrame, account: str | None, context: Context, heads: DataFrame | None = None):
         self.tables = {n: require_schema(df, n) for n, df in (("contact", contact), ("message_names", message_names), ("messages", messages), ("media_names", media_names), ("voice_info", voice_info))}
+        self.heads = require_schema(heads, "voice_heads") if heads is not None else voice_heads(voice_info)
         self.account, self.context = account, context
 
     def contacts(self, query: ContactQuery = ContactQuery()) -> DataFrame:
@@ -126,17 +134,17 @@ class Catalog:
 
     ORDER = ("create_time", "shard_number", "local_id", "server_id")
 
-    def voices(self, q: VoiceQuery) -> DataFrame:
-        """The records in order, limited after all filters. Raises before returning if anyone but the contact speaks."""
+    def voices(self, q: VoiceQuery, unordered: bool = False) -> DataFrame:
+        """The records in order (if asked, without it), limited after all filters. Raises before returning if anyone but the
+        contact speaks."""
         rows = self._rows(q)
         if q.direction != "outgoing":
             checked = rows if q.limit is None or q.sized else rows.orderBy(*[F.col(c).asc_nulls_first() for c in self.ORDER]).limit(q.limit)
             S.require_none(S.speaker_violations(checked, "sender", F.lit(q.contact)).limit(1), QueryError("GroupChatNotSupported"))
-        media = self.tables["voice_info"].join(F.broadcast(self.tables["media_names"].where(F.col("user_name") == q.contact).select(F.col("row_id").alias("chat_name_id"))), "chat_name_id")
-        payload = F.col("voice_data")
+        media = self.heads.join(self.tables["media_names"].where(F.col("user_name") == q.contact).select(F.col("row_id").alias("chat_name_id")), "chat_name_id")
         media = media.select(
-            "create_time", "local_id", F.col("svr_id").alias("server_id"), F.octet_length(payload).cast("long").alias("length"), A.has_voice_header(payload).alias("valid"),
-            F.struct("row_id", (F.sha2(payload, 256) if q.deep else F.lit(None).cast("string")).alias("sha256")).alias("media"),
+            "create_time", "local_id", F.col("svr_id").alias("server_id"), F.col("payload_length").alias("length"), A.has_voice_header(F.col("payload_prefix")).alias("valid"),
+            F.struct("row_id", (F.col("payload_sha256") if q.deep else F.lit(None).cast("string")).alias("sha256")).alias("media"),
         )
         if q.sized:
             media = media.where(F.coalesce(S.in_bounds(F.col("length"), q.least_bytes, q.most_bytes), F.lit(False)))
@@ -153,6 +161,8 @@ class Catalog:
             F.when(linked, F.col("media_row.sha256")).alias("payload_sha256"), key.alias("message_primary_key"), media_key.alias("media_primary_key"),
             I.stable_key(F.lit(self.context.family), F.lit(self.context.account_stable_id), F.lit(q.contact), key, media_key).alias("source_stable_key"), F.lit(None).cast("long").alias("duration_ms"),
         )
+        if unordered:
+            return found
         found = found.orderBy(*[F.col(c).asc_nulls_first() for c in self.ORDER])
         return found.limit(q.limit) if q.limit is not None else found
 
@@ -170,25 +180,37 @@ class Catalog:
 
         ``durations`` gives (message_id, duration_ms); without it durations are unknown and satisfy no bound.
         """
-        records = self.voices(replace(q, limit=None))
+        records = self.voices(replace(q, limit=None), unordered=True)
         if durations is not None:
             records = records.drop("duration_ms").join(durations.select("message_id", "duration_ms"), "message_id", "left")
         records = records.where(S.in_bounds(F.col("payload_length"), q.least_bytes, q.most_bytes) & S.in_bounds(F.col("duration_ms"), q.least_ms, q.most_ms))
-        reason = S.reject_reason({
-            "payload-state": F.col("payload_state") == "Linked", "payload-empty": F.col("payload_length") > 0, "payload-locator": F.col("payload_locator").isNotNull(),
-            "source-identity": F.col("source_stable_key").isNotNull(), "direction": F.col("direction").isin("incoming", "outgoing"), "speaker": F.col("speaker_id").isin(q.contact, self.account),
-        })
-        records = records.withColumn("reason_code", reason)
+        known = self._provenance()
+        row = known | {
+            "payload_state": F.col("payload_state"), "payload_length": F.col("payload_length"), "locator_role": F.col("payload_locator.logical_role"), "locator_key": F.col("payload_locator.blob_key"),
+            "locator_shard": F.lit(None).cast("int"), "stable_key": F.col("source_stable_key"), "message_key": F.col("message_primary_key"), "media_key": F.col("media_primary_key"),
+            "conversation_id": F.lit(q.contact), "contact_id": F.lit(q.contact), "direction": F.col("direction"), "speaker": F.col("speaker_id"),
+        }
+        tests = S.export_tests(row, known, True, F.lit(q.contact), F.lit(q.contact), F.lit(q.contact), q.direction)
+        records = records.withColumn("reason_code", S.reject_reason(tests))
         if q.limit is not None:
             ordered = records.withColumn("_shard", F.coalesce("shard_number", F.lit(-1)))
             records = S.until_eligible(ordered, ["create_time", "_shard", "local_id", "server_id"], F.col("reason_code").isNull(), q.limit).drop("_shard")
-        report = R.scan_report(records, F.col("duration_ms"), F.col("create_time"), F.col("reason_code").isNull(), F.col("payload_length"))
-        states = records.agg(*[F.count_if(F.col("payload_state") == s).alias(s.lower()) for s in A.STATES])
-        return records, report.crossJoin(F.broadcast(states))  # one row each
+        states = [F.count_if(F.col("payload_state") == s).alias(s.lower()) for s in A.STATES]
+        report = R.scan_report(records, F.col("duration_ms"), F.col("create_time"), F.col("reason_code").isNull(), F.col("payload_length"), *states)
+        return records.orderBy(*[F.col(c).asc_nulls_first() for c in self.ORDER]), report
+
+    def _provenance(self) -> dict:
+        """What all records of this catalog carry of it."""
+        c = self.context
+        text = {"dataset_id": c.dataset_id, "adapter_id": c.adapter_id, "adapter_family": c.family, "adapter_version": c.adapter_version, "account_id": self.account, "account_stable_id": c.account_stable_id, "snapshot_id": c.snapshot_id, "source_database": c.source_database}
+        return {k: F.lit(v).cast("string") for k, v in text.items()} | {"fingerprints": F.array(*[F.lit(f) for f in c.fingerprints]).cast("array<string>")}
 
 
 def eligible_fingerprint(records: DataFrame) -> str:
-    """sha256 over the eligible records' keys, states and lengths in their order, streamed row by row."""
+    """sha256 over the eligible records' keys, states and lengths in their order, streamed row by row, as this hash has to be.
+
+    The driver holds one partition at a time; ``manifest.ordered_digest`` is the form that Spark computes.
+    """
     import hashlib
 
     digest = hashlib.sha256()

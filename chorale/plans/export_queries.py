@@ -58,9 +58,10 @@ def q_training_eligible(t):
     return _items(t).where(C.training_eligible(_passes(False), F.col("duration"), stored)).select("doc_id")
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_filter([lower(source), 'src1', lower(lang)], lambda f: f <> ''))) AS flags FROM documents")
+@query("""WITH f AS (SELECT doc_id, [upper(source), 'Src1', 'Ärger', lang, 'zz'] AS f FROM documents), u AS (SELECT doc_id, f, list_sort(list_distinct(list_transform(f, lambda x: upper(x)))) AS u FROM f)
+SELECT doc_id, list_transform(u, lambda k: f[list_position(list_transform(f, lambda x: upper(x)), k)]) AS flags FROM u""")
 def q_flag_merge(t):
-    a, b = F.array(F.upper("source"), F.lit(" ")), F.array(F.lit("Src1 "), F.col("lang"))
+    a, b = F.array(F.upper("source"), F.lit(" "), F.lit("Src1")), F.array(F.lit("Ärger"), F.col("lang"), F.lit("zz"), F.lit("ÄRGER"))
     return t.documents.select("doc_id", C.merged_flags(a, b).alias("flags"))
 
 
@@ -138,18 +139,20 @@ def q_distinct_ci(t):
     return X.distinct_fold(t.part, v, F.col("p_partkey"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'item-committed' WHEN 'click' THEN 'item-skipped' WHEN 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'note' WHEN value > 30 THEN 'item-failed' ELSE 'run-cancelled' END WHEN 'signup' THEN 'processing-completed' ELSE 'note' END AS e FROM events),
-f AS (SELECT *, sum((e = 'item-failed')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS failed FROM e),
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'item-committed' WHEN 'click' THEN 'item-skipped' WHEN 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'note' WHEN value > 30 THEN 'item-failed' ELSE 'run-cancelled' END WHEN 'signup' THEN 'processing-completed' WHEN 'view' THEN CASE WHEN value > 90 THEN 'manifest-committed' ELSE 'run-started' END ELSE 'note' END AS e, event_id % 7 <> 0 AS entry, event_id % 5 <> 0 AS fail, CASE WHEN event_type = 'view' THEN 'c' || event_id % 11 END AS context FROM events),
+f AS (SELECT *, sum((e = 'item-failed' AND fail)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS failed FROM e),
 s AS (SELECT *, CASE WHEN e = 'run-cancelled' THEN 'Cancelled' WHEN e = 'processing-completed' AND failed > 0 THEN 'CompletedWithFailures' WHEN e = 'processing-completed' THEN 'Completed' END AS st FROM f)
-SELECT user_id, count(*) FILTER (WHERE e IN ('item-committed', 'item-skipped')) AS entries, count(*) FILTER (WHERE e = 'item-failed') AS failures, arg_max(st, event_id) FILTER (WHERE st IS NOT NULL) AS status FROM s GROUP BY 1""")
+SELECT user_id, count(*) FILTER (WHERE e IN ('item-committed', 'item-skipped') AND entry) AS entries, count(*) FILTER (WHERE e = 'item-failed' AND fail) AS failures, coalesce(arg_max(st, event_id) FILTER (WHERE st IS NOT NULL), 'Failed') AS status,
+arg_max(context, event_id) FILTER (WHERE context IS NOT NULL) AS context, max(event_id) FILTER (WHERE e = 'manifest-committed') AS committed_at FROM s GROUP BY 1""")
 def q_journal_status(t):
     kind = F.col("event_type")
     named = (
         F.when(kind == "purchase", "item-committed").when(kind == "click", "item-skipped").when((kind == "error") & (F.col("user_id") % 3 == 0), "note").when((kind == "error") & (F.col("value") > 30), "item-failed")
-        .when(kind == "error", "run-cancelled").when(kind == "signup", "processing-completed").otherwise("note")
+        .when(kind == "error", "run-cancelled").when(kind == "signup", "processing-completed").when((kind == "view") & (F.col("value") > 90), "manifest-committed").when(kind == "view", "run-started").otherwise("note")
     )
-    rows = t.events.withColumn("event", named)
-    return M.journal_status(rows, "user_id", "event_id", "event")
+    i = F.col("event_id")
+    context = F.when(kind == "view", F.concat(F.lit("c"), (i % 11).cast("string")))
+    return M.journal_status(t.events.withColumn("event", named), "user_id", "event_id", "event", F.when(i % 7 != 0, 1), F.when(i % 5 != 0, 1), context, i, "Failed")
 
 
 @query("SELECT event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS failures FROM events")
@@ -218,7 +221,7 @@ def q_pcm_metrics(t):
 _SEGMENTS = """s AS (SELECT doc_id, n_chars AS r, CASE WHEN n_chars < 100 THEN 1 WHEN n_chars % 1000 < 100 AND n_chars >= 1000 THEN n_chars // 1000 ELSE n_chars // 1000 + 1 END AS n FROM documents),
 x AS (SELECT doc_id, r, n, unnest(range(0, n)) AS segment FROM s),
 y AS (SELECT doc_id, segment::INT AS segment, segment * 1000 AS start, CASE WHEN segment = n - 1 THEN r - segment * 1000 ELSE 1000 END AS length, r FROM x),
-z AS (SELECT *, CASE WHEN r < 100 THEN 'shorter-than-minimum' WHEN length > 1050 THEN 'segment-out-of-range' ELSE 'kept' END AS outcome FROM y)"""
+z AS (SELECT *, CASE WHEN r < 100 THEN 'shorter-than-one-second' WHEN length > 1050 THEN 'segment-out-of-range' ELSE 'kept' END AS outcome FROM y)"""
 
 
 @query(f"WITH {_SEGMENTS} SELECT doc_id, segment, start, length, outcome, unnest(range(1, CASE WHEN outcome = 'kept' THEN 2 + (doc_id % 2) ELSE 2 END))::INT AS copy FROM z")
@@ -284,7 +287,7 @@ _ROLE = "CASE p_partkey % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'media' WHEN 2 THE
 
 @query(f"""WITH a AS (SELECT p_brand, p_size, {_ROLE} AS role, p_partkey % 3 AS shard FROM part), g AS (SELECT p_brand, p_size, count(*) FILTER (WHERE role = 'message') AS m, count(*) FILTER (WHERE role = 'media') AS d, count(*) FILTER (WHERE role = 'contact') AS c,
 list_sort(coalesce(list(DISTINCT shard) FILTER (WHERE role = 'message'), [])) AS ms, list_sort(coalesce(list(DISTINCT shard) FILTER (WHERE role = 'media'), [])) AS ds FROM a GROUP BY 1, 2)
-SELECT p_brand, p_size, 'missing-message-database' AS code, 'error' AS severity FROM g WHERE m = 0 UNION ALL SELECT p_brand, p_size, 'missing-media-database', 'error' FROM g WHERE d = 0 UNION ALL SELECT p_brand, p_size, 'missing-contact-database', 'error' FROM g WHERE c = 0
+SELECT p_brand, p_size, 'missing-message-database' AS code, 'error' AS severity FROM g WHERE m = 0 UNION ALL SELECT p_brand, p_size, 'missing-media-database', 'error' FROM g WHERE d = 0 UNION ALL SELECT p_brand, p_size, 'missing-contact-database', 'warning' FROM g WHERE c = 0
 UNION ALL SELECT p_brand, p_size, 'unverified-shard-topology', 'info' FROM g WHERE m > 0 AND d > 0 AND ms <> ds""")
 def q_topology_issues(t):
     rows = t.part.select("p_brand", "p_size", F.expr(_ROLE).alias("role"), (F.col("p_partkey") % 3).alias("shard"))
@@ -297,11 +300,11 @@ def q_adapter_probe(t):
     return V.accepts(rows, ["p_brand", "p_size"], "role", F.col("ok"))
 
 
-_NAME = "CASE page_id % 5 WHEN 0 THEN 'Message_' || page_id || '.db' WHEN 1 THEN 'media_' || page_id || '.db' WHEN 2 THEN 'my_Contact.db' WHEN 3 THEN 'friend_2.db' ELSE 'other_' || page_id END"
+_NAME = "CASE page_id % 8 WHEN 0 THEN 'Message_' || page_id || '.db' WHEN 1 THEN 'media_' || page_id || '.db' WHEN 2 THEN 'my_Contact.db' WHEN 3 THEN 'friend_2.db' WHEN 4 THEN 'message_' || page_id || '_fts.db' WHEN 5 THEN 'message_99999999999.db' WHEN 6 THEN 'MEDIA_+7' ELSE 'other_' || page_id || '.x_9' END"
 
 
-@query(f"""WITH n AS (SELECT page_id, lower({_NAME}) AS f FROM pages) SELECT page_id, CASE WHEN regexp_matches(f, '^message_[0-9]+') THEN 'message' WHEN regexp_matches(f, '^media_[0-9]+') THEN 'media' WHEN f LIKE '%contact%' OR f LIKE '%friend%' THEN 'contact' ELSE 'unknown' END AS role,
-TRY_CAST(nullif(regexp_extract(f, '^(?:message|media)_([0-9]+)', 1), '') AS INT) AS shard FROM n""")
+@query(f"""WITH n AS (SELECT page_id, lower({_NAME}) AS f FROM pages) SELECT page_id, CASE WHEN TRY_CAST(nullif(regexp_extract(s, '^message_([0-9+]+)$', 1), '') AS INT) IS NOT NULL THEN 'message' WHEN TRY_CAST(nullif(regexp_extract(s, '^media_([0-9+]+)$', 1), '') AS INT) IS NOT NULL THEN 'media' WHEN f LIKE '%contact%' OR f LIKE '%friend%' THEN 'contact' ELSE 'unknown' END AS role,
+TRY_CAST(nullif(regexp_extract(s, '_([0-9+]+)$', 1), '') AS INT) AS shard FROM (SELECT *, regexp_replace(f, '\\.[^.]*$', '') AS s FROM n)""")
 def q_role_from_name(t):
     role, shard = V.role_of_file(F.expr(_NAME))
     return t.pages.select("page_id", role.alias("role"), shard.alias("shard"))
@@ -310,29 +313,31 @@ def q_role_from_name(t):
 _FOLDER = "CASE page_id % 3 WHEN 0 THEN 'wxid_u' || page_id || '_' || substr(md5(url), 1, 4) WHEN 1 THEN 'wxid_u' || page_id || '_' || substr(md5(url), 1, 16) ELSE 'wxid_u' || page_id || '_' || substr(md5(url), 1, 7) END"
 
 
-@query(f"SELECT page_id, nullif(regexp_extract({_FOLDER}, '^(wxid_.+)_([0-9a-fA-F]{{4}}|[0-9a-fA-F]{{16}})$', 1), '') AS account, regexp_replace('user ' || {_FOLDER} || ' seen', 'wxid_[A-Za-z0-9_-]+', 'wxid_***', 'g') AS redacted FROM pages")
+@query(f"SELECT page_id, nullif(regexp_extract({_FOLDER}, '^(wxid_.+)_([0-9a-fA-F]{{4}}|[0-9a-fA-F]{{16}})$', 1), '') AS account, regexp_replace(regexp_replace('user WX' || substr({_FOLDER}, 3) || '-a seen ' || md5(url) || ' x' || md5(url) || ' ' || substr(md5(url), 1, 20), '(?i)wxid_[a-z0-9_]+', 'wxid_***', 'g'), '\\b[0-9a-fA-F]{{32,}}\\b', '***', 'g') AS redacted FROM pages")
 def q_account_folder(t):
     name = F.expr(_FOLDER)
-    return t.pages.select("page_id", V.account_folder(name).alias("account"), V.redact_accounts(F.concat(F.lit("user "), name, F.lit(" seen"))).alias("redacted"))
+    return t.pages.select("page_id", V.account_folder(name).alias("account"), V.redact_accounts(F.concat(F.lit("user WX"), F.substring(name, 3, 1000), F.lit("-a seen "), F.md5("url"), F.lit(" x"), F.md5("url"), F.lit(" "), F.substring(F.md5("url"), 1, 20))).alias("redacted"))
 
 
 @query("""SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 4 = 0 THEN o_custkey END, c.d, 0)::BIGINT AS duration, c.d IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity)::BIGINT AS d FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING max(l_quantity) > 10) c ON l_orderkey = o_orderkey""")
 def q_cache_lookup(t):
-    cache = t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").cast("long").alias("d")).where("d > 10")
-    return t.orders.join(cache, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.when(F.col("o_custkey") % 4 == 0, F.col("o_custkey")), F.col("d"), F.lit(0)).cast("long").alias("duration"), F.col("d").isNotNull().alias("hit"))
+    cache = t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.max("l_quantity").cast("long")).alias("duration"))
+    cache = cache.withColumn("duration", F.when(F.col("duration") > 10, F.col("duration")).otherwise(0))
+    found = K.cache_lookup(t.orders, cache, ["o_orderkey"], "duration", F.when(F.col("o_custkey") % 4 == 0, F.col("o_custkey")))
+    return found.select("o_orderkey", F.coalesce("duration", F.lit(0)).cast("long").alias("duration"), "hit")
 
 
 @query("""SELECT p_brand, count(*) AS listed, count(s) AS covered, (sum(p_partkey) FILTER (WHERE s IS NOT NULL))::BIGINT AS covered_bytes, count(*) = count(s) AS complete FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS s FROM lineitem WHERE l_quantity > 20) ON s = p_partkey GROUP BY 1""")
 def q_deletion_coverage(t):
-    there = t.lineitem.where("l_quantity > 20").select(F.col("l_partkey").alias("s")).distinct()
-    both = t.part.join(there, F.col("p_partkey") == F.col("s"), "left")
-    return both.groupBy("p_brand").agg(F.count("*").alias("listed"), F.count("s").alias("covered"), F.sum(F.when(F.col("s").isNotNull(), F.col("p_partkey"))).alias("covered_bytes"), (F.count("*") == F.count("s")).alias("complete"))
+    there = t.lineitem.where("l_quantity > 20").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return K.deletion_coverage(t.part, there.withColumn("size", F.col("p_partkey")), ["p_brand"], "p_partkey", "size")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(source || '.' || CASE WHEN doc_id % 2 = 0 THEN 'tmp' ELSE 'staging-' || lang END, '^src[0-9]\\.(tmp|staging-[a-d].*)$') AND n_chars > 500")
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 5 <> 0 AND n_chars < 500")
 def q_orphan_sweep(t):
-    name = F.concat(F.col("source"), F.lit("."), F.when(F.col("doc_id") % 2 == 0, "tmp").otherwise(F.concat(F.lit("staging-"), "lang")))
-    return t.documents.where(name.rlike(r"^src[0-9]\.(tmp|staging-[a-d].*)$") & (F.col("n_chars") > 500)).select("doc_id")
+    i = F.col("doc_id")
+    name = F.when(i % 4 == 0, F.concat(F.lit("a/."), "source", F.lit(".staging"))).when(i % 4 == 1, F.concat("source", F.lit(".input.silk"))).when(i % 4 == 2, F.concat("lang", F.lit(".tmp-0a"))).otherwise(F.concat("lang", F.lit(".wav")))
+    return K.orphans(t.documents.withColumn("path", name), "path", F.col("n_chars"), 500, i % 5 == 0).select("doc_id")
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', source, coalesce(lang, ''), CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) ELSE '' END)) AS fingerprint, regexp_matches(md5(text) || md5(text), '^[0-9a-fA-F]{64}$') AND n_chars > 0 AS valid FROM documents")

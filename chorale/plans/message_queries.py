@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..operators import association as A
+from ..operators.manifest import ordered_digest
 from ..operators import report as R
 from ..operators import selection as S
 from .registry import query
@@ -110,9 +111,10 @@ def q_state_counts(t):
     return R.counts(t.orders, F.col("o_orderstatus"), "state")
 
 
-@query()
+@query("SELECT list_sort(list(s || '=' || n)) AS entries FROM (SELECT lower(o_orderstatus) AS s, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1)")
 def q_state_count_map(t):
-    return R.counts_map(t.orders, F.col("o_orderstatus"))
+    counted = R.counts_map(t.orders, F.col("o_orderstatus"))
+    return counted.select(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("entries"))
 
 
 @query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS suspected_duplicates FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text))")
@@ -123,18 +125,7 @@ def q_duplicate_count(t):
 @query("""SELECT doc_id, starts_with(text, 'The') OR starts_with(text, ' The') AS valid, octet_length(encode(text)) AS bytes FROM documents""")
 def q_header_check(t):
     raw = F.encode("text", "UTF-8")
-    valid = F.startswith(raw, F.lit(b"The")) | ((F.substring(raw, 1, 1) == F.lit(b" ")) & F.startswith(F.substring(raw, 2, 3), F.lit(b"The")))
-    return t.documents.select("doc_id", valid.alias("valid"), F.octet_length(raw).cast("long").alias("bytes"))
-
-
-@query(f"""WITH {_MEDIA} SELECT o_orderkey, CASE WHEN state <> 'Linked' AND state <> 'Ambiguous' THEN 'payload-state' WHEN coalesce(length, 0) <= 0 THEN 'payload-empty' WHEN o_custkey % 11 = 0 THEN 'source-identity'
-WHEN o_orderpriority LIKE '5%' THEN 'provenance' WHEN o_orderstatus = 'P' THEN 'direction' END AS reason_code FROM a""")
-def q_eligibility(t):
-    tests = {
-        "payload-state": F.col("payload_state").isin("Linked", "Ambiguous"), "payload-empty": F.col("payload_length") > 0, "source-identity": F.col("o_custkey") % 11 != 0,
-        "provenance": ~F.col("o_orderpriority").startswith("5"), "direction": F.col("o_orderstatus") != "P",
-    }
-    return _associated(t).select("o_orderkey", S.reject_reason(tests).alias("reason_code"))
+    return t.documents.select("doc_id", A.has_voice_header(raw, b"The", b" ").alias("valid"), F.octet_length(raw).cast("long").alias("bytes"))
 
 
 _KEY = "CASE WHEN o_custkey % 13 <> 0 AND regexp_matches(o_orderstatus, '\\S') THEN concat_ws('|', 'family', CAST(o_custkey AS VARCHAR), o_orderstatus, 'message:' || coalesce(CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderkey % 4 AS VARCHAR) END, '') || ':' || CAST(o_orderkey AS VARCHAR)) END"
@@ -156,15 +147,20 @@ def q_item_path(t):
     return t.orders.select("o_orderkey", I.item_path(_key()).alias("path"))
 
 
-@query()
+_PAD = lambda byte: "unhex('" + bytes(b ^ byte for b in b"an example of a key".ljust(64, b"\0")).hex() + "')"
+
+
+@query(f"SELECT o_orderkey, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(k)))) AS item_id FROM (SELECT o_orderkey, {_KEY} AS k FROM orders)")
 def q_item_pseudonym(t):
     return t.orders.select("o_orderkey", I.item_id(_key(), b"an example of a key").alias("item_id"))
 
 
-@query("SELECT o_custkey, sha256(string_agg(sha256(CAST(o_orderkey AS VARCHAR)) || chr(10) || o_orderstatus || chr(10) || CAST(o_custkey AS VARCHAR) || chr(10), '' ORDER BY o_orderkey)) AS fingerprint, count(*) AS n FROM orders GROUP BY 1")
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) || chr(10) || o_orderstatus || chr(10) || CAST(o_custkey AS VARCHAR) || chr(10) AS line, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS part FROM orders),
+p AS (SELECT o_custkey, part, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS d, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT o_custkey, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS n FROM p GROUP BY 1""")
 def q_result_fingerprint(t):
-    line = "concat(sha2(cast(o_orderkey as string), 256), '\\n', o_orderstatus, '\\n', cast(o_custkey as string), '\\n')"
-    return t.orders.groupBy("o_custkey").agg(F.expr(f"sha2(listagg({line}, '') WITHIN GROUP (ORDER BY o_orderkey), 256)").alias("fingerprint"), F.count("*").alias("n"))
+    line = F.concat(F.sha2(F.col("o_orderkey").cast("string"), 256), F.lit("\n"), "o_orderstatus", F.lit("\n"), F.col("o_custkey").cast("string"), F.lit("\n"))
+    return ordered_digest(t.orders, ["o_custkey"], [F.col("o_orderkey")], line, per=4)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE coalesce(CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END, 7) <> 7")

@@ -11,13 +11,13 @@ from ..functions import pcm
 from ..operators import recovery as V
 from ..operators import reconcile as X
 from ..operators.manifest import PORTABLE
-from ..schemas import DDL, schema
+from ..schemas import DDL, schema, voice_heads
 
 
 def read_sqlite(spark: SparkSession, path: str, name: str, select: str) -> DataFrame:
     """Land one table of an SQLite file, opened read-only and immutable; ``select`` yields the contract's columns.
 
-    A one-time load by the driver: write it as Parquet and query that.
+    For small tables only, as the driver holds its rows; ``land_sqlite`` writes larger ones in batches.
     """
     connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
     try:
@@ -26,6 +26,17 @@ def read_sqlite(spark: SparkSession, path: str, name: str, select: str) -> DataF
         connection.close()
 
 
+def land_sqlite(spark: SparkSession, path: str, name: str, select: str, folder: str, batch: int = 20_000) -> None:
+    """Write one table of an SQLite file as Parquet, appending a batch of rows at a time; the driver holds one batch."""
+    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
+    try:
+        cursor = connection.execute(select)
+        while rows := cursor.fetchmany(batch):
+            spark.createDataFrame(rows, schema(name)).write.mode("append").parquet(folder)
+    finally:
+        connection.close()
+
+
 def conversation_tables(path: str) -> list[str]:
     """Message tables of an SQLite file: ``Msg_`` and 32 hex digits."""
     import re
@@ -39,7 +50,8 @@ def conversation_tables(path: str) -> list[str]:
 
 
 def sqlite_schema(path: str) -> list[dict]:
-    """Objects of an SQLite file with their columns and indexes; tables first, then views, hidden ones left out."""
+    """Objects of an SQLite file with their columns, indexes and their columns, foreign keys and triggers; tables first, then
+    views, hidden ones left out."""
     connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
     try:
         found = connection.execute("SELECT type, name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY type = 'view', name COLLATE NOCASE").fetchall()
@@ -47,12 +59,26 @@ def sqlite_schema(path: str) -> list[dict]:
         return [{
             "type": kind, "name": name,
             "columns": [{"name": c[1], "type": c[2], "not_null": bool(c[3]), "default": c[4], "key": c[5], "hidden": c[6]} for c in connection.execute(f"PRAGMA table_xinfo({quoted(name)})")],
-            "indexes": [{"name": i[1], "unique": bool(i[2])} for i in connection.execute(f"PRAGMA index_list({quoted(name)})")],
+            "indexes": [{"name": i[1], "unique": bool(i[2]), "columns": [c[2] for c in connection.execute(f"PRAGMA index_xinfo({quoted(i[1])})") if c[5]]} for i in connection.execute(f"PRAGMA index_list({quoted(name)})").fetchall()],
+            "foreign_keys": [{"table": f[2], "from": f[3], "to": f[4], "on_update": f[5], "on_delete": f[6]} for f in connection.execute(f"PRAGMA foreign_key_list({quoted(name)})")],
+            "triggers": [t[0] for t in connection.execute("SELECT name FROM sqlite_master WHERE type = 'trigger' AND tbl_name = ? ORDER BY name COLLATE NOCASE", (name,))],
         } for kind, name in found]
     finally:
         connection.close()
 
 
+#: Settings of a file that its description holds (fixed values).
+PRAGMAS = ("user_version", "application_id", "page_size", "page_count", "encoding", "journal_mode")
+
+
+def sqlite_pragmas(path: str) -> dict:
+    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
+    try:
+        return {p: connection.execute(f"PRAGMA {p}").fetchone()[0] for p in PRAGMAS}
+    finally:
+        connection.close()
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, length and modificationTime of files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
@@ -79,13 +105,21 @@ EVENT = "event string, run_id string, occurred_at_utc string, message_id string,
 
 
 def read_journal(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """A run's journal in line order: a torn last line is left out, any other bad line or a foreign run is an error."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    parsed = text.where(F.col("line") != "").select("line_no", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
-    bad = parsed.where(F.col("e.event").isNull()).select("line_no")
-    last = parsed.agg(F.max("line_no")).first()[0]
-    if not bad.where(F.col("line_no") < F.lit(last if last is not None else -1)).isEmpty():
-        raise JournalError("a line in the middle is malformed")
+    """A run's journal, ``line_no`` growing with its lines: a malformed last line without a line end is left out as torn, any
+    other malformed line or a foreign run is an error.
+
+    The file is read line by line, in as many tasks as its size asks for. A text that ends without a line end is known by
+    its length, which is then one less than its lines and their ends.
+    """
+    row = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    text = spark.read.text(path, lineSep="\n").select(row.alias("line_no"), F.rtrim("value", F.lit("\r")).alias("line"), (F.octet_length("value") + 1).cast("long").alias("size"))
+    parsed = text.where(F.col("line").rlike(r"\S")).select("line_no", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
+    bad = [r[0] for r in parsed.where(F.col("e.event").isNull()).select("line_no").limit(2).collect()]
+    if bad:
+        last, size = text.agg(F.max("line_no"), F.sum("size")).first()
+        length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+        if len(bad) > 1 or bad[0] != last or size == length:
+            raise JournalError("a line that is no torn end is malformed")
     events = parsed.where(F.col("e.event").isNotNull()).select("line_no", "e.*")
     if not events.where(~F.col("run_id").eqNullSafe(F.lit(run_id))).isEmpty():
         raise JournalError("an event belongs to another run")
@@ -121,6 +155,8 @@ def land(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         if name not in DDL:
             raise KeyError(name)
+        if name == "voice_info":  # scans read the heads only
+            voice_heads(df).write.mode("overwrite").parquet(f"{folder}/voice_heads.parquet")
         if name == "messages":
             df = df.repartition(F.pmod(F.xxhash64("conversation_username"), F.lit(64))).sortWithinPartitions("conversation_username", "create_time")
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

@@ -23,11 +23,11 @@ def person(i, name, alias, remark, nick, encrypt=None):
     return tuple(row)
 
 
-def catalog(spark, messages=FIRST, media=MEDIA, account="wxid_owner", names=(), contacts=()):
+def catalog(spark, messages=FIRST, media=MEDIA, account="wxid_owner", names=(), contacts=(), context=Context("family", "acct", "d", "a", "1", "s", "db", ("f",))):
     people = [person(1, "wxid_owner", "owner_alias", "", "Owner"), person(2, "wxid_peer", "peer_alias", "Peer Remark", "Peer Nick"), person(3, "room@ChatRoom", "", "Remark", ""), *contacts]
     dictionary = [(s, i, n, 1) for s in (0, 1) for i, n in ((1, "wxid_owner"), (2, "wxid_peer"))] + list(names)
     frame = lambda rows, name: spark.createDataFrame(rows, schema(name))
-    return Catalog(frame(people, "contact"), frame(dictionary, "message_names"), frame(messages, "messages"), frame([(1, "wxid_peer")], "media_names"), frame(media, "voice_info"), account, Context("family", "acct"))
+    return Catalog(frame(people, "contact"), frame(dictionary, "message_names"), frame(messages, "messages"), frame([(1, "wxid_peer")], "media_names"), frame(media, "voice_info"), account, context)
 
 
 def incoming(**more):
@@ -149,3 +149,30 @@ def test_schema_contract(spark):
     wrong = spark.createDataFrame([(1, "a")], "row_id int, user_name string")
     with pytest.raises(UnsupportedSchema):
         require_schema(wrong, "media_names")
+
+
+def test_scans_read_heads_not_payloads(spark, tmp_path):
+    from chorale.sources import files
+
+    frame = lambda rows, name: spark.createDataFrame(rows, schema(name))
+    files.land({"voice_info": frame(MEDIA, "voice_info")}, str(tmp_path))
+    info, heads = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("voice_info", "voice_heads"))
+    c = catalog(spark)
+    landed = Catalog(*[c.tables[n] for n in ("contact", "message_names", "messages", "media_names")], info, "wxid_owner", c.context, heads)
+    for query in (incoming(), incoming(deep=True)):
+        records, report = landed.scan(query)
+        plans = records._jdf.queryExecution().toString() + report._jdf.queryExecution().toString()
+        assert "voice_data" not in plans and "payload_prefix" in plans
+        expected, _ = c.scan(query)
+        assert sorted(map(tuple, records.collect())) == sorted(map(tuple, expected.collect()))
+    assert landed.payload(5) == b"not-silk"
+
+
+def test_incomplete_provenance_rejects(spark):
+    records, report = catalog(spark, context=Context("family", "acct")).scan(incoming())
+    assert {r["local_id"]: r["reason_code"] for r in records.collect()}[10] == "provenance" and report.first()["exportable"] == 0
+
+
+def test_each_direction_has_its_speaker(spark):
+    both, _ = catalog(spark).scan(VoiceQuery("wxid_peer", "outgoing"))
+    assert [(r["speaker_id"], r["reason_code"]) for r in both.collect()] == [("wxid_owner", None)]

@@ -44,7 +44,7 @@ def test_until_eligible(spark, flags, n):
 
 def greedy(frames, least, most, target):
     if frames < least:
-        return [(0, frames, "shorter-than-minimum")]
+        return [(0, frames, "shorter-than-one-second")]
     out, at = [], 0
     while at < frames:
         length = min(target, frames - at)
@@ -205,3 +205,121 @@ def test_stream_counts_every_failure(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["run_id"], r["committed"], r["failed"]) for r in spark.table("failed").collect()] == [("r", 1, 3)]
+
+
+def test_a_bad_last_line_with_a_line_end_is_corruption(spark, tmp_path):
+    good = "\n".join(lines("run-started", "item-committed"))
+    for i, (text, torn) in enumerate(((good + '\n{"event": "it', True), (good + '\n{"event": "it\n', False), (good + '\n{"event": "it\n\n', False), ("{x\n" + good + '\n{"event": "it', False), (good.replace("\n", "\r\n") + "\r\n{", True))):
+        path = tmp_path / f"{i}.jsonl"
+        path.write_bytes(text.encode())
+        if torn:
+            found = files.read_journal(spark, str(path), "r").orderBy("line_no").collect()
+            assert [r["event"] for r in found] == ["run-started", "item-committed"]
+        else:
+            with pytest.raises(files.JournalError):
+                files.read_journal(spark, str(path), "r")
+
+
+def test_journal_lines_keep_their_order_over_many_tasks(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text("\n".join(json.dumps({"event": "note", "run_id": "r", "message_id": str(i)}) for i in range(3000)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = files.read_journal(spark, str(tmp_path / "j.jsonl"), "r")
+        assert found.rdd.getNumPartitions() > 3
+        assert [r["message_id"] for r in found.orderBy("line_no").collect()] == [str(i) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_wav_sizes_beyond_the_file_and_torn_frames():
+    whole = wav(np.sin(I24 / 20) * 8000)
+    assert pcm.read_wav(whole[:-10]) is None
+    longer = bytearray(whole)
+    longer[40:44] = (len(whole)).to_bytes(4, "little")
+    assert pcm.read_wav(bytes(longer)) is None
+    odd = bytearray(whole) + b"\x01\x00"
+    odd[40:44], odd[4:8] = (len(whole) - 44 + 1).to_bytes(4, "little"), (len(odd) - 8).to_bytes(4, "little")
+    assert len(pcm.read_wav(bytes(odd))[3]) == 24000
+
+
+def test_flags_keep_their_first_spelling(spark):
+    merged = curation.merged_flags(F.array(F.lit("b-Flag"), F.lit(" "), F.lit("A")), F.array(F.lit("B-FLAG"), F.lit("a"), F.lit("c")))
+    assert spark.range(1).select(merged).first()[0] == ["A", "b-Flag", "c"]
+
+
+def test_byte_bounds_of_the_curation_filter(spark):
+    df = spark.createDataFrame([(1,), (5,), (9,)], "n long")
+    inside = curation.passes_filters(F.lit(1), F.col("n"), F.array(F.lit("x")), F.lit(False), F.lit("incoming"), 0, 9, [], ["incoming"], True, 2, 8)
+    assert [r["n"] for r in df.where(inside).collect()] == [5]
+
+
+def test_scan_cache(spark, tmp_path):
+    from chorale.sources import caches
+
+    root, fp = str(tmp_path), "a" * 64
+    records = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id long, name string")
+    report = spark.createDataFrame([(3,)], "matched long")
+    assert caches.read_scan(spark, root, "ws", fp) is None
+    caches.write_scan(root, "ws", fp, records, report)
+    found, told = caches.read_scan(spark, root, "ws", fp)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, records.collect()), key=repr) and told.first()[0] == 3
+    assert caches.read_scan(spark, root, "other", fp) is None and caches.read_scan(spark, root, "ws", "b" * 64) is None
+    records.limit(2).write.mode("overwrite").parquet(f"{root}/workspace=ws/query={fp}/records")  # not what the manifest says
+    assert caches.read_scan(spark, root, "ws", fp) is None
+    caches.write_scan(root, "ws", fp, records, report)
+    assert caches.read_scan(spark, root, "ws", fp) is not None
+    for part in (tmp_path / "workspace=ws" / f"query={fp}" / "records").glob("*.parquet"):
+        part.write_bytes(b"torn")
+    assert caches.read_scan(spark, root, "ws", fp) is None
+    for bad in (("../ws", fp), ("ws", "short"), ("", fp)):
+        with pytest.raises(ValueError):
+            caches.read_scan(spark, root, *bad)
+
+
+def test_cache_compaction_and_spool(spark, tmp_path):
+    from chorale.sources import caches
+
+    df = spark.createDataFrame([(8 << 20, 1, 1, False), (1, 300, 100, False), (1, 300, 200, False), (1, 1, 100_001, False), (1, 1, 1, True), (1, 1, 1, False)], "b long, l long, u long, m boolean")
+    assert [r[0] for r in df.select(caches.should_compact(*[F.col(c) for c in "blum"])).collect()] == [True, True, False, True, True, False]
+    rows = spark.createDataFrame([("k", 1, 5, 10), ("k", 2, 6, 11), ("j", 3, 0, 12)], "k string, line int, v int, at int")
+    assert [(r["k"], r["v"]) for r in caches.compact(rows, ["k"], "line", "at", F.col("v") > 0).collect()] == [("k", 6)]
+    rows.write.json(str(tmp_path / "spool"))
+    ddl = "k string, line int, v int, at int"
+    n, digest = caches.digest(spark.read.schema(ddl).json(str(tmp_path / "spool"))).first()
+    assert caches.read_spool(spark, str(tmp_path / "spool"), ddl, n, digest).count() == 3
+    with pytest.raises(ValueError):
+        caches.read_spool(spark, str(tmp_path / "spool"), ddl, n, "other")
+
+
+def test_sqlite_is_landed_in_batches(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "media_1.db")
+    db.execute("CREATE TABLE n (user_name TEXT, other INTEGER REFERENCES o (x))")
+    db.execute("CREATE INDEX i ON n (user_name, other)")
+    db.execute("CREATE TRIGGER t AFTER INSERT ON n BEGIN SELECT 1; END")
+    db.executemany("INSERT INTO n (user_name) VALUES (?)", [(f"u{i}",) for i in range(25)])
+    db.commit()
+    db.close()
+    files.land_sqlite(spark, str(tmp_path / "media_1.db"), "media_names", "SELECT rowid, user_name FROM n", str(tmp_path / "out"), batch=10)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted((i + 1, f"u{i}") for i in range(25))
+    (table,) = files.sqlite_schema(str(tmp_path / "media_1.db"))
+    assert table["indexes"] == [{"name": "i", "unique": False, "columns": ["user_name", "other"]}] and table["triggers"] == ["t"] and table["foreign_keys"][0]["table"] == "o"
+    assert files.sqlite_pragmas(str(tmp_path / "media_1.db"))["encoding"] == "UTF-8"
+
+
+def test_duplicate_representative_needs_no_list(spark):
+    df = spark.createDataFrame([("a", i, i == 7) for i in range(50)], "sha string, id int, chosen boolean")
+    (g,) = curation.duplicate_groups(df, "sha", "id", F.col("chosen")).collect()
+    assert (g["size"], g["representative"]) == (50, 7)
+
+
+def test_dataset_metadata(spark):
+    from chorale.operators import dataset
+
+    rows = [("b", "audio/b.wav", "h", 5, 10, "x", "Eligible", "False", True), ("a", "audio/a.wav", "g", None, 20, "x", "Eligible", "False", True), ("c", "p", "i", 9, 9, "x", "Rejected", "False", False)]
+    items = spark.createDataFrame(rows, "item_id string, relative_audio_path string, sha256 string, duration_ms long, byte_length long, quality_flags string, training_eligibility string, selected string, keep boolean")
+    built = dataset.build_items(items, F.col("keep"), F.array(F.lit("A"), F.lit("b")))
+    assert tuple(dataset.build_summary(built).first()) == (2, 5, 30) and {(r["quality_flags"], r["selected"]) for r in built.collect()} == {("A|b", "True")}
+    one, two = (dataset.selection_fingerprint(spark.createDataFrame([(x,) for x in ids], "id string"), "id").first() for ids in (("A", "b"), ("b", "a", "B")))
+    assert one == two and one["n"] == 2
+    assert dataset.reusable(dataset.item_issues(built, built, built.select("item_id"), built.select(F.col("relative_audio_path").alias("path"), "sha256", F.col("byte_length").alias("bytes")))).first()["reusable"]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chorale.plans import export_queries, message_queries, registry  # noqa: F401
+from chorale.plans import export_queries, message_queries, registry, verification_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
