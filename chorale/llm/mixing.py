@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, let, sized_join
+from .common import durable, fresh, id_text, let, sized_join
 
 #: A source's default target weight is its size to this power: small sources are raised, large ones lowered.
 TEMPERATURE = 0.5
@@ -49,6 +49,7 @@ def repetition_rates(docs: DataFrame, weights: dict | None = None, source: str =
     TEMPERATURE. A null source is a source like any other. The output is expected to hold ``epochs`` times the bytes.
     """
     sizes = docs.groupBy(F.col(source).alias("s")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("bytes"))
+    sizes = durable(sizes)  # one row a source, used three times
     if weights is None:
         weight = F.pow(F.col("bytes").cast("double"), F.lit(TEMPERATURE))
     else:
