@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, let
+from .common import durable, let
 
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
@@ -150,9 +150,9 @@ def posterior(vote: Column, model: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def fit(stats: DataFrame, column: str) -> Column | None:
-    """The estimated model as a literal, from the patterns of votes of all rows; None for an empty table."""
-    counted = stats.groupBy(votes(F.col(column)).alias("v")).agg(F.count("*").cast("double").alias("c"))
+def fit(voted: DataFrame) -> Column | None:
+    """The estimated model as a literal, from the votes ``v`` of all rows; None for an empty table."""
+    counted = voted.groupBy("v").agg(F.count("*").cast("double").alias("c"))
     patterns = counted.agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("p"))  # at most 3 ** RULES entries
     found = patterns.where(F.size("p") > 0).select(_estimate(F.col("p")).alias("m")).select("m.*").first()
     if found is None:
@@ -175,11 +175,11 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A document with fewer than 10 words, or with over a fifth of its words in repeated 5-word windows, goes; so does a
     null or empty text, and any whose posterior is below LEAST. Repeated rows share a fate; an empty table stays empty.
-    The rows are stored with their statistics, as a filter on computed columns would compute them anew at each use.
+    Columns of any name pass through. Texts are read twice, to estimate and to filter; nothing of them is stored between.
     """
-    (s,) = fresh(docs, "_stats")
-    staged = durable(docs.withColumn(s, text_stats(F.col(text))))
-    return staged.where(_kept(F.col(s), fit(staged, s))).select(*docs.columns)
+    stats = text_stats(F.col(text))
+    model = fit(docs.select(let(stats, votes).alias("v")))
+    return docs.where(let(stats, lambda s: _kept(s, model)))
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def quality_digest(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result. Other columns of ``docs`` are left out, whatever their names.
     """
     stats = durable(docs.select("doc_id", text_stats(F.col("text")).alias("s")))
-    model, s = fit(stats, "s"), F.col("s")
+    model, s = fit(stats.select(votes(F.col("s")).alias("v"))), F.col("s")
     return stats.select("doc_id", *[s[c].alias(c) for c in STATS[:5]], base_failed(s).alias("base_failed"), _kept(s, model).alias("kept"))
 
 

@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Stages are meant to be written as Parquet and read again
-by the next one; all but the last return the columns of documents.
+by the next one; all but the last return the columns of documents, and any others that their input has, unchanged. An empty
+table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -19,27 +20,32 @@ from chorale.llm.quality import keep_good
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go."""
+    """Documents without a determinable language go: null and empty texts, and those without a letter. Repeated rows share a
+    fate; ties go to the more frequent language."""
     return keep_identified(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are probably bad, by the votes of all rules, go."""
+    """Documents that are probably bad, by the votes of all rules, go, as do those of fewer than 10 words (null and empty ones
+    too) or of over a fifth repeated words. Repeated rows share a fate; a posterior of exactly one half keeps."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
+    """Of each group of near duplicates, the row of the smallest id stays (a missing id comes last; of repeated rows one).
+    Null texts and those without words have no duplicates and stay."""
     return keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to their target weights and shuffled globally."""
+    """Sources are repeated or thinned to their target weights and shuffled globally. A null source is a source; a null text
+    counts as one byte; repeated rows are repeated equally often."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of windows of equal length."""
+    """Documents become pieces of windows of equal length. A null or empty text is its end id alone; repeated rows are packed
+    each."""
     return pack(docs)
 
 
