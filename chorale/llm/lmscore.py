@@ -30,7 +30,7 @@ DEPTH = 5
 #: Of every FOLDS documents by their ids' crc32, one is held out.
 FOLDS = 10
 #: Rows and bytes of text at which a chunk ends.
-CHUNK_ROWS, CHUNK_BYTES = 8192, 32 << 20
+CHUNK_ROWS, CHUNK_BYTES = 8192, 16 << 20
 #: Listed entries of a bucket for each share.
 SHARE_ENTRIES = 16 << 20
 #: Bytes of text for each bucket of the model.
@@ -92,7 +92,7 @@ def _tables(texts: pa.Array, train: np.ndarray, depth: int) -> list[tuple[np.nda
             out.append((found, counts))
             rest = np.unique(keys[~learn])
             out.append((rest, np.zeros(len(rest), np.int64)))
-        if len(parts[GRAM]) > 64:
+        if len(parts[GRAM]) > 6:
             parts = [[ctw.merge(*map(np.concatenate, zip(*p)))] for p in parts]
     return [ctw.merge(*map(np.concatenate, zip(*p))) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for p in parts]
 
