@@ -56,6 +56,8 @@ class MergeCounter:
             self.result.append(ids[a + b])
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        if any("<" not in t or " " in t for t in special):  # counting looks for them only in pieces with this sign
+            raise ValueError("a special string of this vocabulary has no < or has a space")
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.marks = special
         self.words: dict[bytes, int] = {}
@@ -160,4 +162,6 @@ def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, path:
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row, as ``count_tokens`` treats nulls, empty texts and repeated rows.
+    Other columns of ``docs`` are left out, whatever their names."""
     return count_tokens(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")

@@ -89,7 +89,22 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT, s
     )
 
 
+def load_terms(terms: DataFrame, term: str = "term", weight: str = "weight", most: int = 1_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a weighted vocabulary: a weight of 1 or more rejects alone, a positive one below it is soft.
+
+    Terms are trimmed and lower-cased (A-Z); blank and repeated ones count once, by their largest weight, and weights of 0 or
+    less, or missing, leave a term out. A vocabulary of more than ``most`` terms is an error, as each task holds it.
+    """
+    name = F.translate(F.trim(term), _LETTERS.upper(), _LETTERS)
+    found = terms.where((F.trim(term) != "") & (F.col(weight) > 0)).groupBy(name.alias("t")).agg(F.max(weight).alias("w")).orderBy("t").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms")
+    return tuple(r["t"] for r in found if r["w"] >= 1), tuple(r["t"] for r in found if r["w"] < 1)
+
+
 def url_digest(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row, as ``judge_urls`` treats null and empty urls, ties and repeated rows.
+    Other columns of ``pages`` are left out, whatever their names."""
     return judge_urls(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 

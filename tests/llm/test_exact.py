@@ -426,10 +426,11 @@ def test_sets_that_cannot_probe_are_joined_otherwise(spark, docs, texts, monkeyp
     assert got == expected
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("hub", [1000, 1])
+def test_connected_components(spark, hub):
     random.seed(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + random.randrange(40), 100 + random.randrange(40)) for _ in range(30)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), least_hub=hub).collect()}
     root = {x: x for e in edges for x in e}
     for _ in root:
         for a, b in edges:

@@ -190,6 +190,23 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_terms_are_loaded(spark):
+    rows = [(" Casino ", 2.0), ("casino", 0.5), ("free", 0.4), ("bonus", 0.9), ("", 1.0), (None, 1.0), ("none", None), ("off", 0.0)]
+    strict, soft = urls.load_terms(spark.createDataFrame(rows, "term string, weight double"))
+    assert (strict, soft) == (("casino",), ("bonus", "free"))
+    df = spark.createDataFrame([(1, "http://x.io/Casino"), (2, "http://x.io/free"), (3, "http://free.io/bonus")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, strict=strict, soft=soft).collect()} == {1: "block", 2: "allow", 3: "block"}
+    with pytest.raises(ValueError, match="2 terms"):
+        urls.load_terms(spark.createDataFrame(rows, "term string, weight double"), most=2)
+
+
+def test_clashing_columns_and_long_urls(spark):
+    long = "http://example.org/" + "a" * 100_000 + "/casino"
+    df = spark.createDataFrame([(1, long), (2, "http://com/en/x")], "page_id long, url string").withColumns({c: F.lit("kept") for c in ("_hits", "_host", "_path", "_rule", "_url", "verdict", "RULE", "n_strict")})
+    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
+    assert got[1]["verdict"] == "block" and got[1]["_hits"] == "kept" and got[2]["rule"] == "com/en/" and len(got[1]["path"]) == 100_008
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [-1.0, float("nan")]), (4, None), (5, [1.0, None]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 2.0]), (8, [0.001, -0.001]), (9, [])]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).orderBy("query_id", "rank").collect()]
