@@ -2,7 +2,7 @@
 
 A known word scores its log frequency in each language. An unseen word falls back to its known 4-grams, else to its
 3-grams, 2-grams and single characters. The model is fitted on a bounded sample of the labelled documents, shared evenly
-among the languages, and keeps every word and n-gram of it, so its size does not grow with the corpus.
+among the languages, and keeps every n-gram and every repeated word of it, so its size does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_remainder
+from .common import durable, fresh, id_remainder
 
 #: Labelled documents to learn from: each language has an equal share, of which it uses all its documents or, of more, a
 #: sample expected to fill the share. All languages are kept; labels of more than LANGUAGES are refused.
-SAMPLE_DOCS, LANGUAGES = 16_000, 512
+SAMPLE_DOCS, LANGUAGES = 8_000, 512
+#: A word is known to a language that has it so many times; the n-grams are of all words.
+LEAST_WORD = 2
 LONGEST = 4
 UNDETERMINED = "und"
 #: Of every FOLDS documents by their ids' crc32, one is held out.
 FOLDS = 5
 #: Pieces, and numbers in their rows, that a task remembers.
-CACHE, CACHE_CELLS = 200_000, 1 << 26
+CACHE, CACHE_CELLS = 100_000, 1 << 24
 
 #: A run of letters, which may hold numerals that are no digits; these are cut out of the few runs that have them.
 _RUN = re.compile(r"[^\W\d_]+")
@@ -53,6 +55,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     rates = [(r["l"], max(int(min(1.0, sample_docs / len(langs) / r["n"]) * (1 << 30)), r["h"] + 1)) for r in counted]
     sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, below long")), "l").where("h < below")
     words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c")).withColumn("n", F.lit(0))
+    words = durable(words)  # the words of SAMPLE_DOCS documents
     padded = F.concat(F.lit(" "), "g", F.lit(" "))
 
     def parts(n: int) -> Column:
@@ -67,9 +70,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     every = words.select("l", "n", "g", "c")
     for g in grams:
         every = every.unionByName(g.select("l", "n", "g", "c"))
-    rows = every.toArrow()  # the words and n-grams of SAMPLE_DOCS documents
-    sums = rows.group_by(["l", "n"]).aggregate([("c", "sum")])
-    rows = rows.join(sums, ["l", "n"]).rename_columns({"c_sum": "total"}).sort_by([("n", "ascending"), ("g", "ascending"), ("l", "ascending")])
+    sums = every.groupBy("l", "n").agg(F.sum("c").alias("total")).toArrow()
+    rows = every.where((F.col("n") > 0) | (F.col("c") >= LEAST_WORD)).toArrow()
+    rows = rows.join(sums, ["l", "n"]).sort_by([("n", "ascending"), ("g", "ascending"), ("l", "ascending")])
     of = lambda found, name: found[name].to_numpy()
     tables, sizes, at, gain, first = [], [], [], [], 0
     for n in range(LONGEST + 1):
