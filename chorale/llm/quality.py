@@ -17,8 +17,8 @@ from .common import durable, let
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: A word of letters, with the punctuation that prose has around and within words.
-PLAIN = r"""(?<![^\x20\x09-\x0D])[("'\u00AB\u201C\u00BF\u00A1]?\p{L}[\p{L}\p{M}'\u2019-]*[.,;:!?)"'\u00BB\u201D\u2026]*(?![^\x20\x09-\x0D])"""
+#: From the first character that prose has not to the end of its word.
+ODD = r"""[^\p{L}\p{M}\p{N}'\u2019.,;:!?()"\u00AB\u00BB\u201C\u201D\u201E\u2026\u00BF\u00A1\u2013\u2014\x20\x09-\x0D-][^\x20\x09-\x0D]*"""
 #: A line that ends as a sentence does, quotes and brackets aside.
 ENDED = r"[.!?:;\u2026\u3002][\"'\u00BB\u201D\u2019)\]]?$"
 WINDOW = 5
@@ -28,7 +28,10 @@ LEAST = 0.5
 #: The estimated probabilities of a right vote on good and on bad documents, and the share of good ones, stay in these
 #: ranges, which only keep the logarithms finite and a rule no worse than chance on good documents (else classes could swap).
 GOOD_RANGE, BAD_RANGE, SHARE_RANGE = (0.5, 0.9999), (0.01, 0.99), (0.01, 0.99)
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts", "n_plain_words", "n_ended_lines")
+#: Before any votes: right and wrong ones on good documents, on bad ones, and good and bad documents. They anchor tables of few
+#: documents, where most are good and rules seldom err, and vanish in larger ones.
+GOOD_PRIOR, BAD_PRIOR, SHARE_PRIOR = (9, 1), (1, 1), (9, 1)
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_shouts", "n_odd_words", "n_ended_lines")
 
 
 def words_of(text: Column) -> Column:
@@ -68,7 +71,7 @@ def text_stats(text: Column) -> Column:
 
     def with_words(words: Column) -> Column:
         lines = F.filter(F.split(value, "\n", -1), lambda line: F.trim(line, F.lit(SPACE_CHARS)) != "")
-        ended = lambda line: F.rtrim(line, F.lit(SPACE_CHARS)).rlike(ENDED)
+        ended = lambda line: F.substring(F.rtrim(line, F.lit(SPACE_CHARS)), -2, 2).rlike(ENDED)
         counted = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), F.size(F.array_distinct(ls)).alias("d"), F.size(F.filter(ls, ended)).alias("e")))
         return let(counted, lambda ls: F.struct(
             F.size(words).cast("long").alias("n_words"),
@@ -80,7 +83,7 @@ def text_stats(text: Column) -> Column:
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
             count(r"\p{Lu}").cast("long").alias("n_upper"),
             count("!").cast("long").alias("n_shouts"),
-            count(PLAIN).cast("long").alias("n_plain_words"),
+            count(ODD).cast("long").alias("n_odd_words"),
             ls["e"].cast("long").alias("n_ended_lines"),
         ))
 
@@ -97,7 +100,7 @@ def votes(s: Column) -> Column:
 
     symbols, upper, shouts = s["n_symbols"] / n, s["n_upper"] / chars, s["n_shouts"] / n
     variety, again, repeats, length = s["n_distinct_words"] / n, s["n_dup_lines"] / lines, s["n_repeat_words"] / n, s["word_chars"] / n
-    plain, ended = s["n_plain_words"] / n, s["n_ended_lines"] / lines
+    odd, ended = s["n_odd_words"] / n, s["n_ended_lines"] / lines
     return F.array(
         rule(symbols, symbols < 0.05, symbols > 0.1),
         rule(upper, upper < 0.15, upper > 0.35, s["word_chars"] >= 20),
@@ -106,7 +109,7 @@ def votes(s: Column) -> Column:
         rule(again, again < 0.1, again > 0.3, s["n_lines"] >= 4),
         rule(repeats, repeats < 0.05, repeats > 0.15, s["n_words"] >= 10),
         rule(length, (length > 2) & (length < 15), (length < 1.2) | (length > 40), s["n_words"] >= 10),
-        rule(plain, plain > 0.9, plain < 0.8, s["n_words"] >= 10),
+        rule(odd, odd < 0.1, odd > 0.2, s["n_words"] >= 10),
         rule(ended, ended > 0.8, ended < 0.5, s["n_words"] >= 10),
     )
 
@@ -124,12 +127,13 @@ def _estimate(patterns: Column) -> Column:
     def maximise(q: Column) -> Column:
         def right(vote: int, good: bool) -> Column:
             weight, (low, high) = (lambda p, x: p["c"] * (x if good else 1 - x)), (GOOD_RANGE if good else BAD_RANGE)
+            right_ones, wrong_ones = GOOD_PRIOR if good else BAD_PRIOR
             one = lambda r: bounded(
-                (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) == vote, weight(p, x)).otherwise(0.0))) + 1)
-                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + 2), F.lit(low), high)
+                (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) == vote, weight(p, x)).otherwise(0.0))) + right_ones)
+                / (total(F.zip_with(patterns, q, lambda p, x: F.when(F.get(p["v"], r) != 0, weight(p, x)).otherwise(0.0))) + right_ones + wrong_ones), F.lit(low), high)
             return F.transform(rules, one)
 
-        share = total(F.zip_with(patterns, q, lambda p, x: p["c"] * x)) / total(F.transform(patterns, lambda p: p["c"]))
+        share = (total(F.zip_with(patterns, q, lambda p, x: p["c"] * x)) + SHARE_PRIOR[0]) / (total(F.transform(patterns, lambda p: p["c"])) + sum(SHARE_PRIOR))
         return F.struct(bounded(share, F.lit(SHARE_RANGE[0]), SHARE_RANGE[1]).alias("share"), right(1, True).alias("good"), right(-1, False).alias("bad"))
 
     bad = lambda p: F.size(F.filter(p["v"], lambda x: x == -1))
@@ -203,7 +207,7 @@ again AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i
 s AS MATERIALIZED (SELECT w.row, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
   len(l) AS n_lines, len(list_distinct(w)) AS n_distinct_words, len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_shouts,
-  len(list_filter(w, lambda x: regexp_full_match(x, '[("''«“¿¡]?\p{L}[\p{L}\p{M}''’-]*[.,;:!?)"''»”…]*'))) AS n_plain_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '[^\p{L}\p{M}\p{N}''’.,;:!?()"«»“”„…¿¡–—-]'))) AS n_odd_words,
   len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;…。]["''»”’)\]]?[\x20\x09-\x0D]*$'))) AS n_ended_lines FROM w LEFT JOIN again USING (row)),
 m AS (SELECT *, greatest(n_words, 1) AS n, greatest(word_chars, 1) AS c, greatest(n_lines, 1) AS k FROM s),
 v AS MATERIALIZED (SELECT *, [
@@ -214,15 +218,15 @@ v AS MATERIALIZED (SELECT *, [
   CASE WHEN n_lines < 4 THEN 0 WHEN n_dup_lines / k > 0.3 THEN -1 WHEN n_dup_lines / k < 0.1 THEN 1 ELSE 0 END,
   CASE WHEN n_words < 10 THEN 0 WHEN n_repeat_words / n > 0.15 THEN -1 WHEN n_repeat_words / n < 0.05 THEN 1 ELSE 0 END,
   CASE WHEN n_words < 10 THEN 0 WHEN word_chars / n < 1.2 OR word_chars / n > 40 THEN -1 WHEN word_chars / n > 2 AND word_chars / n < 15 THEN 1 ELSE 0 END,
-  CASE WHEN n_words < 10 THEN 0 WHEN n_plain_words / n < 0.8 THEN -1 WHEN n_plain_words / n > 0.9 THEN 1 ELSE 0 END,
+  CASE WHEN n_words < 10 THEN 0 WHEN n_odd_words / n > 0.2 THEN -1 WHEN n_odd_words / n < 0.1 THEN 1 ELSE 0 END,
   CASE WHEN n_words < 10 THEN 0 WHEN n_ended_lines / k < 0.5 THEN -1 WHEN n_ended_lines / k > 0.8 THEN 1 ELSE 0 END] AS v FROM m),
 pat AS MATERIALIZED (SELECT list({'v': v, 'c': c} ORDER BY v) AS p, sum(c) AS total FROM (SELECT v, count(*)::DOUBLE AS c FROM v GROUP BY v)),
 em AS (SELECT 0 AS round, list_transform(p, lambda x: CASE len(list_filter(x.v, lambda y: y = -1)) WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 0.1 END::DOUBLE) AS q FROM pat
   UNION ALL SELECT round + 1, list_transform(p, lambda x: 1 / (1 + exp(-(ln(share / (1 - share)) + list_sum(list_transform(range(1, 10), lambda r:
     CASE x.v[r] WHEN 1 THEN ln(good[r] / (1 - bad[r])) WHEN -1 THEN ln((1 - good[r]) / bad[r]) ELSE 0 END)))))) FROM (
-    SELECT round, p, greatest(0.01, least(0.99, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].c * q[i])) / total)) AS share,
-      list_transform(range(1, 10), lambda r: greatest(0.5, least(0.9999, (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] = 1 THEN p[i].c * q[i] ELSE 0 END)) + 1)
-        / (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] <> 0 THEN p[i].c * q[i] ELSE 0 END)) + 2)))) AS good,
+    SELECT round, p, greatest(0.01, least(0.99, (list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].c * q[i])) + 9) / (total + 10))) AS share,
+      list_transform(range(1, 10), lambda r: greatest(0.5, least(0.9999, (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] = 1 THEN p[i].c * q[i] ELSE 0 END)) + 9)
+        / (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] <> 0 THEN p[i].c * q[i] ELSE 0 END)) + 10)))) AS good,
       list_transform(range(1, 10), lambda r: greatest(0.01, least(0.99, (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] = -1 THEN p[i].c * (1 - q[i]) ELSE 0 END)) + 1)
         / (list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i].v[r] <> 0 THEN p[i].c * (1 - q[i]) ELSE 0 END)) + 2)))) AS bad
     FROM em, pat WHERE round < 26)),

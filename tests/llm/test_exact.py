@@ -231,6 +231,8 @@ def brute_languages(rows):
             for n in range(1, 5):
                 counts[n, r["lang"]].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
     total = {key: sum(c.values()) for key, c in counts.items()}
+    for k in langs:
+        counts[0, k] = Counter({w: c for w, c in counts[0, k].items() if c >= langid.LEAST_WORD})
     names = [set().union(*(counts[n, k] for k in langs)) for n in range(5)]
     floor = [0.5 / (max(total[n, k] for k in langs) + 0.5 * len(names[n]) + 1) for n in range(5)]
     gain = lambda n, g: np.array([np.log1p(counts[n, k][g] / total[n, k] / floor[n]) for k in langs])
@@ -283,9 +285,9 @@ def estimate(v: np.ndarray, c: np.ndarray):
     """The posteriors of the patterns and the model, in numpy."""
     q = np.choose(np.minimum((v == -1).sum(1), 2), [0.9, 0.5, 0.1])
     for _ in range(quality.ROUNDS + 1):
-        weight = lambda x, vote, bounds: np.clip((((c * x)[:, None] * (v == vote)).sum(0) + 1) / (((c * x)[:, None] * (v != 0)).sum(0) + 2), *bounds)
-        share = np.clip((c * q).sum() / c.sum(), *quality.SHARE_RANGE)
-        good, bad = weight(q, 1, quality.GOOD_RANGE), weight(1 - q, -1, quality.BAD_RANGE)
+        weight = lambda x, vote, prior, bounds: np.clip((((c * x)[:, None] * (v == vote)).sum(0) + prior[0]) / (((c * x)[:, None] * (v != 0)).sum(0) + sum(prior)), *bounds)
+        share = np.clip(((c * q).sum() + quality.SHARE_PRIOR[0]) / (c.sum() + sum(quality.SHARE_PRIOR)), *quality.SHARE_RANGE)
+        good, bad = weight(q, 1, quality.GOOD_PRIOR, quality.GOOD_RANGE), weight(1 - q, -1, quality.BAD_PRIOR, quality.BAD_RANGE)
         odds = np.log(share / (1 - share)) + np.where(v == 1, np.log(good / (1 - bad)), np.where(v == -1, np.log((1 - good) / bad), 0)).sum(1)
         q = 1 / (1 + np.exp(-odds))
     return q, share, good, bad
@@ -306,16 +308,15 @@ def brute_votes(t: str) -> list[int]:
     for i in range(len(words) - 4):
         starts.setdefault(tuple(words[i : i + 5]), []).append(i)
     repeated = len({j for v in starts.values() if len(v) > 1 for i in v for j in range(i, i + 5)})
-    plain = sum(bool(regex.fullmatch(r"""[("'«“¿¡]?\p{L}[\p{L}\p{M}'’-]*[.,;:!?)"'»”…]*""", w)) for w in words)
+    odd = sum(bool(regex.search(r"""[^\p{L}\p{M}\p{N}'’.,;:!?()"«»“”„…¿¡–—-]""", w)) for w in words) / n
     ended = sum(bool(re.search(r"""[.!?:;…。]["'»”’)\]]?$""", x.rstrip(" \t\n\v\f\r"))) for x in lines)
-    bad = lambda x, least: x < least
     vote = lambda good, wrong, applies=True: (-1 if wrong else 1 if good else 0) if applies else 0
     symbols, upper, shouts = len(re.findall(r"[#*$%&|<>]", t)) / n, len(regex.findall(r"\p{Lu}", t)) / chars, t.count("!") / n
     variety, again, repeats, length = len(set(words)) / n, (len(lines) - len(set(lines))) / k, repeated / n, sum(map(len, words)) / n
     return [
         vote(symbols < 0.05, symbols > 0.1), vote(upper < 0.15, upper > 0.35, sum(map(len, words)) >= 20), vote(shouts < 0.1, shouts > 0.5), vote(variety > 0.5, variety < 0.3, len(words) >= 30),
         vote(again < 0.1, again > 0.3, len(lines) >= 4), vote(repeats < 0.05, repeats > 0.15, len(words) >= 10), vote(2 < length < 15, length < 1.2 or length > 40, len(words) >= 10),
-        vote(plain / n > 0.9, bad(plain / n, 0.8), len(words) >= 10), vote(ended / k > 0.8, bad(ended / k, 0.5), len(words) >= 10),
+        vote(odd < 0.1, odd > 0.2, len(words) >= 10), vote(ended / k > 0.8, ended / k < 0.5, len(words) >= 10),
     ]
 
 
