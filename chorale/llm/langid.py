@@ -8,7 +8,6 @@ among the languages, and keeps every n-gram and every repeated word of it, so it
 from __future__ import annotations
 
 import re
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ UNDETERMINED = "und"
 #: Of every FOLDS documents by their ids' crc32, one is held out.
 FOLDS = 5
 #: Pieces, and numbers in their rows, that a task remembers.
-CACHE, CACHE_CELLS = 100_000, 1 << 24
+CACHE, CACHE_CELLS = 50_000, 1 << 24
 
 #: A run of letters, which may hold numerals that are no digits; these are cut out of the few runs that have them.
 _RUN = re.compile(r"[^\W\d_]+")
@@ -160,24 +159,23 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(np.maximum(total[:-1] - total[best], -700)).sum())
 
 
-#: The scorer of the model in use, kept by a Python worker from task to task.
-_scorers: dict[str, Scorer] = {}
+def _scorer(model: dict) -> Scorer:
+    """The model's scorer, kept with it: a Python worker drops both once its tasks use another broadcast."""
+    if "scorer" not in model:
+        model["scorer"] = Scorer(model)
+    return model["scorer"]
 
 
 def _judged(docs: DataFrame, model: dict | None, text: str, lang: str, doc_id: str) -> tuple[DataFrame, str]:
     """``docs`` with a column of a new name: a struct of lang_pred and score."""
     model = fit(docs, text, lang, doc_id) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see SAMPLE_DOCS and LANGUAGES
-    run = uuid4().hex
     (found,) = fresh(docs, "_found")
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        if run not in _scorers:
-            _scorers.clear()
-            _scorers[run] = Scorer(shared.value)
-        scorer = _scorers[run]
+        scorer = _scorer(shared.value)
         return pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()))) for t in texts], kind)
 
     return docs.withColumn(found, predict(F.col(text))), found

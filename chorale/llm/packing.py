@@ -32,7 +32,8 @@ END = 1
 WINDOW = 2048
 #: Partly filled windows that a task keeps at most.
 OPEN = 64
-CACHE = 250_000
+#: Units that a task remembers.
+CACHE = 100_000
 
 #: White space as the vocabulary's pattern has it (fixed by Unicode).
 _SPACE = "\t\n\v\f\r \x85\xa0                　"
@@ -78,6 +79,11 @@ class Encoder:
         self.units, self.spaced = Units(), Units()
         self.spaced.lead = " "
 
+    def forget(self) -> None:
+        """Free the memory of the units; a Python worker may outlive its tasks."""
+        self.units.clear()
+        self.spaced.clear()
+
     def ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if first and first[-1] not in _SPACE:
@@ -181,7 +187,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     end = array("I", [END]).tobytes()
 
     def run(batches):
-        encode, packer = encoder(path).ids, LevelPacker(window)
+        known, packer = encoder(path), LevelPacker(window)
         number = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -200,12 +206,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
 
         for b in batches:
             for doc, value in zip(b.column(0).to_pylist(), b.column(1)):
-                for done in packer.place(doc, encode(value.as_py() or "") + end):
+                for done in packer.place(doc, known.ids(value.as_py() or "") + end):
                     close(done)
             if rows:
                 yield batch()
         for done in packer.finish():
             close(done)
+        known.forget()
         if rows:
             yield batch()
 
