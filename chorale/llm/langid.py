@@ -2,26 +2,29 @@
 
 A known word scores its log frequency in each language. An unseen word falls back to its known 4-grams, else to its
 3-grams, 2-grams and single characters. The model is fitted on a bounded sample of the labelled documents, shared evenly
-among the languages, and keeps every n-gram and every repeated word of it, so its size does not grow with the corpus.
+among the languages and bounded in documents and characters, and keeps every word and n-gram of it, so its size does not
+grow with the corpus. Words and n-grams are named by 64 bits, and the model is sorted arrays.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import durable, fresh, id_remainder
+from .common import fresh, id_remainder
 
 #: Labelled documents to learn from: each language has an equal share, of which it uses all its documents or, of more, a
 #: sample expected to fill the share. All languages are kept; labels of more than LANGUAGES are refused.
 SAMPLE_DOCS, LANGUAGES = 8_000, 512
-#: A word is known to a language that has it so many times; the n-grams are of all words.
-LEAST_WORD = 2
+#: Characters that the sample is expected to have at most, shared evenly too; long documents lower its number of documents.
+SAMPLE_CHARS = 1 << 25
 LONGEST = 4
 UNDETERMINED = "und"
 #: Of every FOLDS documents by their ids' crc32, one is held out.
@@ -29,8 +32,14 @@ FOLDS = 5
 #: Pieces, and numbers in their rows, that a task remembers.
 CACHE, CACHE_CELLS = 50_000, 1 << 24
 
+#: Characters of a text that are split into pieces at once.
+SLICE = 1 << 18
+#: An odd multiplier that mixes the code points of a 4-gram into 64 bits.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 #: A run of letters, which may hold numerals that are no digits; these are cut out of the few runs that have them.
 _RUN = re.compile(r"[^\W\d_]+")
+_SPACE = re.compile(r"\s")
 
 
 def words_of(text: str) -> list[str]:
@@ -41,52 +50,96 @@ def words_of(text: str) -> list[str]:
     return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split(" ") if w]
 
 
+def slices(text: str) -> Iterator[str]:
+    """Parts of a text of SLICE characters or more, cut before white space; a longer run without any stays whole."""
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, start + SLICE)
+        end = space.start() if space else len(text)
+        yield text[start:end]
+        start = end
+
+
+def word_key(word: str) -> int:
+    """64 bits that name a word in the model. Of a model of a million words, one unseen word in 2e13 is taken for another."""
+    return xxh3_64_intdigest(word)
+
+
+def gram_keys(points: np.ndarray, n: int) -> np.ndarray:
+    """Key of the n-gram that starts at each code point; up to three of them are packed whole, four are mixed."""
+    out = points[: len(points) - n + 1].astype(np.uint64)
+    for i in range(1, n):
+        out = (out * _MIX if n > 3 else out << np.uint64(21)) + points[i : len(points) - n + 1 + i]
+    return out
+
+
+def padded_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, a space before each and one after the last, and each word's number of them (with one space)."""
+    text = " " + " ".join(words) + " "
+    return np.frombuffer(text.encode("utf-32-le"), "<u4"), np.fromiter(map(len, words), np.int64, len(words)) + 1
+
+
+def within(starts: np.ndarray, sizes: np.ndarray, n: int, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places where an n-gram of a padded word starts, and the word's number: the word has ``size + 2 - n`` of them."""
+    many = np.maximum(sizes + 2 - n, 0)
+    place = np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)
+    return place, np.repeat(np.arange(len(sizes)) if word is None else word, many)
+
+
+_COUNTED = pa.schema([("l", pa.string()), ("n", pa.int32()), ("k", pa.int64()), ("c", pa.int64())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words' keys (n = 0) and of those of their n-grams, added up for each batch; the work is linear in a word's length."""
+    for batch in batches:
+        for lang in pc.unique(batch["l"]).to_pylist():
+            own = batch.filter(pc.equal(batch["l"], lang))
+            words, counts = own["g"].to_pylist(), own["c"].to_numpy()
+            points, sizes = padded_points(words)
+            starts = np.cumsum(sizes) - sizes
+            for n in range(LONGEST + 1):
+                if n:
+                    place, word = within(starts, sizes, n)
+                    keys, rows = np.unique(gram_keys(points, n)[place], return_inverse=True)
+                    found = np.bincount(rows, counts[word], len(keys)).astype(np.int64)
+                else:
+                    keys, found = np.fromiter(map(word_key, words), np.uint64, len(words)), counts
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(found)], schema=_COUNTED)
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Model from the training documents: ``langs``, and for n = 0 (words) to LONGEST a dict of rows. Row i has the entries
-    from ``starts[i]`` to ``starts[i + 1]``: languages ``at``, and how far their log frequency is above the floor, ``gain``."""
+    """Model from the training documents: ``langs``, and for n = 0 (words) to LONGEST the sorted ``keys`` of a table. Its i-th key
+    has the row ``first[n] + i``, with the entries from ``starts[row]`` to ``starts[row + 1]``: languages ``at``, and how far
+    their log frequency is above the floor, ``gain``."""
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (id_remainder(doc_id, FOLDS) != 0))
     labelled = labelled.select(F.col(lang).alias("l"), F.lower(F.col(text)).alias("t"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)).alias("h"))
-    counted = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()
+    counted = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.sum(F.length("t")).alias("chars")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()
     if len(counted) > LANGUAGES:
         raise ValueError(f"the documents are labelled with more than {LANGUAGES} languages")
     langs = [r["l"] for r in counted]
     # Up to its least hash at least, so that no language is missed by the sample.
-    rates = [(r["l"], max(int(min(1.0, sample_docs / len(langs) / r["n"]) * (1 << 30)), r["h"] + 1)) for r in counted]
+    share = lambda r: min(1.0, sample_docs / len(langs) / r["n"], SAMPLE_CHARS / len(langs) / max(r["chars"], 1))
+    rates = [(r["l"], max(int(share(r) * (1 << 30)), r["h"] + 1)) for r in counted]
     sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, below long")), "l").where("h < below")
-    words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c")).withColumn("n", F.lit(0))
-    words = durable(words)  # the words of SAMPLE_DOCS documents
-    padded = F.concat(F.lit(" "), "g", F.lit(" "))
-
-    def parts(n: int) -> Column:
-        """All n-grams of a padded word; the function given to transform has one argument, as a second would be the index."""
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
-
-    grams = [
-        words.select("l", "c", F.explode(parts(n)).alias("g")).where(F.length("g") == n).groupBy("l", "g").agg(F.sum("c").alias("c")).withColumn("n", F.lit(n))
-        for n in range(1, LONGEST + 1)
-    ]
-    every = words.select("l", "n", "g", "c")
-    for g in grams:
-        every = every.unionByName(g.select("l", "n", "g", "c"))
-    sums = every.groupBy("l", "n").agg(F.sum("c").alias("total")).toArrow()
-    rows = every.where((F.col("n") > 0) | (F.col("c") >= LEAST_WORD)).toArrow()
-    rows = rows.join(sums, ["l", "n"]).sort_by([("n", "ascending"), ("g", "ascending"), ("l", "ascending")])
-    of = lambda found, name: found[name].to_numpy()
-    tables, sizes, at, gain, first = [], [], [], [], 0
+    words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c"))
+    every = words.mapInArrow(_cut, "l string, n int, k long, c long").groupBy("l", "n", "k").agg(F.sum("c").alias("c"))
+    rows = every.toArrow().combine_chunks()  # the words and n-grams of the sample
+    n_of, key, count = rows["n"].to_numpy(), rows["k"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+    code = pc.index_in(rows["l"], pa.array(langs, pa.string())).to_numpy()
+    keys, sizes, at, gain, first = [], [], [], [], [0]
     for n in range(LONGEST + 1):
-        found = rows.filter(pc.equal(rows["n"], n))
-        grams_ = found["g"].combine_chunks().dictionary_encode()
-        row, names = grams_.indices.to_numpy(), grams_.dictionary.to_pylist()
-        order = np.argsort(row, kind="stable")
+        own = np.flatnonzero(n_of == n)
+        own = own[np.lexsort((code[own], key[own]))]
+        named, many = np.unique(key[own], return_counts=True)
+        total = np.bincount(code[own], count[own], len(langs))
         # One floor for all languages: else a language of few documents would win by what none of them holds.
-        floor = 0.5 / (of(found, "total").max(initial=0) + 0.5 * len(names) + 1)
-        tables.append({g: first + i for i, g in enumerate(names)})
-        sizes.append(np.bincount(row, minlength=len(names)))
-        at.append(pc.index_in(found["l"], pa.array(langs, pa.string())).to_numpy()[order])
-        gain.append(np.log1p(of(found, "c") / of(found, "total") / floor).astype(np.float32)[order])
-        first += len(names)
-    return {"langs": langs, "tables": tables, "starts": np.concatenate([[0], *sizes]).cumsum(), "at": np.concatenate(at), "gain": np.concatenate(gain)}
+        floor = 0.5 / (total.max(initial=0) + 0.5 * len(named) + 1)
+        keys.append(named)
+        sizes.append(many)
+        at.append(code[own].astype(np.uint16))
+        gain.append(np.log1p(count[own] / total[code[own]] / floor).astype(np.float32))
+        first.append(first[-1] + len(named))
+    return {"langs": langs, "keys": keys, "first": first, "starts": np.concatenate([[0], *sizes]).cumsum(), "at": np.concatenate(at), "gain": np.concatenate(gain)}
 
 
 class Scorer:
@@ -94,34 +147,46 @@ class Scorer:
     and, last, their number; the rows of a text's new pieces are computed together."""
 
     def __init__(self, model: dict):
-        self.langs, self.index = model["langs"], model["tables"]
+        self.langs, self.keys, self.first = model["langs"], model["keys"], model["first"]
         self.size = len(self.langs)
-        self.starts, self.at, self.gain = np.append(model["starts"], model["starts"][-1]), model["at"], model["gain"]
-        self.none = len(self.starts) - 2  # the row of a word of which nothing is known
+        self.starts, self.at, self.gain = model["starts"], model["at"], model["gain"]
         self.limit = min(CACHE, CACHE_CELLS // (self.size + 1))
         scorer = self
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> int:
                 self[piece] = row = len(self)
-                scorer.pending.append([scorer.word(w) for w in words_of(piece.lower())])
+                scorer.pending.append(words_of(piece.lower()))
                 return row
 
         self.pieces, self.pending = Pieces(), []
         self.rows = np.zeros((4096, self.size + 1), np.float32)
 
-    def word(self, word: str) -> list[int]:
-        """Rows of the model whose mean scores the word."""
-        known = self.index[0].get(word)
-        if known is not None:
-            return [known]
-        padded = f" {word} "
-        for n in range(min(LONGEST, len(padded)), 0, -1):
-            table = self.index[n]
-            found = [s for i in range(len(padded) - n + 1) if (s := table.get(padded[i : i + n])) is not None]
-            if found:
-                return found
-        return [self.none]
+    def find(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys in table n, and -1 for those that it does not have."""
+        table = self.keys[n]
+        if not len(table):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[place] == keys, place + self.first[n], -1)
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the model whose mean scores each word, and the number of the word they belong to; none if nothing is known."""
+        row = self.find(0, np.fromiter(map(word_key, words), np.uint64, len(words)))
+        rows, owners = [row[row >= 0]], [np.flatnonzero(row >= 0)]
+        left = np.flatnonzero(row < 0)
+        points, sizes = padded_points([words[i] for i in left])
+        starts = np.cumsum(sizes) - sizes
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            place, owner = within(starts, sizes, n, left)
+            row = self.find(n, gram_keys(points, n)[place])
+            rows.append(row[row >= 0])
+            owners.append(owner[row >= 0])
+            still = ~np.isin(left, owners[-1])
+            left, sizes, starts = left[still], sizes[still], starts[still]
+        return np.concatenate(rows), np.concatenate(owners)
 
     def _settle(self) -> None:
         """Rows of the pieces that were new."""
@@ -133,26 +198,28 @@ class Scorer:
         new[:] = 0
         words = [w for piece in self.pending for w in piece]
         if words:
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            row = np.fromiter((i for w in words for i in w), np.int64, int(sizes.sum()))
             piece = np.repeat(np.arange(last - first), [len(p) for p in self.pending])
+            row, owner = self.known(words)
+            share = 1 / np.maximum(np.bincount(owner, minlength=len(words)), 1)
             many = self.starts[row + 1] - self.starts[row]
             entry = np.arange(many.sum()) + np.repeat(self.starts[row] - (np.cumsum(many) - many), many)
-            share = np.repeat(np.repeat(1 / sizes, sizes), many)
-            np.add.at(new, (np.repeat(np.repeat(piece, sizes), many), self.at[entry]), (self.gain[entry] * share).astype(np.float32))
+            owner = np.repeat(owner, many)
+            np.add.at(new, (piece[owner], self.at[entry]), (self.gain[entry] * share[owner]).astype(np.float32))
             new[:, -1] = np.bincount(piece, minlength=last - first)
         self.pending = []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNDETERMINED, 0.0
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        parts = text.split()
-        rows = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
-        if self.pending:
-            self._settle()
-        total = self.rows[rows].sum(axis=0, dtype=np.float64)
+        total = np.zeros(self.size + 1)
+        for part in slices(text):
+            if len(self.pieces) > self.limit:
+                self.pieces.clear()
+            parts = part.split()
+            rows = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+            if self.pending:
+                self._settle()
+            total += self.rows[rows].sum(axis=0, dtype=np.float64)
         if not total[-1]:
             return UNDETERMINED, 0.0
         best = int(np.argmax(total[:-1]))

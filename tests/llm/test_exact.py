@@ -231,8 +231,6 @@ def brute_languages(rows):
             for n in range(1, 5):
                 counts[n, r["lang"]].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
     total = {key: sum(c.values()) for key, c in counts.items()}
-    for k in langs:
-        counts[0, k] = Counter({w: c for w, c in counts[0, k].items() if c >= langid.LEAST_WORD})
     names = [set().union(*(counts[n, k] for k in langs)) for n in range(5)]
     floor = [0.5 / (max(total[n, k] for k in langs) + 0.5 * len(names[n]) + 1) for n in range(5)]
     gain = lambda n, g: np.array([np.log1p(counts[n, k][g] / total[n, k] / floor[n]) for k in langs])

@@ -1,7 +1,9 @@
 """Every operator on missing values, empty and long texts, repeated rows, empty tables and clashing column names."""
 
+import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,11 +145,33 @@ def test_language_of_odd_rows(docs):
     assert got[4] == got[5] and got[6][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
 
 
-def test_language_model_knows_every_ngram(docs):
-    tables = langid.fit(docs)["tables"]
-    words = {w for r in ROWS if r[0] in (4, 8) for w in r[1].split()}
+def test_language_model_knows_every_word_and_ngram(docs):
+    model = langid.fit(docs)
+    words = sorted({w for r in ROWS if r[0] in (4, 8) for w in r[1].split()})
+    assert set(model["keys"][0].tolist()) == set(map(langid.word_key, words))
     for n in range(1, langid.LONGEST + 1):
-        assert set(tables[n]) == {p[i : i + n] for w in words for p in [f" {w} "] for i in range(len(p) - n + 1)}
+        grams = sorted({p[i : i + n] for w in words for p in [f" {w} "] for i in range(len(p) - n + 1)})
+        own = lambda g: int(langid.gram_keys(langid.padded_points([g])[0][1:-1], n)[0])
+        assert sorted(model["keys"][n].tolist()) == sorted({own(g) for g in grams}) and len(model["keys"][n]) == len(grams)
+
+
+def test_language_of_long_unbroken_runs(spark):
+    """The fit and the scores are linear in a word's length: a run of three million letters takes seconds."""
+    run = "".join(chr(97 + (i * i) % 26) for i in range(3_000_000))
+    rows = [(i, "the cat sat on the mat and the dog ran off", "en") for i in range(20)] + [(i, "der hund und die katze sind im garten", "de") for i in range(20, 40)]
+    rows += [(100, run, "en"), (101, run, "en"), (102, run[1:], None), (103, f"der hund {run[:50]}", None)]
+    began = time.time()
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == got[102] == "en" and got[0] == "en" and got[20] == "de" and time.time() - began < 60
+
+
+def test_language_sample_is_bounded_in_characters(spark, monkeypatch):
+    own = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
+    rows = [(i, own(i) + " the cat sat on the mat" * 40, "en") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(table)["keys"][0]) > 300
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20_000)
+    assert 5 < len(langid.fit(table)["keys"][0]) < 80
 
 
 def test_language_of_few_documents_wins_nothing_unseen(spark):
