@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lmscore, mixing, neardup, packing, quality, sharding, tokencount, topk, urls
+from . import convrepair, langid, lmscore, mixing, neardup, packing, pieces, quality, sharding, spelling, tokencount, topk, urls
 from .common import table
 
 
@@ -21,8 +21,11 @@ def queries() -> dict:
         "op8_exact_top_k": lambda spark, sf: topk.top_k(table(spark, sf, "embeddings")),
         "op9_token_counts": lambda spark, sf: tokencount.token_digest(table(spark, sf, "documents")),
         "op10_mixing": lambda spark, sf: mixing.mix_digest(table(spark, sf, "documents")),
+        "op11_spelling_variants": lambda spark, sf: spelling.variant_digest(table(spark, sf, "documents")),
+        "op12_conversation_repair": lambda spark, sf: convrepair.repair_digest(table(spark, sf, "conversations")),
+        "op13_sentencepiece": lambda spark, sf: pieces.piece_digest(table(spark, sf, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.SHARDS_SQL, "op3_quality_rules": quality.QUALITY_SQL, "op4_ngram_jaccard_join": neardup.COMPONENTS_SQL, "op6_url_filters": urls.URLS_SQL, "op8_exact_top_k": topk.TOPK_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_sharding": sharding.SHARDS_SQL, "op3_quality_rules": quality.QUALITY_SQL, "op4_ngram_jaccard_join": neardup.COMPONENTS_SQL, "op6_url_filters": urls.URLS_SQL, "op8_exact_top_k": topk.TOPK_SQL, "op10_mixing": mixing.MIX_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL, "op12_conversation_repair": convrepair.REPAIR_SQL}
