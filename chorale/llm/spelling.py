@@ -2,7 +2,7 @@
 
 A word's mask has a bit for each letter, set if the letter stands in it an odd number of times. One edit flips at most two
 bits, so of three bands of the mask one at least is equal in both words. Words with an equal band are joined if their
-lengths differ by one at most and the half that the edit leaves alone is equal too, and each pair is verified once.
+lengths differ by one at most and what the edit leaves alone, two thirds of the word, is equal too; then they are verified.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ODDS = 199
 #: Words have so many code points and occurrences at least; a form has RATIO times the occurrences of its variant.
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
-BANDS = 3
+BANDS, PARTS = 3, 3
 
 
 def damaged_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,23 +44,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: each pair of different words that one inserted, deleted or replaced code point makes equal, once, ``a`` before ``b``.
 
     ``words`` has distinct words, of letters of RUN in lower case. A pair is looked for where its greater length is m: both words
-    stand in the buckets of their length and of one more, by band and by each half (the first and the last (m - 1) // 2 code
-    points, of which one edit leaves one alone), named by 64 bits. Of the buckets in which a pair meets, the first finds it.
+    stand in the buckets (named by 64 bits) of their length and of one more, for each band and for each of PARTS parts of the
+    first or last m - 1 code points, with the others. The edit touches one part, so a pair meets where this part is left out.
     """
     sized = words.select("word", F.length("word").alias("size"), masks(F.col("word")).alias("masks"))
-    half = ((F.col("m") - 1) / 2).cast("int")
+    shared, part = F.col("m") - 1, F.col("k") % PARTS
+    start, end = (((shared * (part + i)) / PARTS).cast("int") for i in (0, 1))
+    rest = F.concat(F.substring("word", F.lit(1), start), F.lit(" "), F.substring("word", F.col("size") - (shared - end) + 1, shared - end))
     keyed = (
-        sized.withColumn("m", F.explode(F.array("size", F.col("size") + 1)))
-        .withColumn("halves", F.array(F.substring("word", F.lit(1), half), F.substring("word", F.col("size") - half + 1, half)))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * BANDS - 1))))
-        .select("word", (F.col("m") * 2 * BANDS + F.col("k")).alias("way"), F.xxhash64("k", "m", F.get("masks", (F.col("k") / 2).cast("int")), F.get("halves", F.col("k") % 2)).alias("bucket"))
+        sized.withColumn("m", F.explode(F.array("size", F.col("size") + 1))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(PARTS * BANDS - 1))))
+        .select("word", F.xxhash64("k", "m", F.get("masks", (F.col("k") / PARTS).cast("int")), rest).alias("bucket"))
     )
-    met = keyed.withColumnRenamed("word", "a").join(keyed.withColumnRenamed("word", "b"), ["bucket", "way"])
-    met = met.where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
-    longer = F.greatest(F.length("a"), F.length("b"))
-    same = lambda i: F.get(masks(F.col("a")), i) == F.get(masks(F.col("b")), i)
-    first = F.when(same(0), 0).when(same(1), 1).otherwise(2) * 2 + F.when(F.substring("a", F.lit(1), ((longer - 1) / 2).cast("int")) == F.substring("b", F.lit(1), ((longer - 1) / 2).cast("int")), 0).otherwise(1)
-    return met.where(F.col("way") == longer * 2 * BANDS + first).select("a", "b")
+    met = keyed.withColumnRenamed("word", "a").join(keyed.withColumnRenamed("word", "b"), "bucket")
+    return met.where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
