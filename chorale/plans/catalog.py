@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -90,10 +91,10 @@ class Catalog:
     """Tables are the landed ones of ``chorale.schemas``. Scans read ``voice_heads``, which landing writes beside the payloads;
     without it, the heads are computed from the payloads at each scan."""
 
-    def __init__(self, contact: DataFrame, message_names: DataFrame, messages: DataFrame, media_names: DataFrame, voice_info: DataFrame, account: str | None, context: Context, heads: DataFrame | None = None):
+    def __init__(self, contact: DataFrame, message_names: DataFrame, messages: DataFrame, media_names: DataFrame, voice_info: DataFrame, account: str | None, context: Context, heads: DataFrame | None = None, media_shard: int | None = None):
         self.tables = {n: require_schema(df, n) for n, df in (("contact", contact), ("message_names", message_names), ("messages", messages), ("media_names", media_names), ("voice_info", voice_info))}
         self.heads = require_schema(heads, "voice_heads") if heads is not None else voice_heads(voice_info)
-        self.account, self.context = account, context
+        self.account, self.context, self.media_shard = account, context, media_shard
 
     def contacts(self, query: ContactQuery = ContactQuery()) -> DataFrame:
         """Persons only, by username; search folds A-Z."""
@@ -157,7 +158,7 @@ class Catalog:
         found = found.select(
             I.message_id(F.col("shard_number"), F.col("local_id"), F.col("server_id")).alias("message_id"), *self.ORDER, F.timestamp_seconds("create_time").alias("occurred_at_utc"),
             direction.alias("direction"), F.coalesce("sender", F.lit(q.contact)).alias("speaker_id"), "payload_state", F.coalesce("payload_length", F.lit(0)).alias("payload_length"),
-            F.when(linked, F.struct(F.lit("media").alias("logical_role"), F.col("media_row.row_id").cast("string").alias("blob_key"))).alias("payload_locator"),
+            F.when(linked, F.struct(F.lit("media").alias("logical_role"), F.lit(self.media_shard).cast("int").alias("shard_number"), F.col("media_row.row_id").cast("string").alias("blob_key"))).alias("payload_locator"),
             F.when(linked, F.col("media_row.sha256")).alias("payload_sha256"), key.alias("message_primary_key"), media_key.alias("media_primary_key"),
             I.stable_key(F.lit(self.context.family), F.lit(self.context.account_stable_id), F.lit(q.contact), key, media_key).alias("source_stable_key"), F.lit(None).cast("long").alias("duration_ms"),
         )
@@ -166,14 +167,17 @@ class Catalog:
         found = found.orderBy(*[F.col(c).asc_nulls_first() for c in self.ORDER])
         return found.limit(q.limit) if q.limit is not None else found
 
-    def payload(self, row_id: int) -> bytes:
-        """One payload by its row id."""
-        if row_id <= 0:
-            raise QueryError("InvalidRequest", "a row id is positive")
-        found = self.tables["voice_info"].where(F.col("row_id") == row_id).select("voice_data").limit(1).collect()
-        if not found:
-            raise QueryError("InvalidRequest", "no such payload")
-        return bytes(found[0][0] or b"")
+    def payload(self, locator: dict) -> bytes:
+        """The payload that a record's ``payload_locator`` names: of the media tables, by row id. Of a landed SQLite table this
+        reads the one range that holds the row."""
+        role, shard, key = (locator.get(k) for k in ("logical_role", "shard_number", "blob_key"))
+        row = int(key) if re.fullmatch("[0-9]{1,19}", str(key or "")) else 0
+        if str(role).lower() != "media" or shard != self.media_shard or not 0 < row < 1 << 63:
+            raise QueryError("InvalidRequest", "the locator is not of this catalog's media")
+        found = self.tables["voice_info"].where(F.col("row_id") == row).select("voice_data").limit(1).collect()
+        if not found or found[0][0] is None:
+            raise QueryError("PayloadNotFound", "no such payload")
+        return bytes(found[0][0])
 
     def scan(self, q: VoiceQuery, durations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(records seen, one-row report): the limit counts exportable records, the report every record seen.
@@ -187,7 +191,7 @@ class Catalog:
         known = self._provenance()
         row = known | {
             "payload_state": F.col("payload_state"), "payload_length": F.col("payload_length"), "locator_role": F.col("payload_locator.logical_role"), "locator_key": F.col("payload_locator.blob_key"),
-            "locator_shard": F.lit(None).cast("int"), "stable_key": F.col("source_stable_key"), "message_key": F.col("message_primary_key"), "media_key": F.col("media_primary_key"),
+            "locator_shard": F.col("payload_locator.shard_number"), "stable_key": F.col("source_stable_key"), "message_key": F.col("message_primary_key"), "media_key": F.col("media_primary_key"),
             "conversation_id": F.lit(q.contact), "contact_id": F.lit(q.contact), "direction": F.col("direction"), "speaker": F.col("speaker_id"),
         }
         tests = S.export_tests(row, known, True, F.lit(q.contact), F.lit(q.contact), F.lit(q.contact), q.direction)

@@ -1,9 +1,7 @@
-"""Files as tables: landing SQLite tables, journals, CSV, caches, recordings, listings."""
+"""Files as tables: journals, CSV, caches, recordings, listings."""
 
 from __future__ import annotations
 
-import sqlite3
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,72 +9,7 @@ from ..functions import pcm
 from ..operators import recovery as V
 from ..operators import reconcile as X
 from ..operators.manifest import PORTABLE
-from ..schemas import DDL, schema, voice_heads
-
-
-def read_sqlite(spark: SparkSession, path: str, name: str, select: str) -> DataFrame:
-    """Land one table of an SQLite file, opened read-only and immutable; ``select`` yields the contract's columns.
-
-    For small tables only, as the driver holds its rows; ``land_sqlite`` writes larger ones in batches.
-    """
-    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
-    try:
-        return spark.createDataFrame(connection.execute(select).fetchall(), schema(name))
-    finally:
-        connection.close()
-
-
-def land_sqlite(spark: SparkSession, path: str, name: str, select: str, folder: str, batch: int = 20_000) -> None:
-    """Write one table of an SQLite file as Parquet, appending a batch of rows at a time; the driver holds one batch."""
-    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
-    try:
-        cursor = connection.execute(select)
-        while rows := cursor.fetchmany(batch):
-            spark.createDataFrame(rows, schema(name)).write.mode("append").parquet(folder)
-    finally:
-        connection.close()
-
-
-def conversation_tables(path: str) -> list[str]:
-    """Message tables of an SQLite file: ``Msg_`` and 32 hex digits."""
-    import re
-
-    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
-    try:
-        names = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name COLLATE NOCASE")]
-    finally:
-        connection.close()
-    return [n for n in names if re.fullmatch(r"Msg_[0-9a-f]{32}", n)]
-
-
-def sqlite_schema(path: str) -> list[dict]:
-    """Objects of an SQLite file with their columns, indexes and their columns, foreign keys and triggers; tables first, then
-    views, hidden ones left out."""
-    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
-    try:
-        found = connection.execute("SELECT type, name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY type = 'view', name COLLATE NOCASE").fetchall()
-        quoted = lambda n: '"' + n.replace('"', '""') + '"'
-        return [{
-            "type": kind, "name": name,
-            "columns": [{"name": c[1], "type": c[2], "not_null": bool(c[3]), "default": c[4], "key": c[5], "hidden": c[6]} for c in connection.execute(f"PRAGMA table_xinfo({quoted(name)})")],
-            "indexes": [{"name": i[1], "unique": bool(i[2]), "columns": [c[2] for c in connection.execute(f"PRAGMA index_xinfo({quoted(i[1])})") if c[5]]} for i in connection.execute(f"PRAGMA index_list({quoted(name)})").fetchall()],
-            "foreign_keys": [{"table": f[2], "from": f[3], "to": f[4], "on_update": f[5], "on_delete": f[6]} for f in connection.execute(f"PRAGMA foreign_key_list({quoted(name)})")],
-            "triggers": [t[0] for t in connection.execute("SELECT name FROM sqlite_master WHERE type = 'trigger' AND tbl_name = ? ORDER BY name COLLATE NOCASE", (name,))],
-        } for kind, name in found]
-    finally:
-        connection.close()
-
-
-#: Settings of a file that its description holds (fixed values).
-PRAGMAS = ("user_version", "application_id", "page_size", "page_count", "encoding", "journal_mode")
-
-
-def sqlite_pragmas(path: str) -> dict:
-    connection = sqlite3.connect(f"file:{path}?immutable=1", uri=True)
-    try:
-        return {p: connection.execute(f"PRAGMA {p}").fetchone()[0] for p in PRAGMAS}
-    finally:
-        connection.close()
+from ..schemas import DDL, voice_heads
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -133,10 +133,35 @@ def test_absent_conversation_is_empty(spark):
 
 
 def test_payload_lookup(spark):
-    assert catalog(spark).payload(5) == b"not-silk"
-    for bad in (0, 99):
-        with pytest.raises(QueryError):
-            catalog(spark).payload(bad)
+    c = catalog(spark)
+    assert c.payload({"logical_role": "Media", "blob_key": "5"}) == b"not-silk"
+    for role, shard, key in (("media", None, "0"), ("media", None, "-5"), ("media", None, "5 "), ("media", 0, "5"), ("message", None, "5"), (None, None, "5"), ("media", None, None), ("media", None, "9" * 19)):
+        with pytest.raises(QueryError, match="InvalidRequest"):
+            c.payload({"logical_role": role, "shard_number": shard, "blob_key": key})
+    with pytest.raises(QueryError, match="PayloadNotFound"):
+        c.payload({"logical_role": "media", "blob_key": "99"})
+    (linked,) = [r for r in c.voices(incoming()).collect() if r["payload_state"] == "Linked"]
+    assert c.payload(linked["payload_locator"].asDict()) == b"#!SILK_V3\n"
+
+
+def test_payload_lookup_reads_one_range_of_the_file(spark, tmp_path):
+    import sqlite3
+
+    from chorale.sources import sqlite
+
+    db = sqlite3.connect(tmp_path / "media_0.db")
+    db.execute("CREATE TABLE VoiceInfo (chat_name_id INTEGER, create_time INTEGER, local_id INTEGER, svr_id INTEGER, voice_data BLOB, data_index TEXT)")
+    db.executemany("INSERT INTO VoiceInfo (rowid, chat_name_id, create_time, local_id, svr_id, voice_data, data_index) VALUES (?, ?, ?, ?, ?, ?, ?)", MEDIA)
+    db.commit()
+    db.close()
+    info = sqlite.read_sqlite(spark, str(tmp_path / "media_0.db"), "voice_info", "VoiceInfo", rowid="row_id", rows=2)
+    c = catalog(spark)
+    own = Catalog(*[c.tables[n] for n in ("contact", "message_names", "messages", "media_names")], info, "wxid_owner", c.context, media_shard=0)
+    assert own.payload({"logical_role": "media", "shard_number": 0, "blob_key": "5"}) == b"not-silk"
+    with pytest.raises(QueryError):
+        own.payload({"logical_role": "media", "shard_number": 1, "blob_key": "5"})
+    assert states(own.voices(incoming())) == states(c.voices(incoming())) and info.rdd.getNumPartitions() == 3
+    assert info.where("row_id = 5").rdd.getNumPartitions() == 1
 
 
 @pytest.mark.parametrize("bad", [dict(limit=0), dict(first=5, last=4), dict(least_bytes=-1), dict(least_ms=5, most_ms=4), dict(direction="sideways")])
@@ -165,7 +190,7 @@ def test_scans_read_heads_not_payloads(spark, tmp_path):
         assert "voice_data" not in plans and "payload_prefix" in plans
         expected, _ = c.scan(query)
         assert sorted(map(tuple, records.collect())) == sorted(map(tuple, expected.collect()))
-    assert landed.payload(5) == b"not-silk"
+    assert landed.payload({"logical_role": "media", "blob_key": "5"}) == b"not-silk"
 
 
 def test_incomplete_provenance_rejects(spark):

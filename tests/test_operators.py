@@ -173,10 +173,10 @@ def test_sqlite_and_listing(spark, tmp_path):
     db.execute("INSERT INTO Name2Id VALUES ('wxid_owner', 1), ('wxid_peer', 1)")
     db.commit()
     db.close()
-    got = files.read_sqlite(spark, str(path), "message_names", "SELECT 0, rowid, user_name, is_session FROM Name2Id").collect()
+    got = sqlite.read_sqlite(spark, str(path), "message_names", "Name2Id", {"shard_number": "0"}, rowid="row_id").collect()
     assert [(r["row_id"], r["user_name"]) for r in got] == [(1, "wxid_owner"), (2, "wxid_peer")]
-    assert files.conversation_tables(str(path)) == [f"Msg_{'a' * 32}"]
-    assert [o["name"] for o in files.sqlite_schema(str(path))] == [f"Msg_{'a' * 32}", "Name2Id"]
+    assert sqlite.conversation_tables(str(path)) == [f"Msg_{'a' * 32}"]
+    assert [o["name"] for o in sqlite.sqlite_schema(str(path))] == [f"Msg_{'a' * 32}", "Name2Id"]
     (r,) = files.database_files(spark, str(tmp_path)).collect()
     assert (r["role"], r["shard"]) == ("message", 0)
     same = files.list_files(spark, str(tmp_path))
@@ -292,7 +292,7 @@ def test_cache_compaction_and_spool(spark, tmp_path):
         caches.read_spool(spark, str(tmp_path / "spool"), ddl, n, "other")
 
 
-def test_sqlite_is_landed_in_batches(spark, tmp_path):
+def test_sqlite_is_landed_in_ranges(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "media_1.db")
     db.execute("CREATE TABLE n (user_name TEXT, other INTEGER REFERENCES o (x))")
     db.execute("CREATE INDEX i ON n (user_name, other)")
@@ -300,11 +300,13 @@ def test_sqlite_is_landed_in_batches(spark, tmp_path):
     db.executemany("INSERT INTO n (user_name) VALUES (?)", [(f"u{i}",) for i in range(25)])
     db.commit()
     db.close()
-    files.land_sqlite(spark, str(tmp_path / "media_1.db"), "media_names", "SELECT rowid, user_name FROM n", str(tmp_path / "out"), batch=10)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted((i + 1, f"u{i}") for i in range(25))
-    (table,) = files.sqlite_schema(str(tmp_path / "media_1.db"))
+    landed = sqlite.read_sqlite(spark, str(tmp_path / "media_1.db"), "media_names", "n", rowid="row_id", rows=10)
+    assert landed.rdd.getNumPartitions() == 3
+    files.land({"media_names": landed}, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "media_names.parquet")).collect()) == sorted((i + 1, f"u{i}") for i in range(25))
+    (table,) = sqlite.sqlite_schema(str(tmp_path / "media_1.db"))
     assert table["indexes"] == [{"name": "i", "unique": False, "columns": ["user_name", "other"]}] and table["triggers"] == ["t"] and table["foreign_keys"][0]["table"] == "o"
-    assert files.sqlite_pragmas(str(tmp_path / "media_1.db"))["encoding"] == "UTF-8"
+    assert sqlite.sqlite_pragmas(str(tmp_path / "media_1.db"))["encoding"] == "UTF-8"
 
 
 def test_duplicate_representative_needs_no_list(spark):
