@@ -2,22 +2,73 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .manifest import PORTABLE, ordered_digest, totals
+from ..functions import identity as I
+from .manifest import PORTABLE, totals
+from .order import ordered_digest
 from .verification import path_key
 
 #: Fields of a build that must be the same for it to be used again; hashes fold case (fixed values).
 EXACT, FOLDED = ("selection_fingerprint", "semantic_profile_hash", "link_mode", "build_fingerprint", "audio_profile_fingerprint"), ("source_manifest_sha256", "profile_sha256", "manifest_sha256", "csv_sha256")
 
 
-def selection_fingerprint(items: DataFrame, item: str) -> DataFrame:
-    """One row: fingerprint and number of the selected ids, folding case, in their order."""
-    folded = items.select(F.lit(1).alias("_all"), F.lower(item).alias("_id")).distinct()
-    return ordered_digest(folded, ["_all"], [F.col("_id")], F.concat("_id", F.lit("\n"))).select("fingerprint", "n")
+#: Fields of a selection in the order of its fingerprint (fixed values); lists come last, with their counts.
+SELECTION = ("version", "manifest", "profile", "minimum-duration", "maximum-duration", "minimum-bytes", "maximum-bytes", "include-unknown-duration", "incoming-only")
+SELECTION_VERSION = "dataset-selection-digest-v1"
+
+
+@dataclass(frozen=True)
+class Selection:
+    """What a selection was made by: the manifest and the profile, bounds, and quality flags that exclude."""
+
+    manifest_sha256: str
+    profile_version: str
+    least_ms: int | None = None
+    most_ms: int | None = None
+    least_bytes: int | None = None
+    most_bytes: int | None = None
+    unknown_duration: bool = False
+    incoming_only: bool = False
+    excluded_flags: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if not self.manifest_sha256.strip() or not self.profile_version.strip():
+            raise ValueError("a selection names its manifest and its profile")
+
+    def fields(self) -> list[tuple[str, str]]:
+        bound = lambda x: "" if x is None else str(x)
+        values = (SELECTION_VERSION, self.manifest_sha256.lower(), self.profile_version, *map(bound, (self.least_ms, self.most_ms, self.least_bytes, self.most_bytes)), str(int(self.unknown_duration)), str(int(self.incoming_only)))
+        flags = [("excluded-quality-flags.count", str(len(self.excluded_flags))), *(("excluded-quality-flags.item", f) for f in self.excluded_flags)]
+        return [*zip(SELECTION, values), *flags]
+
+
+def _field(name: Column, value: Column) -> Column:
+    """A field's line: each of its parts after its length, so that no two lists of fields look alike."""
+    return F.concat(F.length(name).cast("string"), F.lit(":"), name, F.length(value).cast("string"), F.lit(":"), value, F.lit("\n"))
+
+
+def folded_ids(items: DataFrame, item: str) -> DataFrame:
+    """``id``: the different ids, trimmed and folded; blank ones are left out."""
+    return items.select(F.lower(F.trim(item)).alias("id")).where(I.not_blank(F.col("id"))).distinct()
+
+
+def selection_fingerprint(selection: Selection, items: DataFrame, item: str, representatives: DataFrame | None = None) -> DataFrame:
+    """One row: ``fingerprint`` of a selection and its number of lines ``n``. The lines are the selection's fields and flags,
+    the selected ids in order, and the ids that represent their duplicates, each list with its count before it."""
+    spark = items.sparkSession
+    head = spark.createDataFrame([(0, f"{i:09}", name, value) for i, (name, value) in enumerate(selection.fields())], "section int, place string, name string, value string")
+    lists = [(2, "selected-items", folded_ids(items, item)), (4, "duplicate-representatives", folded_ids(representatives if representatives is not None else items.where("false"), item))]
+    rows = [head]
+    for section, name, ids in lists:
+        rows.append(ids.agg(F.count("*").cast("string").alias("value")).select(F.lit(section - 1).alias("section"), F.lit("").alias("place"), F.lit(f"{name}.count").alias("name"), "value"))
+        rows.append(ids.select(F.lit(section).alias("section"), F.col("id").alias("place"), F.lit(f"{name}.item").alias("name"), F.col("id").alias("value")))
+    lines = reduce(DataFrame.unionByName, rows)
+    return ordered_digest(lines, [], [F.col("section"), F.col("place")], _field(F.col("name"), F.col("value")))
 
 
 def build_items(items: DataFrame, selected: Column, flags: Column) -> DataFrame:

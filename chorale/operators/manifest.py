@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Columns of the portable CSV, in order (fixed values).
 PORTABLE = ("item_id", "relative_audio_path", "sha256", "duration_ms", "byte_length", "quality_flags", "training_eligibility", "selected")
-#: Lines of which one digest is made before the digests are digested.
-DIGEST_LINES = 4096
 
 
 def totals(entries: DataFrame, duration: Column, size: Column, training: Column) -> DataFrame:
@@ -49,39 +47,48 @@ def artifact_index(entries: DataFrame, original: tuple[str, str, str], decoded:
     return entries.select(F.explode(F.array(*kinds)).alias("a")).select("a.*").where(F.col("path").isNotNull())
 
 
-def journal_status(events: DataFrame, run: str, line: str, event: str, entry: Column | None = None, failure: Column | None = None, context: Column | None = None, committed_at: Column | None = None, fallback: str | None = None) -> DataFrame:
-    """Per run: entries, failures, the status after its last status event (else ``fallback``), the last context and the time
-    of the last commit.
+def journal_states(events: DataFrame, run: str, line: str, event: str, entry: Column | None = None, failure: Column | None = None, context: Column | None = None, committed_at: Column | None = None) -> DataFrame:
+    """Per run, what a part of its journal says: numbers of entries and failures, the first failure's line, and the last status
+    event, context and commit, each with its line. Sums, least and last ones only, so tasks add up their own lines first,
+    parts of a journal combine with ``merge_states``, and a stream keeps the same as its state.
 
     An item counts only with its body (``entry``, ``failure``; without these columns every item does).
-    ``processing-completed`` is with failures if any item had failed up to that line.
     """
     there = lambda c: c.isNotNull() if c is not None else F.lit(True)
-    stored, failed = F.col(event).isin("item-committed", "item-skipped") & there(entry), (F.col(event) == "item-failed") & there(failure)
-    so_far = Window.partitionBy(run).orderBy(line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = F.col(event)
-    status = (
-        F.when(e == "run-cancelled", "Cancelled").when(e == "run-failed", "Failed")
-        .when((e == "processing-completed") & (F.col("_failed") > 0), "CompletedWithFailures").when(e == "processing-completed", "Completed")
-    )
-    told = events.withColumn("_failed", F.count_if(failed).over(so_far)).withColumn("_status", status)
-    last = lambda c, test: F.max_by(c, F.when(test, F.col(line)))
-    out = [F.count_if(stored).alias("entries"), F.count_if(failed).alias("failures"), F.coalesce(last(F.col("_status"), F.col("_status").isNotNull()), F.lit(fallback)).alias("status")]
+    e, at = F.col(event), F.col(line)
+    last = lambda c, test: F.max(F.when(test, F.struct(at.alias("line"), c.alias("value"))))
+    out = [
+        F.count_if(e.isin("item-committed", "item-skipped") & there(entry)).alias("entries"), F.count_if((e == "item-failed") & there(failure)).alias("failures"),
+        F.min(F.when((e == "item-failed") & there(failure), at)).alias("first_failure"), last(e, e.isin("run-cancelled", "run-failed", "processing-completed")).alias("last_status"),
+    ]
     if context is not None:
-        out.append(last(context, context.isNotNull()).alias("context"))
+        out.append(last(context, context.isNotNull()).alias("last_context"))
     if committed_at is not None:
-        out.append(last(committed_at, e == "manifest-committed").alias("committed_at"))
-    return told.groupBy(run).agg(*out)
-
-
-def ordered_digest(rows: DataFrame, key: list[str], order: list[Column], line: Column, per: int = DIGEST_LINES) -> DataFrame:
-    """``fingerprint`` and ``n`` of each key: sha256 over the digests (64 hex digits and a line end each) of every ``per``
-    lines in their order. No value grows with the key's rows."""
-    placed = rows.select(*key, line.alias("_line"), F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_at"))
-    text = F.expr("sha2(listagg(_line, '') WITHIN GROUP (ORDER BY _at), 256)")
-    parts = placed.groupBy(*key, F.floor((F.col("_at") - 1) / per).alias("_part")).agg(text.alias("_digest"), F.count("*").alias("_n"))
-    whole = F.expr("sha2(listagg(concat(_digest, '\n'), '') WITHIN GROUP (ORDER BY _part), 256)")
-    return parts.groupBy(*key).agg(whole.alias("fingerprint"), F.sum("_n").alias("n"))
+        out.append(last(committed_at, e == "manifest-committed").alias("last_commit"))
+    return events.groupBy(run).agg(*out)
+
+
+def merge_states(states: DataFrame, run: str) -> DataFrame:
+    """The states of whole journals from those of their parts."""
+    sums = [F.sum(c).alias(c) for c in ("entries", "failures")]
+    return states.groupBy(run).agg(*sums, F.min("first_failure").alias("first_failure"), *[F.max(c).alias(c) for c in ("last_status", "last_context", "last_commit") if c in states.columns])
+
+
+def judge_states(states: DataFrame, run: str, fallback: str | None = None) -> DataFrame:
+    """Per run: entries, failures, the status after its last status event (else ``fallback``), the last context and the time of
+    the last commit. ``processing-completed`` is with failures if any item had failed up to that line."""
+    told, line = F.col("last_status.value"), F.col("last_status.line")
+    status = (
+        F.when(told == "run-cancelled", "Cancelled").when(told == "run-failed", "Failed")
+        .when((told == "processing-completed") & (F.col("first_failure") < line), "CompletedWithFailures").when(told == "processing-completed", "Completed").otherwise(F.lit(fallback))
+    )
+    names = {"last_context": "context", "last_commit": "committed_at"}
+    return states.select(run, "entries", "failures", status.alias("status"), *[F.col(f"{c}.value").alias(n) for c, n in names.items() if c in states.columns])
+
+
+def journal_status(events: DataFrame, run: str, line: str, event: str, entry: Column | None = None, failure: Column | None = None, context: Column | None = None, committed_at: Column | None = None, fallback: str | None = None) -> DataFrame:
+    """``judge_states`` of whole journals."""
+    return judge_states(journal_states(events, run, line, event, entry, failure, context, committed_at), run, fallback)
 
 
 def running(rows: DataFrame, part: list[str], order: list[str], measures: dict[str, Column]) -> DataFrame:

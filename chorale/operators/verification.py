@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
+from ..storage import durable
 
 
 def path_key(path: Column) -> Column:
@@ -31,33 +32,73 @@ def references(entries: DataFrame, order: str, original: tuple[str, str, str], d
     return entries.select(F.col(order).alias("order"), F.explode(F.array(*files)).alias("f")).select("order", "f.*").where((F.col("kind") == "original") | F.col("path").isNotNull())
 
 
+def accepted_entries(refs: DataFrame) -> DataFrame:
+    """``order`` of the entries whose original is accepted: its path is safe and no earlier reference that counts has it.
+
+    Entries count in order. Every original counts; a decoded file counts only with its own original accepted. So an original
+    that an earlier one has is refused at once, and of each path only the first original can depend on earlier decoded files;
+    these few are settled in rounds, from the earliest on.
+    """
+    keyed = refs.select("order", "kind", safe_path(F.col("path")).alias("safe"), path_key(F.col("path")).alias("key")).where("safe")
+    firsts = keyed.groupBy("key").agg(F.min(F.when(F.col("kind") == "original", F.col("order"))).alias("order"), F.min(F.when(F.col("kind") == "decoded", F.col("order"))).alias("decoded"))
+    firsts = firsts.where(F.col("order").isNotNull())
+    contested = durable(firsts.where(F.col("decoded") < F.col("order")).select("key", "order"))
+    if contested.isEmpty():
+        return firsts.select("order")
+    free = firsts.where(F.coalesce(F.col("decoded") >= F.col("order"), F.lit(True))).select("order")
+    before = keyed.where(F.col("kind") == "decoded").select("key", F.col("order").alias("by"))
+    edges = contested.join(before, "key").where(F.col("by") < F.col("order")).select("order", "by")
+    waiting = contested.select(F.col("order").alias("by"), F.lit(True).alias("waits"))
+    edges = durable(edges.join(free.select(F.col("order").alias("by"), F.lit(True).alias("sure")), "by", "left").join(waiting, "by", "left"))
+    settled = edges.where("false").select("order", F.lit(True).alias("accepted"))
+    while True:
+        known = edges.join(settled.select(F.col("order").alias("by"), F.col("accepted").alias("_a")), "by", "left")
+        counts, open_ = F.coalesce("sure", "_a", F.lit(False)), F.col("waits") & F.col("_a").isNull()
+        judged = known.groupBy("order").agg(F.bool_or(counts).alias("refused"), F.bool_or(F.coalesce(open_, F.lit(False))).alias("open"))
+        now = durable(judged.where(F.col("refused") | ~F.col("open")).select("order", (~F.col("refused")).alias("accepted")))
+        if now.count() == settled.count():
+            break
+        settled = now
+    return free.unionByName(settled.where("accepted").select("order"))
+
+
 def _placed(refs: DataFrame) -> DataFrame:
-    """References with their key and their number among those of the same file; originals come before decoded files."""
-    keyed = refs.withColumns({"safe": safe_path(F.col("path")), "key": path_key(F.col("path"))})
+    """References that count, with their key and their number among those of the same file; originals come before decoded files
+    of one entry, and the decoded file of an entry whose original is refused is not looked at."""
+    accepted = accepted_entries(refs).select("order", F.lit(True).alias("_accepted"))
+    live = refs.join(accepted, "order", "left").where((F.col("kind") == "original") | F.col("_accepted")).drop("_accepted")
+    keyed = live.withColumns({"safe": safe_path(F.col("path")), "key": path_key(F.col("path"))})
     order = Window.partitionBy("key", "safe").orderBy("order", F.desc("kind"))
     return keyed.withColumn("nth", F.row_number().over(order))
 
 
 def expected_files(refs: DataFrame) -> DataFrame:
-    """key, kind, path, sha256, bytes of every file that is expected: the first reference to each."""
+    """key, kind, path, sha256, bytes of every file that is expected: the first reference that counts to each."""
     return _placed(refs).where(F.col("safe") & (F.col("nth") == 1)).select("key", "kind", "path", "sha256", "bytes")
 
 
 def artifact_issues(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, code) of the references against the inventory ``files`` (path, bytes, sha256, is_link)."""
+    """(path, code) of the references against the inventory ``files`` (path, bytes, sha256, is_link).
+
+    A decoded file that is named again is checked nevertheless, so it may have two findings. A link below ``original`` or
+    ``decoded`` is a finding, whoever names it, and never an extra file.
+    """
     found = files.select(path_key(F.col("path")).alias("key"), F.lit(True).alias("there"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"), "is_link")
-    both = _placed(refs).join(found, "key", "left")
+    placed = durable(_placed(refs))
+    both = placed.join(found, "key", "left")
     there, original = F.coalesce("there", F.lit(False)), F.col("kind") == "original"
     same = F.lower("_sha").eqNullSafe(F.lower("sha256"))
-    code = (
-        F.when(~F.col("safe"), "artifact-path-outside-root").when(F.col("nth") > 1, "artifact-duplicate")
-        .when(original & ~there, "artifact-missing").when(original & F.col("is_link"), "artifact-reparse-point").when(original & ~(same & F.col("_bytes").eqNullSafe(F.col("bytes"))), "artifact-hash-mismatch")
-        .when(~original & F.col("sha256").isNotNull() & ~there, "decoded-missing").when(~original & F.col("sha256").isNotNull() & ~same, "decoded-hash-mismatch")
-    )
-    named = both.select("path", code.alias("code")).where(F.col("code").isNotNull())
-    known = expected_files(refs).select("key")
-    extra = files.withColumn("key", path_key(F.col("path"))).where(F.col("key").rlike("^(?:original|decoded)/")).join(known, "key", "left_anti")
-    return named.unionByName(extra.select("path", F.lit("artifact-extra").alias("code")))
+    first = F.when(~F.col("safe"), "artifact-path-outside-root").when(F.col("nth") > 1, "artifact-duplicate")
+    of_original = F.when(~there, "artifact-missing").when(F.col("is_link"), "artifact-reparse-point").when(~(same & F.col("_bytes").eqNullSafe(F.col("bytes"))), "artifact-hash-mismatch")
+    of_decoded = F.when(F.col("sha256").isNotNull() & ~there, "decoded-missing").when(F.col("sha256").isNotNull() & ~same, "decoded-hash-mismatch")
+    second = F.when(original & first.isNull(), of_original).when(~original & F.col("safe"), of_decoded)
+    plain = F.when(F.col("safe"), F.replace("path", F.lit("\\"), F.lit("/"))).otherwise(F.col("path"))
+    named = both.select(plain.alias("path"), F.explode(F.array_compact(F.array(first, second))).alias("code"))
+    known = placed.where(F.col("safe") & (F.col("nth") == 1)).select("key")
+    stored = files.withColumn("key", path_key(F.col("path"))).where(F.col("key").rlike("^(?:original|decoded)/"))
+    links = stored.where("is_link").select("path", F.lit("artifact-reparse-point").alias("code"))
+    extra = stored.where(~F.col("is_link")).join(known, "key", "left_anti").select("path", F.lit("artifact-extra").alias("code"))
+    return named.unionByName(links).unionByName(extra)
 
 
 def index_issues(index: DataFrame, expected: DataFrame, files: DataFrame) -> DataFrame:
@@ -75,7 +116,7 @@ def index_issues(index: DataFrame, expected: DataFrame, files: DataFrame) -> Dat
     code = F.when(F.col("path").isNull(), "artifact-index-invalid").when(~F.col("safe"), "artifact-index-path-outside-root").when(F.col("nth") > 1, "artifact-index-duplicate").when(~same, "artifact-index-mismatch")
     named = both.select("path", code.alias("code")).where(F.col("code").isNotNull())
     listed = keyed.where(F.col("path").isNotNull() & F.col("safe")).select("key").distinct()
-    apart = listed.join(expected, "key", "left_anti").select("key").unionByName(expected.join(listed, "key", "left_anti").select("key")).limit(1)
+    apart = listed.join(expected, "key", "left_anti").select("key").unionByName(expected.join(listed, "key", "left_anti").select("key")).limit(1)  # one finding for all
     return named.unionByName(apart.select(F.lit(None).cast("string").alias("path"), F.lit("artifact-index-mismatch").alias("code")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..operators import association as A
-from ..operators.manifest import ordered_digest
+from ..operators.order import ordered_digest
 from ..operators import report as R
 from ..operators import selection as S
 from .registry import query
@@ -156,8 +156,9 @@ def q_item_pseudonym(t):
 
 
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) || chr(10) || o_orderstatus || chr(10) || CAST(o_custkey AS VARCHAR) || chr(10) AS line, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS part FROM orders),
-p AS (SELECT o_custkey, part, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS d, count(*) AS n FROM l GROUP BY 1, 2)
-SELECT o_custkey, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS n FROM p GROUP BY 1""")
+p AS (SELECT o_custkey, part, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS d, count(*) AS n FROM l GROUP BY 1, 2),
+q AS (SELECT o_custkey, part // 4 AS part, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d, sum(n) AS n FROM p GROUP BY 1, 2)
+SELECT o_custkey, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS n FROM q GROUP BY 1""")
 def q_result_fingerprint(t):
     line = F.concat(F.sha2(F.col("o_orderkey").cast("string"), 256), F.lit("\n"), "o_orderstatus", F.lit("\n"), F.col("o_custkey").cast("string"), F.lit("\n"))
     return ordered_digest(t.orders, ["o_custkey"], [F.col("o_orderkey")], line, per=4)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -16,16 +19,18 @@ from .registry import query
 # Every document stands for an exported item: an original file, and for even ids a decoded one; some paths leave the root,
 # some are named twice, some files are missing, differ, are links or are extra.
 _PATH = "CASE WHEN doc_id % 41 = 0 THEN '../o/' || doc_id WHEN doc_id % 37 = 0 THEN 'original/' || upper(source) ELSE 'original/' || doc_id END"
-_REFS = f"""refs AS (SELECT doc_id AS o, 0 AS k, 'original' AS kind, {_PATH} AS path, md5(text) AS sha, n_chars AS bytes FROM documents
-UNION ALL SELECT doc_id, 1, 'decoded', 'decoded\\' || doc_id, CASE WHEN doc_id % 6 <> 0 THEN md5(source) END, NULL FROM documents WHERE doc_id % 2 = 0),
-placed AS (SELECT *, lower(replace(path, '\\', '/')) AS key, NOT path LIKE '../%' AS safe, row_number() OVER (PARTITION BY lower(replace(path, '\\', '/')), NOT path LIKE '../%' ORDER BY o, k) AS nth FROM refs),
+_DECODED = "CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 23 = 0 THEN '../d' WHEN doc_id % 10 = 4 THEN concat('decoded\\\\', source) ELSE concat('decoded\\\\', doc_id) END END"
+_REFS = rf"""entries AS (SELECT doc_id AS o, {_PATH} AS op, md5(text) AS oh, n_chars AS ob, {_DECODED.replace(chr(92) * 2, chr(92))} AS dp, CASE WHEN doc_id % 6 <> 0 THEN md5(source) END AS dh FROM documents),
+taken AS (SELECT *, op NOT LIKE '../%' AND row_number() OVER (PARTITION BY lower(op) ORDER BY o) = 1 AS accepted FROM entries),
+refs AS (SELECT o, 0 AS k, 'original' AS kind, op AS path, oh AS sha, ob AS bytes FROM taken UNION ALL SELECT o, 1, 'decoded', dp, dh, NULL FROM taken WHERE accepted AND dp IS NOT NULL),
+placed AS (SELECT *, lower(replace(path, '\', '/')) AS key, NOT path LIKE '../%' AS safe, row_number() OVER (PARTITION BY lower(replace(path, '\', '/')), NOT path LIKE '../%' ORDER BY o, k) AS nth FROM refs),
 files AS (SELECT 'original/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS bytes, upper(md5(text)) AS sha, doc_id % 29 = 0 AS is_link FROM documents WHERE doc_id % 7 <> 0
 UNION ALL SELECT 'decoded/' || doc_id, n_chars, md5(CASE WHEN doc_id % 14 = 0 THEN lang ELSE source END), false FROM documents WHERE doc_id % 5 <> 0
 UNION ALL SELECT DISTINCT 'original/' || source, 1, 'x', false FROM documents UNION ALL SELECT 'notes/' || doc_id, 1, 'x', false FROM documents WHERE doc_id % 50 = 0)"""
 
 
-def _refs(t):
-    d = t.documents.withColumns({"op": F.expr(_PATH), "oh": F.md5("text"), "dp": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("decoded\\"), "doc_id")), "dh": F.when(F.col("doc_id") % 6 != 0, F.md5("source"))})
+def _refs(t, documents=None):
+    d = (documents if documents is not None else t.documents).withColumns({"op": F.expr(_PATH), "oh": F.md5("text"), "dp": F.expr(_DECODED), "dh": F.when(F.col("doc_id") % 6 != 0, F.md5("source"))})
     return W.references(d, "doc_id", ("op", "oh", "n_chars"), ("dp", "dh"))
 
 
@@ -39,10 +44,11 @@ def _files(t):
     return original.unionByName(decoded).unionByName(shared).unionByName(notes)
 
 
-_ARTIFACTS = f"""{_REFS}, joined AS (SELECT p.*, f.path IS NOT NULL AS there, f.bytes AS fb, f.sha AS fs, f.is_link FROM placed p LEFT JOIN files f ON lower(replace(f.path, '\\', '/')) = p.key),
-issues AS (SELECT path, CASE WHEN NOT safe THEN 'artifact-path-outside-root' WHEN nth > 1 THEN 'artifact-duplicate' WHEN kind = 'original' AND NOT there THEN 'artifact-missing' WHEN kind = 'original' AND is_link THEN 'artifact-reparse-point'
- WHEN kind = 'original' AND (lower(fs) <> sha OR fb <> bytes) THEN 'artifact-hash-mismatch' WHEN kind = 'decoded' AND sha IS NOT NULL AND NOT there THEN 'decoded-missing' WHEN kind = 'decoded' AND sha IS NOT NULL AND lower(fs) <> sha THEN 'decoded-hash-mismatch' END AS code FROM joined
-UNION ALL SELECT path, 'artifact-extra' FROM files WHERE (lower(path) LIKE 'original/%' OR lower(path) LIKE 'decoded/%') AND lower(path) NOT IN (SELECT key FROM placed WHERE safe))"""
+_ARTIFACTS = rf"""{_REFS}, joined AS (SELECT p.*, f.path IS NOT NULL AS there, f.bytes AS fb, f.sha AS fs, f.is_link FROM placed p LEFT JOIN files f ON lower(replace(f.path, '\', '/')) = p.key),
+issues AS (SELECT CASE WHEN safe THEN replace(path, '\', '/') ELSE path END AS path, CASE WHEN NOT safe THEN 'artifact-path-outside-root' WHEN nth > 1 THEN 'artifact-duplicate' WHEN kind = 'decoded' THEN NULL WHEN NOT there THEN 'artifact-missing' WHEN is_link THEN 'artifact-reparse-point'
+ WHEN lower(fs) <> sha OR fb <> bytes THEN 'artifact-hash-mismatch' END AS code FROM joined
+UNION ALL SELECT replace(path, '\', '/'), CASE WHEN NOT there THEN 'decoded-missing' WHEN lower(fs) <> sha THEN 'decoded-hash-mismatch' END FROM joined WHERE kind = 'decoded' AND safe AND sha IS NOT NULL
+UNION ALL SELECT path, CASE WHEN is_link THEN 'artifact-reparse-point' WHEN lower(path) NOT IN (SELECT key FROM placed WHERE safe) THEN 'artifact-extra' END FROM files WHERE lower(path) LIKE 'original/%' OR lower(path) LIKE 'decoded/%')"""
 
 
 @query(f"WITH {_ARTIFACTS} SELECT path, code FROM issues WHERE code IS NOT NULL")
@@ -50,9 +56,17 @@ def q_verify_export(t):
     return W.artifact_issues(_refs(t), _files(t))
 
 
-@query(f"WITH {_ARTIFACTS} SELECT count(*) AS issues, count(*) FILTER (WHERE code = 'artifact-missing') AS missing, count(*) FILTER (WHERE code = 'artifact-extra') AS extra, false AS allowed FROM issues WHERE code IS NOT NULL")
+_CLEAN = "doc_id % 41 <> 0 AND doc_id % 37 <> 0 AND doc_id % 2 = 1 AND doc_id % 11 <> 0 AND doc_id % 29 <> 0 AND doc_id % 7 <> 0"
+
+
+@query(f"""WITH {_ARTIFACTS}, g AS (SELECT count(*) AS issues, count(*) FILTER (WHERE code = 'artifact-missing') AS missing, count(*) FILTER (WHERE code = 'artifact-extra') AS extra FROM issues WHERE code IS NOT NULL),
+sound AS (SELECT count(*) AS bad FROM taken LEFT JOIN files ON files.path = op WHERE o IN (SELECT doc_id FROM documents WHERE {_CLEAN}) AND (NOT accepted OR files.path IS NULL OR lower(sha) <> oh OR bytes <> ob OR is_link))
+SELECT 'all' AS part, *, issues = 0 AS allowed FROM g UNION ALL SELECT 'all, uncommitted', *, false FROM g UNION ALL SELECT 'sound', bad, 0, 0, bad = 0 FROM sound UNION ALL SELECT 'sound, uncommitted', bad, 0, 0, false FROM sound""")
 def q_repair_gate(t):
-    return W.repair_gate(F.lit(True), W.artifact_issues(_refs(t), _files(t)))
+    sound = t.documents.where(_CLEAN)
+    parts = {"all": W.artifact_issues(_refs(t), _files(t)), "sound": W.artifact_issues(_refs(t, sound), _files(t).join(sound.select(F.concat(F.lit("original/"), "doc_id").alias("path")), "path", "left_semi"))}
+    gates = [W.repair_gate(F.lit(commits), issues).withColumn("part", F.lit(name + ("" if commits else ", uncommitted"))) for name, issues in parts.items() for commits in (True, False)]
+    return reduce(DataFrame.unionByName, gates)
 
 
 @query(f"""WITH {_REFS}, expected AS (SELECT key, coalesce(p.sha, '') AS sha, coalesce(p.bytes, f.bytes, -1) AS bytes FROM placed p LEFT JOIN files f ON lower(f.path) = p.key WHERE safe AND nth = 1),
@@ -60,7 +74,8 @@ idx AS (SELECT doc_id AS line, CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id %
 k AS (SELECT *, coalesce(NOT path LIKE '/%', false) AS safe, row_number() OVER (PARTITION BY lower(path), coalesce(NOT path LIKE '/%', false) ORDER BY line) AS nth FROM idx),
 j AS (SELECT k.path, CASE WHEN k.path IS NULL THEN 'artifact-index-invalid' WHEN NOT safe THEN 'artifact-index-path-outside-root' WHEN nth > 1 THEN 'artifact-index-duplicate'
  WHEN e.key IS NULL OR k.bytes <> e.bytes OR k.sha <> e.sha OR k.id IS NULL THEN 'artifact-index-mismatch' END AS code FROM k LEFT JOIN expected e ON e.key = lower(k.path))
-SELECT path, code FROM j WHERE code IS NOT NULL UNION ALL SELECT NULL, 'artifact-index-mismatch'""")
+SELECT path, code FROM j WHERE code IS NOT NULL UNION ALL SELECT NULL, 'artifact-index-mismatch' WHERE EXISTS (
+  (SELECT key FROM expected EXCEPT SELECT lower(path) FROM k WHERE safe) UNION ALL (SELECT lower(path) FROM k WHERE safe EXCEPT SELECT key FROM expected))""")
 def q_index_verify(t):
     i = F.col("doc_id")
     path = F.when(i % 31 == 0, None).when(i % 43 == 0, "/etc/x").when(i % 13 == 0, "original/1").otherwise(F.concat(F.lit("original/"), i))
@@ -190,10 +205,19 @@ def q_build_fields(t):
     return D.field_issues(of(0, F.upper(F.md5("o_orderpriority"))), of(1, F.md5("o_orderpriority")))
 
 
-@query("""WITH s AS (SELECT DISTINCT lower(source || doc_id % 50) AS id FROM documents), p AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 4096 AS part FROM s), b AS (SELECT part, sha256(string_agg(id || chr(10), '' ORDER BY id)) AS d, count(*) AS n FROM p GROUP BY 1)
-SELECT sha256(string_agg(d || chr(10), '' ORDER BY part)) AS fingerprint, sum(n)::BIGINT AS n FROM b""")
+_SELECTION = D.Selection("ABCDEF", "profile-v1", least_ms=1000, most_bytes=9000, incoming_only=True, excluded_flags=("quality-silent", "quality-clipping"))
+_FIELDS = ", ".join(f"(0, '{i:09}', '{name}', '{value}')" for i, (name, value) in enumerate(_SELECTION.fields()))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT lower(source || doc_id) AS id FROM documents), r AS (SELECT DISTINCT lower(source || doc_id) AS id FROM documents WHERE doc_id % 7 = 0),
+rows AS (SELECT * FROM (VALUES {_FIELDS}) v(section, place, name, value) UNION ALL SELECT 1, '', 'selected-items.count', count(*)::VARCHAR FROM s UNION ALL SELECT 2, id, 'selected-items.item', id FROM s
+  UNION ALL SELECT 3, '', 'duplicate-representatives.count', count(*)::VARCHAR FROM r UNION ALL SELECT 4, id, 'duplicate-representatives.item', id FROM r),
+l AS (SELECT row_number() OVER (ORDER BY section, place) - 1 AS pos, length(name) || ':' || name || length(value) || ':' || value || chr(10) AS line FROM rows),
+a AS (SELECT pos // 4096 AS pos, sha256(string_agg(line, '' ORDER BY pos)) || chr(10) AS line, count(*) AS n FROM l GROUP BY 1), b AS (SELECT pos // 4096 AS pos, sha256(string_agg(line, '' ORDER BY pos)) || chr(10) AS line, sum(n) AS n FROM a GROUP BY 1)
+SELECT sha256(string_agg(line, '' ORDER BY pos)) AS fingerprint, sum(n)::BIGINT AS n FROM b""")
 def q_selection_fingerprint(t):
-    return D.selection_fingerprint(t.documents.select(F.upper(F.concat("source", (F.col("doc_id") % 50).cast("string"))).alias("id")), "id")
+    ids = t.documents.select("doc_id", F.upper(F.concat(F.lit(" "), "source", F.col("doc_id").cast("string"))).alias("id"))
+    return D.selection_fingerprint(_SELECTION, ids.unionByName(ids.where("doc_id % 3 = 0")), "id", ids.where("doc_id % 7 = 0"))
 
 
 @query("""WITH l AS (SELECT user_id, event_id, event_type AS k, value > 10 AND value < 95 AND event_id % 6 <> 0 AS ok, epoch(ts)::BIGINT >= 1704758400 AS alive FROM events), u AS (SELECT user_id, k, event_id, ok AND alive AS ok FROM l),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chorale.functions import identity as I
 from chorale.functions import pcm
 from chorale.operators import curation, manifest, retention, segments, selection
-from chorale.sources import files
+from chorale.sources import files, sqlite
 from chorale.streaming import journal
 
 
@@ -322,6 +322,66 @@ def test_dataset_metadata(spark):
     items = spark.createDataFrame(rows, "item_id string, relative_audio_path string, sha256 string, duration_ms long, byte_length long, quality_flags string, training_eligibility string, selected string, keep boolean")
     built = dataset.build_items(items, F.col("keep"), F.array(F.lit("A"), F.lit("b")))
     assert tuple(dataset.build_summary(built).first()) == (2, 5, 30) and {(r["quality_flags"], r["selected"]) for r in built.collect()} == {("A|b", "True")}
-    one, two = (dataset.selection_fingerprint(spark.createDataFrame([(x,) for x in ids], "id string"), "id").first() for ids in (("A", "b"), ("b", "a", "B")))
-    assert one == two and one["n"] == 2
     assert dataset.reusable(dataset.item_issues(built, built, built.select("item_id"), built.select(F.col("relative_audio_path").alias("path"), "sha256", F.col("byte_length").alias("bytes")))).first()["reusable"]
+
+
+def selected(spark, ids, more=(), **fields):
+    from chorale.operators import dataset
+
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    return dataset.selection_fingerprint(dataset.Selection(**{"manifest_sha256": "AB", "profile_version": "p"} | fields), frame(ids), "id", frame(more) if more else None).first()
+
+
+def test_selection_fingerprint_binds_its_fields(spark):
+    one = selected(spark, ["A", " b"])
+    assert one == selected(spark, ["b", "a", "B", " ", None], manifest_sha256="ab") and one["n"] == 14
+    others = [selected(spark, ["a", "b"], **more) for more in ({"manifest_sha256": "ac"}, {"profile_version": "q"}, {"least_ms": 0}, {"most_ms": 0}, {"least_bytes": 0}, {"most_bytes": 0}, {"unknown_duration": True}, {"incoming_only": True}, {"excluded_flags": ("x",)}, {"excluded_flags": ("x", "y")}, {"excluded_flags": ("y", "x")})]
+    others += [selected(spark, ["a"]), selected(spark, ["a", "b"], ["a"]), selected(spark, ["a"], ["b"]), selected(spark, [])]
+    assert len({r["fingerprint"] for r in [one, *others]}) == len(others) + 1
+    with pytest.raises(ValueError):
+        selected(spark, ["a"], manifest_sha256=" ")
+
+
+def brute_tree(lines, per):
+    for _ in range(2):
+        lines = [sha256("".join(lines[i : i + per]).encode()).hexdigest() + "\n" for i in range(0, len(lines), per)]
+    return sha256("".join(lines).encode()).hexdigest()
+
+
+def test_digest_tree(spark):
+    from chorale.operators import order
+
+    rows = [(k, i, f"{k}{i}") for k, n in (("a", 700), ("b", 1), (None, 30), ("c", 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v string").repartition(7)
+    got = {r["k"]: (r["fingerprint"], r["n"]) for r in order.ordered_digest(df, ["k"], [F.col("i")], F.col("v"), per=3).collect()}
+    assert got == {k: (brute_tree([v for key, _, v in rows if key == k], 3), n) for k, n in (("a", 700), ("b", 1), (None, 30), ("c", 9))}
+    (whole,) = order.ordered_digest(df.where("k = 'a'"), [], [F.col("i")], F.col("v"), per=5).collect()
+    assert whole["fingerprint"] == brute_tree([v for key, _, v in rows if key == "a"], 5)
+    assert order.ordered_digest(df.where("false"), [], [F.col("i")], F.col("v")).count() == 0
+
+
+def test_numbers_follow_the_order_without_one_task(spark):
+    from chorale.operators import order
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x")).repartition(6)
+    got = order.numbered(df, [F.col("x").desc()], "at")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() > 1
+    assert got.where("at <> 4999 - x").count() == 0 and got.count() == 5000
+    digest = order.ordered_digest(df, [], [F.col("x")], F.col("x").cast("string"))
+    assert "SinglePartition" not in digest._jdf.queryExecution().executedPlan().toString() and "Window" not in digest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_journal_states_merge(spark):
+    events = ["run-started", "item-committed", "processing-completed", "item-failed", "note", "item-skipped", "processing-completed", "manifest-committed", "item-failed", "run-cancelled", "note"]
+    for cut in range(len(events) + 1):
+        rows = [("r", i, e, f"c{i}" if e == "note" else None) for i, e in enumerate(events[:cut])]
+        df = spark.createDataFrame(rows, "run string, line int, e string, context string")
+        whole = manifest.journal_status(df, "run", "line", "e", context=F.col("context"), committed_at=F.col("line"), fallback="Failed")
+        parts = [manifest.journal_states(df.where(F.col("line") % 3 == k), "run", "line", "e", context=F.col("context"), committed_at=F.col("line")) for k in range(3)]
+        merged = manifest.judge_states(manifest.merge_states(parts[0].unionByName(parts[1]).unionByName(parts[2]), "run"), "run", "Failed")
+        assert whole.collect() == merged.collect()
+        last = [(i, e) for i, e in enumerate(events[:cut]) if e in ("processing-completed", "run-cancelled")]
+        if rows:
+            expected = "Failed" if not last else "Cancelled" if last[-1][1] == "run-cancelled" else "CompletedWithFailures" if "item-failed" in events[: last[-1][0]] else "Completed"
+            assert whole.first()["status"] == expected
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
