@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from typing import BinaryIO
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds and flags of the quality analysis (fixed values).
@@ -90,10 +95,74 @@ def wav_metrics(wav: Column, expected_ms: Column) -> Column:
     return measure(wav, expected_ms)
 
 
+def header_facts(stream: BinaryIO, length: int) -> dict | None:
+    """What a WAV's chunks say without their bodies: format, bytes of all data chunks, frames and duration; None on any defect.
+
+    The stream is read at the chunks' heads only. The frame's width is that of the format's block align, whatever the channels
+    and bits are, and bytes after the last whole frame don't count.
+    """
+    head = stream.read(12)
+    if length < 12 or len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE" or int.from_bytes(head[4:8], "little") + 8 > length:
+        return None
+    at, form, body = 12, None, 0
+    while at + 8 <= length:
+        stream.seek(at)
+        head = stream.read(8)
+        size = int.from_bytes(head[4:8], "little")
+        if len(head) < 8 or size > length - at - 8:
+            return None
+        if head[:4] == b"fmt ":
+            if not 16 <= size <= 1 << 20:
+                return None
+            form = stream.read(16)
+        elif head[:4] == b"data":
+            body += size
+        at += 8 + size
+        at += size % 2 if at < length else 0
+    if form is None or len(form) < 16:
+        return None
+    kind, channels, rate, align, bits = (int.from_bytes(form[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8), (12, 14), (14, 16)))
+    if kind != 1 or not channels or not rate or not align or bits not in (8, 16, 24, 32) or not body:
+        return None
+    return {"sample_rate": rate, "channels": channels, "bits": bits, "block_align": align, "data_bytes": body, "frames": body // align, "duration_ms": body // align * 1000 // rate}
+
+
+FACTS = "sample_rate long, channels int, bits int, block_align int, data_bytes long, frames long, duration_ms long"
+_FACTS = pa.struct([("sample_rate", pa.int64()), ("channels", pa.int32()), ("bits", pa.int32()), *[(n, pa.int32() if n == "block_align" else pa.int64()) for n in ("block_align", "data_bytes", "frames", "duration_ms")]])
+
+
+def wav_facts(wav: Column) -> Column:
+    """The struct FACTS of WAV bytes, or null on any defect."""
+
+    @F.arrow_udf(FACTS)
+    def facts(data: pa.Array) -> pa.Array:
+        return pa.array([header_facts(io.BytesIO(d), len(d)) if (d := x.as_py()) else None for x in data], _FACTS)
+
+    return facts(wav)
+
+
 def wav_duration_ms(wav: Column) -> Column:
-    """Duration, or null on any defect."""
-    m = wav_metrics(wav, F.lit(None).cast("long"))
-    return F.when(m["decoded"], m["duration_ms"])
+    """Duration by all data chunks and the block align, or null on any defect."""
+    return wav_facts(wav)["duration_ms"]
+
+
+def file_facts(files: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
+    """``files`` with the struct ``facts`` (FACTS) of each WAV file, null on any defect. A task opens a file and seeks from chunk
+    to chunk, so audio bodies, of any size, are never read. Paths are URIs of file systems that Arrow opens."""
+    from pyspark.sql import types as T
+
+    out = T.StructType([*files.schema.fields, T.StructField("facts", T._parse_datatype_string(FACTS))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri, size in zip(batch[path].to_pylist(), batch[length].to_pylist()):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as stream:
+                    found.append(header_facts(stream, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FACTS)], [*batch.schema.names, "facts"])
+
+    return files.mapInArrow(walk, out)
 
 
 def mono(samples: np.ndarray, bits: int) -> np.ndarray:
@@ -110,15 +179,20 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return header + b"data" + len(body).to_bytes(4, "little") + body
 
 
-def cut_segments(wav: Column, start: Column, frames: Column) -> Column:
-    """WAV bytes of a planned segment of a recording; null if the recording is unreadable."""
+class SegmentCutter:
+    """Table function of a recording's bytes and its plan (array of segment, start, length): a row for each segment with its WAV
+    bytes, null if the recording is unreadable. A recording is decoded once, whatever the number of its segments."""
+
+    def eval(self, wav: bytes | None, plan: list) -> Iterator[tuple]:
+        found = read_wav(wav)
+        for s in plan or []:
+            yield s["segment"], None if found is None else wav_bytes(mono(found[3][s["start"] : s["start"] + s["length"]], found[2]), found[0])
 
-    @F.arrow_udf("binary")
-    def cut(data: pa.Array, first: pa.Array, count: pa.Array) -> pa.Array:
-        out = []
-        for d, s, n in zip(data.to_pylist(), first.to_pylist(), count.to_pylist()):
-            found = read_wav(d)
-            out.append(None if found is None else wav_bytes(mono(found[3][s : s + n], found[2]), found[0]))
-        return pa.array(out, pa.binary())
 
-    return cut(wav, start, frames)
+def cut_segments(recordings: DataFrame, wav: str, plan: Column) -> DataFrame:
+    """A row for each segment of each recording: all its columns but the bytes, ``segment`` and ``segment_wav``. The bytes go to
+    the table function once and are not repeated with the segments."""
+    cutter = F.udtf(SegmentCutter, returnType="segment int, segment_wav binary")
+    thin = F.transform(plan, lambda s: F.struct(s["segment"].alias("segment"), s["start"].alias("start"), s["length"].alias("length")))
+    planned = recordings.withColumn("_plan", thin)
+    return planned.lateralJoin(cutter(F.col(wav).outer(), F.col("_plan").outer())).drop(wav, "_plan")

@@ -95,9 +95,14 @@ def item_issues(build: DataFrame, manifest: DataFrame, selected: DataFrame, audi
     """(item, code) that keep a dataset from being used again: items not selected, or unlike between the build and the manifest,
     audio that is not there, differs, or that nobody expects.
 
-    ``build`` and ``manifest``: item_id, relative_audio_path, sha256, byte_length, duration_ms; ``selected``: item_id;
-    ``audio``: path, sha256, bytes.
+    ``build`` and ``manifest``: item_id, relative_audio_path, sha256, byte_length, duration_ms, and the manifest perhaps selected,
+    which must be true then; ``selected``: item_id; ``audio``: path, sha256, bytes.
     """
+    if "selected" in manifest.columns:
+        flags = manifest.select(F.lower("item_id").alias("item"), F.lower(F.col("selected").cast("string")).alias("flag"))
+        unselected = flags.where(~F.col("flag").eqNullSafe(F.lit("true"))).select("item", F.lit("item-unselected").alias("code"))
+    else:
+        unselected = None
     keyed = lambda df, p: df.select(F.lower("item_id").alias("item"), F.lit(True).alias(f"{p}in"), *[F.col(c).alias(f"{p}{c}") for c in ("relative_audio_path", "sha256", "byte_length", "duration_ms")])
     chosen = selected.select(F.lower("item_id").alias("item")).distinct().withColumn("chosen", F.lit(True))
     both = keyed(build, "b_").join(keyed(manifest, "m_"), "item", "full_outer").join(chosen, "item", "left")
@@ -112,7 +117,14 @@ def item_issues(build: DataFrame, manifest: DataFrame, selected: DataFrame, audi
     wrong = F.when(F.col("_there").isNull(), "audio-missing").when(~(F.col("sha").eqNullSafe(F.col("_sha")) & F.col("byte_length").eqNullSafe(F.col("_bytes"))), "audio-differs")
     sound = joined.select("item", wrong.alias("code")).where(F.col("code").isNotNull())
     extra = there.join(own, "_path", "left_anti").select(F.col("_path").alias("item"), F.lit("audio-unexpected").alias("code"))
-    return reduce(DataFrame.unionByName, (items, sound, extra))
+    return reduce(DataFrame.unionByName, (items, sound, extra) + ((unselected,) if unselected is not None else ()))
+
+
+def order_issues(wanted: DataFrame, found: DataFrame, item: str, place: str) -> DataFrame:
+    """(item, code) of two selections' ids, folding case, that are not the same sequence: places in which they differ."""
+    left, right = (df.select(F.lower(item).alias(name), F.col(place).alias("place")) for df, name in ((wanted, "w"), (found, "f")))
+    both = left.join(right, "place", "full_outer").where(~F.col("w").eqNullSafe(F.col("f")))
+    return both.select(F.coalesce("w", "f").alias("item"), F.lit("selection-differs").alias("code"))
 
 
 def reusable(issues: DataFrame) -> DataFrame:

@@ -68,21 +68,24 @@ def ready_item(item: dict[str, Column], entry: dict[str, Column]) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
 
-def reconcile_artifact(state: Column, previous: Column, staged: Column, final: Column, expected: tuple[Column, Column], found: tuple[Column, Column], waiting: tuple[Column, Column]) -> Column:
+def reconcile_artifact(state: Column, previous: Column, staged: Column, final: Column, expected: tuple[Column, Column], found: tuple[Column, Column], waiting: tuple[Column, Column], found_link: Column | None = None, waiting_link: Column | None = None) -> Column:
     """Struct of state, resolved and move for one file of an interrupted run.
 
     ``staged`` and ``final`` are its paths; the pairs are (length, hash) of what is expected, of the final and of the staged
-    file, null where there is no file. A staged file moves only where no final one is; then it is what was expected.
+    file, null where there is no file. A staged file moves only where no final one is; then it is what was expected. A link is
+    never what was expected, and a final one keeps the staged file from moving.
     """
+    plain = lambda link: ~F.coalesce(link, F.lit(False)) if link is not None else F.lit(True)
     there = lambda pair: pair[0].isNotNull()
     fits = lambda pair: F.coalesce(I.not_blank(expected[1]) & (pair[0] == expected[0]) & (F.lower(pair[1]) == F.lower(expected[1])), F.lit(False))
     existing = (state == "Existing") | ((previous == "VerifiedExisting") & ~I.not_blank(staged))
-    move = I.not_blank(staged) & there(waiting) & fits(waiting) & ~there(found)
+    move = I.not_blank(staged) & there(waiting) & fits(waiting) & plain(waiting_link) & ~there(found) & plain(found_link)
+    fits_found = fits(found) & plain(found_link)
     told = (
-        F.when(existing, F.when(I.not_blank(final) & fits(found), "Existing").otherwise("Failed"))
-        .when(~I.not_blank(final), "NotStarted").when(fits(found), "Committed").when(move, "Committed").otherwise("Failed")
+        F.when(existing, F.when(I.not_blank(final) & fits_found, "Existing").otherwise("Failed"))
+        .when(~I.not_blank(final), "NotStarted").when(fits_found, "Committed").when(move, "Committed").otherwise("Failed")
     )
-    return F.struct(told.alias("state"), (told != "Failed").alias("resolved"), (~existing & I.not_blank(final) & ~fits(found) & move).alias("move"))
+    return F.struct(told.alias("state"), (told != "Failed").alias("resolved"), (~existing & I.not_blank(final) & ~fits_found & move).alias("move"))
 
 
 def recovery_decision(state: Column, items: Column, resolved: Column, published: Column, journal_commit: Column) -> Column:
@@ -192,3 +195,25 @@ def accepts(artifacts: DataFrame, group: list[str], role: str, matches: Column)
     """Data sets with one contact and one media artifact, a message one at least, all of the expected shape."""
     of = lambda r: F.count_if(F.col(role) == r)
     return artifacts.groupBy(*group).agg(((of("contact") == 1) & (of("media") == 1) & (of("message") >= 1) & F.bool_and(matches)).alias("accepted"))
+
+
+#: What a project's stage is, by what is there (fixed values).
+PROJECT_STATES = ("Busy", "ValidReusable", "Stale", "Invalid", "Recoverable", "Missing")
+
+
+def project_state(document: Column, verifies: Column, account: Column, expected: Column, root: Column, commit_state: Column, recoverable: Column) -> Column:
+    """Struct of state, repairable and reusable of a project: whether its workspace document is there and verifies, for which
+    account, whether the materialized root is there, in which commit state, and whether that can be recovered.
+
+    A root being staged is busy, whatever the document says. A document that verifies is reusable, but stale if another account
+    is expected. One that doesn't verify, or is missing, is invalid and can be repaired over a completed root; without a document,
+    a root that can be recovered is. A null counts as false, an expected account of null as any.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    there, completed = true(root), true(commit_state == "Completed")
+    state = (
+        F.when(there & true(commit_state == "Staging"), "Busy")
+        .when(true(document) & true(verifies), F.when(expected.isNotNull() & ~expected.eqNullSafe(account), "Stale").otherwise("ValidReusable"))
+        .when(true(document), "Invalid").when(there & completed, "Invalid").when(there & true(recoverable), "Recoverable").when(there, "Invalid").otherwise("Missing")
+    )
+    return F.struct(state.alias("state"), ((state == "Invalid") & there & completed).alias("repairable"), (state == "ValidReusable").alias("reusable"))

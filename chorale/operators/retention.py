@@ -76,3 +76,19 @@ def duplicate_snapshots(copies: DataFrame, content: str, size: str, newest_first
     part = Window.partitionBy(content)
     placed = ranked(copies, [content], newest_first, "copy_rank").withColumns({"copies": F.count("*").over(part), "group_bytes": F.sum(size).over(part)})
     return placed.where(F.col("copies") > 1)
+
+
+#: Paths that a registry keeps (fixed value).
+REGISTERED = 100
+
+
+def registry(paths: DataFrame, part: list[str], path: str, registered_at: str, most: int = REGISTERED) -> DataFrame:
+    """Of each part the paths that stay registered: each path once, folding case, as it was last registered, the ``most`` latest."""
+    latest = paths.groupBy(*part, F.lower(path).alias("_path")).agg(F.max(F.struct(registered_at, path)).alias("_last")).select(*part, f"_last.{path}", f"_last.{registered_at}")
+    place = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(registered_at), path))
+    return latest.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def run_list(runs: DataFrame, created: str, run: str) -> DataFrame:
+    """Runs from the oldest on."""
+    return runs.orderBy(F.col(created).asc_nulls_first(), run)

@@ -55,8 +55,9 @@ def reject_reason(tests: dict[str, Column]) -> Column:
     return chain
 
 
-#: Fields in which a record must agree with the catalog that it came from (fixed values).
-PROVENANCE = ("dataset_id", "adapter_id", "adapter_family", "adapter_version", "account_id", "account_stable_id", "snapshot_id")
+#: Fields in which a record must agree with the catalog that it came from, in the order of the test; a record's stable account is
+#: the context's account (fixed values).
+PROVENANCE, CONTEXT = ("dataset_id", "adapter_id", "adapter_family", "account_stable_id", "snapshot_id", "adapter_version"), {"account_stable_id": "account_id"}
 
 
 def export_tests(r: dict[str, Column], context: dict[str, Column], guided: bool = True, conversation: Column | None = None, contact: Column | None = None, username: Column | None = None, direction: str | None = None) -> dict[str, Column]:
@@ -65,11 +66,12 @@ def export_tests(r: dict[str, Column], context: dict[str, Column], guided: bool
     A guided selection names its contact; only then must the length be known, the provenance be whole and the speaker be the
     expected one: the contact for incoming, the account for outgoing messages.
     """
-    same = lambda name: I.not_blank(r[name]) & (r[name] == context[name])
+    same = lambda name: I.not_blank(r[name]) & (r[name] == context[CONTEXT.get(name, name)])
     prints = lambda c: F.transform(c, lambda x: F.lower(x))
     whole = I.not_blank(r["source_database"]) & (F.size(r["fingerprints"]) > 0) & (prints(r["fingerprints"]) == prints(context["fingerprints"])) & I.not_blank(r["message_key"]) & I.not_blank(r["media_key"])
     for name in PROVENANCE:
         whole = whole & same(name)
+    whole = whole & I.not_blank(r["account_id"]) & (r["account_id"] == context["account_id"])
     bound = lambda own, wanted: I.not_blank(own) & (own == (wanted if wanted is not None else own))
     expected = F.when(r["direction"] == "incoming", username if username is not None else r["speaker"]).otherwise(context["account_id"])
     return {
@@ -91,7 +93,7 @@ def context_violation(r: dict[str, Column], context: dict[str, Column]) -> Colum
     if "fingerprints" in r:
         out = F.when((F.size(r["fingerprints"]) > 0) & ~prints(r["fingerprints"]).eqNullSafe(prints(context["fingerprints"])), "fingerprints").otherwise(out)
     for name in reversed([n for n in PROVENANCE if n in r]):
-        out = F.when(r[name].isNotNull() & ~r[name].eqNullSafe(context[name]), name).otherwise(out)
+        out = F.when(r[name].isNotNull() & ~r[name].eqNullSafe(context[CONTEXT.get(name, name)]), name).otherwise(out)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..storage import durable
+from .manifest import PORTABLE
 
 
 def path_key(path: Column) -> Column:
@@ -157,6 +158,74 @@ def alias_issues(stored: DataFrame, derived: DataFrame, aliases: DataFrame, alia
     return missing.unionByName(differs.select(F.col(alias).alias("path"), F.lit("manifest-alias-mismatch").alias("code")))
 
 
+def canonical(document: Column, without: tuple[str, ...] = ()) -> Column:
+    """A JSON object in one form: keys in order at every depth, without white space, nulls and the keys ``without``; null for text
+    that is no JSON object. Equal documents have equal forms, whatever the order in which they were written."""
+    value = F.try_parse_json(document)
+    fields = F.when(F.schema_of_variant(value).startswith("OBJECT"), value).cast("map<string,variant>")
+    kept = F.map_filter(fields, lambda k, v: ~F.is_variant_null(v) & ~k.isin(*without) if without else ~F.is_variant_null(v))
+    return F.array_join(F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(k, F.lit("="), F.to_json(F.element_at(kept, k)))), "\n")
+
+
+def document_issues(documents: DataFrame, manifest: str, journal: Column, namespace: str = "datasetNamespaceKey") -> DataFrame:
+    """(path, code) of a run's documents (path, role, text): the one of role ``manifest`` must be there, be a JSON object and name its
+    namespace; ``journal`` (the manifest that the journal reconstructs, as JSON) and the documents of role ``alias`` must say the same
+    but for the namespace. A missing document has a null text."""
+    roles = {"manifest": ("manifest-missing", "manifest-invalid", None), "alias": ("manifest-alias-missing", "manifest-alias-invalid", "manifest-alias-mismatch")}
+    form = canonical(F.col("text"), (namespace,))
+    told = documents.select("path", "role", "text", form.alias("form"), F.try_variant_get(F.try_parse_json("text"), f"$.{namespace}", "string").alias("namespace"))
+    own = told.where((F.col("role") == "manifest") & (F.col("path") == manifest)).select(F.col("form").alias("wanted"), F.col("namespace").alias("own_namespace"))
+    both = told.join(F.broadcast(own.limit(1)), F.lit(True), "left")  # one manifest
+    code: Column = F.lit(None).cast("string")
+    for role, (missing, invalid, mismatch) in roles.items():
+        found = F.when(F.col("text").isNull(), missing).when(F.col("form").isNull(), invalid)
+        found = found.when(F.col("wanted").isNotNull() & (F.col("form") != F.col("wanted")), mismatch) if mismatch else found
+        code = F.when(F.col("role") == role, found).otherwise(code)
+    of_manifest = (F.col("role") == "manifest") & F.col("form").isNotNull()
+    names = F.when(of_manifest & ~F.coalesce(I.not_blank(F.col("namespace")), F.lit(False)), "portable-id-namespace-missing")
+    replay = F.when(of_manifest & journal.isNotNull() & ~canonical(journal, (namespace,)).eqNullSafe(F.col("form")), "journal-manifest-mismatch")
+    return both.select("path", F.explode(F.array_compact(F.array(code, names, replay))).alias("code"))
+
+
+def commit_event_issues(journal: Column, commits: Column, descriptor_sha: Column, told_descriptor: Column, manifest_sha: Column, told_manifest: Column, rows: DataFrame) -> DataFrame:
+    """(path, code) of one-row ``rows``: whether a journal (path) is committed, and whether its last commit event binds the
+    descriptor's bytes, or in the older form, without a descriptor's hash, the manifest's."""
+    fold = lambda a, b: F.lower(a).eqNullSafe(F.lower(b))
+    code = (
+        F.when(~F.coalesce(commits, F.lit(False)), "journal-not-committed")
+        .when(I.not_blank(told_descriptor) & descriptor_sha.isNull(), "metadata-descriptor-missing").when(I.not_blank(told_descriptor) & ~fold(told_descriptor, descriptor_sha), "metadata-descriptor-hash-mismatch")
+        .when(~F.coalesce(I.not_blank(told_descriptor), F.lit(False)) & ~fold(told_manifest, manifest_sha), "manifest-hash-mismatch")
+    )
+    return rows.select(journal.alias("path"), code.alias("code")).where(F.col("code").isNotNull())
+
+
+def csv_issues(rows: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    """(path, code) of a portable CSV (``csv_rows``; line_no 0 is the header) against the manifest's portable rows, whose flags are
+    joined by ``|``. Only a header as it should be lets the rows be looked at; an empty file has none.
+
+    A line without eight fields, or of an id that an earlier line has (folding case), is invalid; the first of each id counts.
+    """
+    first = rows.agg(F.min_by(F.struct("valid", *PORTABLE), "line_no").alias("h"))
+    good = F.coalesce(F.col("h.valid") & reduce(Column.__and__, [F.col(f"h.{c}") == c for c in PORTABLE]), F.lit(False))
+    head = first.select(good.alias("good"))
+    least = F.broadcast(rows.agg(F.min("line_no").alias("_least")))
+    body = rows.join(least, F.col("line_no") > F.col("_least")).join(F.broadcast(head.where("good").select(F.lit(True).alias("_good"))), F.lit(True)).drop("_least", "_good")
+    body = body.withColumn("key", F.lower("item_id"))
+    firsts = body.where("valid").groupBy("key").agg(F.min("line_no").alias("_first"))
+    counted = body.join(firsts, "key", "left")
+    invalid = counted.where(~F.col("valid") | (F.col("line_no") != F.col("_first"))).select(F.lit("csv-row-invalid").alias("code"))
+    actual = counted.where(F.col("valid") & (F.col("line_no") == F.col("_first"))).select("key", F.struct(*PORTABLE[1:]).alias("has"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    wanted = manifest.select(F.lower("item_id").alias("key"), F.struct(*[text(c).alias(c) for c in PORTABLE[1:]]).alias("wants"))
+    both = wanted.join(F.broadcast(head.where("good").select(F.lit(True).alias("_good"))), F.lit(True)).join(actual, "key", "full_outer")
+    fold = ("sha256", "selected")
+    same = reduce(Column.__and__, [(F.lower(f"has.{c}") == F.lower(f"wants.{c}")) if c in fold else (F.col(f"has.{c}") == F.col(f"wants.{c}")) for c in PORTABLE[1:]])
+    differs = both.select(F.when(F.col("has").isNull(), "csv-row-missing").when(F.col("wants").isNull(), None).when(~same, "csv-json-mismatch").alias("code")).where("code IS NOT NULL")
+    extra = both.where("wants IS NULL").limit(1).select(F.lit("csv-row-extra").alias("code"))  # one finding for all
+    header = head.where(~F.col("good")).select(F.lit("csv-header-invalid").alias("code"))
+    return reduce(DataFrame.unionByName, (header, invalid, differs, extra)).select(F.lit(path).alias("path"), "code")
+
+
 def repair_gate(commits: Column, issues: DataFrame, code: str = "code") -> DataFrame:
     """One row: whether a repair may rebuild derived metadata. The journal must be committed and nothing be wrong."""
     counted = issues.agg(F.count("*").alias("issues"), F.count_if(F.col(code) == "artifact-missing").alias("missing"), F.count_if(F.col(code) == "artifact-extra").alias("extra"))

@@ -206,7 +206,7 @@ class Catalog:
     def _provenance(self) -> dict:
         """What all records of this catalog carry of it."""
         c = self.context
-        text = {"dataset_id": c.dataset_id, "adapter_id": c.adapter_id, "adapter_family": c.family, "adapter_version": c.adapter_version, "account_id": self.account, "account_stable_id": c.account_stable_id, "snapshot_id": c.snapshot_id, "source_database": c.source_database}
+        text = {"dataset_id": c.dataset_id, "adapter_id": c.adapter_id, "adapter_family": c.family, "adapter_version": c.adapter_version, "account_id": self.account, "account_stable_id": self.account, "snapshot_id": c.snapshot_id, "source_database": c.source_database}
         return {k: F.lit(v).cast("string") for k, v in text.items()} | {"fingerprints": F.array(*[F.lit(f) for f in c.fingerprints]).cast("array<string>")}
 
 

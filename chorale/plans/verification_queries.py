@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..operators import dataset as D
+from ..operators import manifest as M
 from ..operators import recovery as V
+from ..operators import retention as K
 from ..operators import segments as G
 from ..operators import selection as S
 from ..operators import verification as W
 from ..sources import caches as C
+from ..sources import files
 from .registry import query
 
 # Every document stands for an exported item: an original file, and for even ids a decoded one; some paths leave the root,
@@ -107,10 +110,10 @@ def q_alias_consistency(t):
 
 _ARTIFACT = """a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Existing' ELSE 'Staged' END AS state, CASE WHEN doc_id % 7 = 0 THEN 'VerifiedExisting' ELSE 'Missing' END AS previous, CASE WHEN doc_id % 3 <> 0 THEN 's/' || doc_id END AS staged,
 CASE WHEN doc_id % 13 <> 0 THEN 'f/' || doc_id END AS final, n_chars AS el, CASE WHEN doc_id % 17 <> 0 THEN upper(md5(text)) ELSE ' ' END AS es, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS fl, md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE source END) AS fs,
-CASE WHEN doc_id % 6 <> 1 THEN n_chars END AS sl, md5(CASE WHEN doc_id % 11 <> 0 THEN text ELSE source END) AS ss FROM documents)"""
+CASE WHEN doc_id % 6 <> 1 THEN n_chars END AS sl, md5(CASE WHEN doc_id % 11 <> 0 THEN text ELSE source END) AS ss, doc_id % 23 = 5 AS fk, doc_id % 19 = 3 AS sk FROM documents)"""
 
 
-@query(f"""WITH {_ARTIFACT}, b AS (SELECT *, coalesce(fl = el AND lower(es) = fs, false) AS ff, coalesce(sl = el AND lower(es) = ss, false) AND staged IS NOT NULL AS sf FROM a),
+@query(f"""WITH {_ARTIFACT}, b AS (SELECT *, coalesce(fl = el AND lower(es) = fs, false) AND NOT fk AS ff, coalesce(sl = el AND lower(es) = ss, false) AND staged IS NOT NULL AND NOT sk AND NOT fk AS sf FROM a),
 c AS (SELECT *, state = 'Existing' OR (previous = 'VerifiedExisting' AND staged IS NULL) AS e FROM b),
 d AS (SELECT *, CASE WHEN e THEN CASE WHEN final IS NOT NULL AND ff THEN 'Existing' ELSE 'Failed' END WHEN final IS NULL THEN 'NotStarted' WHEN ff THEN 'Committed' WHEN sf AND fl IS NULL THEN 'Committed' ELSE 'Failed' END AS out FROM c)
 SELECT doc_id, out AS state, out <> 'Failed' AS resolved, NOT e AND final IS NOT NULL AND NOT ff AND sf AND fl IS NULL AS move FROM d""")
@@ -118,7 +121,7 @@ def q_artifact_reconcile(t):
     i, n, text, other = F.col("doc_id"), F.col("n_chars"), F.md5("text"), F.md5("source")
     told = V.reconcile_artifact(
         F.when(i % 5 == 0, "Existing").otherwise("Staged"), F.when(i % 7 == 0, "VerifiedExisting").otherwise("Missing"), F.when(i % 3 != 0, F.concat(F.lit("s/"), i)), F.when(i % 13 != 0, F.concat(F.lit("f/"), i)),
-        (n, F.when(i % 17 != 0, F.upper(text)).otherwise(" ")), (F.when(i % 2 == 0, n), F.when(i % 4 == 0, text).otherwise(other)), (F.when(i % 6 != 1, n), F.when(i % 11 != 0, text).otherwise(other)),
+        (n, F.when(i % 17 != 0, F.upper(text)).otherwise(" ")), (F.when(i % 2 == 0, n), F.when(i % 4 == 0, text).otherwise(other)), (F.when(i % 6 != 1, n), F.when(i % 11 != 0, text).otherwise(other)), i % 23 == 5, i % 19 == 3,
     )
     return t.documents.select("doc_id", told.alias("a")).select("doc_id", "a.state", "a.resolved", "a.move")
 
@@ -196,13 +199,60 @@ def q_dataset_reuse(t):
     return D.item_issues(build, manifest, d.where(i % 4 != 0).select(F.concat(F.lit("i"), i).alias("item_id")), audio)
 
 
-@query("""WITH w AS (SELECT o_orderstatus AS link_mode, CAST(o_custkey AS VARCHAR) AS selection_fingerprint, upper(md5(o_orderpriority)) AS csv_sha256 FROM orders ORDER BY o_orderkey LIMIT 1), f AS (SELECT o_orderstatus AS link_mode, CAST(o_custkey + 1 AS VARCHAR) AS selection_fingerprint, md5(o_orderpriority) AS csv_sha256 FROM orders ORDER BY o_orderkey LIMIT 1)
-SELECT 'selection_fingerprint' AS item, 'field-differs' AS code FROM w, f WHERE w.selection_fingerprint <> f.selection_fingerprint""")
+@query("""WITH o AS (SELECT max(o_orderstatus) AS mode, sum(o_custkey)::BIGINT AS total, md5(max(o_orderpriority)) AS sha, md5(min(o_orderpriority)) AS other FROM orders),
+w AS (SELECT mode, total, upper(sha) AS csv, sha AS manifest, other AS profile, CASE WHEN total < 0 THEN 'x' END AS build FROM o), f AS (SELECT mode, total + 1 AS total, sha AS csv, other AS manifest, NULL AS profile, 'b' AS build FROM o)
+SELECT unnest(list_filter([CASE WHEN w.mode <> f.mode THEN 'link_mode' END, CASE WHEN w.total <> f.total THEN 'selection_fingerprint' END, CASE WHEN lower(w.csv) <> lower(f.csv) THEN 'csv_sha256' END, CASE WHEN w.manifest <> f.manifest THEN 'manifest_sha256' END,
+  CASE WHEN w.profile IS DISTINCT FROM f.profile THEN 'profile_sha256' END, CASE WHEN w.build IS NOT NULL THEN 'build_fingerprint' END], lambda x: x IS NOT NULL)) AS item, 'field-differs' AS code FROM w, f""")
 def q_build_fields(t):
-    row = t.orders.orderBy("o_orderkey").limit(1)
-    rest = [F.lit(None).cast("string").alias(c) for c in (*D.EXACT, *D.FOLDED) if c not in ("link_mode", "selection_fingerprint", "csv_sha256")]
-    of = lambda more, sha: row.select(F.col("o_orderstatus").alias("link_mode"), (F.col("o_custkey") + more).cast("string").alias("selection_fingerprint"), sha.alias("csv_sha256"), *rest)
-    return D.field_issues(of(0, F.upper(F.md5("o_orderpriority"))), of(1, F.md5("o_orderpriority")))
+    o = t.orders.agg(F.max("o_orderstatus").alias("link_mode"), F.sum("o_custkey").alias("total"), F.md5(F.max("o_orderpriority")).alias("sha"), F.md5(F.min("o_orderpriority")).alias("other"))
+    none = F.lit(None).cast("string")
+
+    def of(more, csv, manifest, profile, build):
+        own = {"selection_fingerprint": (F.col("total") + more).cast("string"), "csv_sha256": csv, "manifest_sha256": manifest, "profile_sha256": profile, "build_fingerprint": build}
+        return o.select("link_mode", *[own.get(c, none).alias(c) for c in (*D.EXACT, *D.FOLDED) if c != "link_mode"])
+
+    sha, other = F.col("sha"), F.col("other")
+    return D.field_issues(of(0, F.upper(sha), sha, other, none), of(1, sha, other, none, F.lit("b")))
+
+
+# A portable CSV, line 0 its header, of the documents' lines, some of them malformed, repeated, left out, changed or of nobody.
+@query("""WITH d AS (SELECT *, doc_id % 13 = 0 AS torn, doc_id % 17 = 0 AND doc_id > 1 AS again, doc_id % 19 = 0 AND doc_id > 1 AS gone FROM documents), a AS (SELECT doc_id FROM d WHERE NOT torn AND NOT again AND NOT gone), m AS (SELECT * FROM d WHERE doc_id % 23 <> 0)
+SELECT 'dataset.csv' AS path, unnest(list_concat(list_transform(range((SELECT count(*) FROM d WHERE (torn OR again) AND NOT gone)), lambda x: 'csv-row-invalid'), list_transform(range((SELECT count(*) FROM m WHERE doc_id NOT IN (SELECT doc_id FROM a))), lambda x: 'csv-row-missing'),
+  list_transform(range((SELECT count(*) FROM m JOIN a USING (doc_id) WHERE doc_id % 7 = 0)), lambda x: 'csv-json-mismatch'), CASE WHEN EXISTS (SELECT 1 FROM a WHERE doc_id % 23 = 0) THEN ['csv-row-extra'] ELSE [] END)) AS code
+UNION ALL SELECT 'other.csv', 'csv-header-invalid'""")
+def q_csv_findings(t):
+    i, d = F.col("doc_id"), t.documents
+    item = lambda of: F.concat(F.lit("i"), of.cast("string"))
+    fields = [item(i), F.concat(F.lit("original/"), i), F.md5("text"), i.cast("string"), F.col("n_chars").cast("string"), F.concat(F.lit('"a,'), "lang", F.lit('|b"')), F.lit("Eligible"), F.lit("True")]
+    line = lambda f: F.concat_ws(",", *f)
+    changed = [F.concat(F.lit("I"), i), *fields[1:2], F.upper(F.md5("text")), *fields[3:7], F.when(i % 7 == 0, "False").otherwise("true")]
+    text = F.when(i % 13 == 0, F.when(i % 2 == 0, "x,y").otherwise(F.concat(line(fields), F.lit(",more")))).when((i % 17 == 0) & (i > 1), line([F.lit("i1"), *fields[1:]])).otherwise(line(changed))
+    body = d.where((i % 19 != 0) | (i <= 1)).select((i + 1).alias("n"), text.alias("line"))
+    head = t.spark.createDataFrame([(-1, ",".join(M.PORTABLE))], "n long, line string")
+    names = dict(zip(M.PORTABLE, [*fields[:5], F.concat(F.lit("a,"), "lang", F.lit("|b")), *fields[6:]]))
+    manifest = d.where(i % 23 != 0).select(*[c.alias(n) for n, c in names.items()])
+    told = W.csv_issues(files.csv_rows(head.unionByName(body), "n", "line"), manifest, "dataset.csv")
+    return told.unionByName(W.csv_issues(files.csv_rows(body, "n", "line"), manifest, "other.csv"))
+
+
+@query("""WITH m AS (SELECT count(*) AS n FROM documents) SELECT 'manifest' AS path, 'journal-manifest-mismatch' AS code UNION ALL SELECT 'a' || doc_id, CASE doc_id % 5 WHEN 0 THEN 'manifest-alias-missing' WHEN 1 THEN 'manifest-alias-invalid' ELSE 'manifest-alias-mismatch' END FROM documents, m
+WHERE doc_id % 5 < 2 OR (doc_id % 5 = 2 AND doc_id % n <> 1)""")
+def q_document_findings(t):
+    i, n = F.col("doc_id"), t.documents.count()
+    same = F.lit(f'{{"items": {{"n": {n}, "first": 1}}, "run": "r", "none": null}}')
+    differs = F.concat(F.lit('{"run":"r","items":{"first":'), (i % n).cast("string"), F.lit(f',"n":{n}}},"datasetNamespaceKey":"x"}}'))
+    text = F.when(i % 5 == 0, None).when(i % 5 == 1, F.concat(F.lit("{"), i)).when(i % 5 == 2, differs).otherwise(same)
+    aliases = t.documents.select(F.concat(F.lit("a"), i).alias("path"), F.lit("alias").alias("role"), text.alias("text"))
+    own = t.spark.createDataFrame([("manifest", "manifest", f'{{"datasetNamespaceKey": "k", "run": "r", "items": {{"first": 1, "n": {n}}}}}')], "path string, role string, text string")
+    return W.document_issues(own.unionByName(aliases), "manifest", F.lit(f'{{"run": "r", "items": {{"first": 1, "n": {n + 1}}}}}'))
+
+
+@query("""SELECT 'j' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'journal-not-committed' WHEN doc_id % 4 = 1 AND doc_id % 5 = 0 THEN 'metadata-descriptor-missing' WHEN doc_id % 4 = 1 AND doc_id % 7 = 0 THEN 'metadata-descriptor-hash-mismatch' ELSE 'manifest-hash-mismatch' END AS code
+FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 4 = 1 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)) OR (doc_id % 4 <> 1 AND doc_id % 11 = 0)""")
+def q_commit_event(t):
+    i, sha = F.col("doc_id"), F.md5("text")
+    rows = t.documents.withColumns({"path": F.concat(F.lit("j"), i), "told": F.when(i % 4 == 1, F.when(i % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.upper(sha))).when(i % 4 == 2, " "), "there": F.when(i % 5 != 0, sha)})
+    return W.commit_event_issues(F.col("path"), i % 3 != 0, F.col("there"), F.col("told"), sha, F.when(i % 11 == 0, F.md5(F.concat("text", F.lit("y")))).otherwise(F.upper(sha)), rows)
 
 
 _SELECTION = D.Selection("ABCDEF", "profile-v1", least_ms=1000, most_bytes=9000, incoming_only=True, excluded_flags=("quality-silent", "quality-clipping"))
@@ -239,11 +289,11 @@ def _record():
     """A record's columns from an order, with something wrong for some keys, and the context of all."""
     k, text = F.col("o_orderkey"), lambda x: F.lit(x)
     wrong = lambda m, r, value, other="other": F.when(k % m == r, F.lit(other)).otherwise(F.lit(value))
-    context = {n: F.lit(n) for n in S.PROVENANCE} | {"fingerprints": F.array(F.lit("F1"))}
+    context = {n: F.lit(n) for n in (*S.PROVENANCE, "account_id") if n not in S.CONTEXT} | {"fingerprints": F.array(F.lit("F1"))}
     record = {
         "payload_state": wrong(10, 1, "Linked", "Missing"), "payload_length": F.when(k % 11 == 2, 0).otherwise(5), "locator_role": text("media"), "locator_key": wrong(12, 3, "b", " "), "locator_shard": F.when(k % 13 == 5, -1),
-        "stable_key": F.when(k % 14 != 5, "s"), "dataset_id": wrong(15, 6, "dataset_id"), "adapter_id": text("adapter_id"), "adapter_family": text("adapter_family"), "adapter_version": F.when(k % 16 != 7, "adapter_version"),
-        "account_id": text("account_id"), "account_stable_id": text("account_stable_id"), "snapshot_id": text("snapshot_id"), "source_database": text("db"), "fingerprints": F.array(wrong(17, 8, "f1", "f2")),
+        "stable_key": F.when(k % 14 != 5, "s"), "dataset_id": wrong(15, 6, "dataset_id"), "adapter_id": text("adapter_id"), "adapter_family": text("adapter_family"), "adapter_version": F.when(k % 16 != 7, wrong(21, 4, "adapter_version")),
+        "account_id": text("account_id"), "account_stable_id": wrong(20, 11, "account_id"), "snapshot_id": text("snapshot_id"), "source_database": text("db"), "fingerprints": F.array(wrong(17, 8, "f1", "f2")),
         "message_key": text("m"), "media_key": text("v"), "conversation_id": wrong(18, 9, "peer"), "contact_id": text("peer"), "direction": F.when(F.col("o_orderstatus") == "F", "incoming").otherwise("outgoing"),
         "speaker": F.when(k % 19 == 10, "other").when(F.col("o_orderstatus") == "F", "peer").otherwise("account_id"),
     }
@@ -254,7 +304,7 @@ _RECORD = """r AS (SELECT *, o_orderkey AS k, o_orderstatus = 'F' AS incoming FR
 
 
 @query(f"""WITH {_RECORD} SELECT o_orderkey, CASE WHEN k % 10 = 1 THEN 'payload-state' WHEN k % 11 = 2 THEN 'payload-empty' WHEN k % 12 = 3 OR k % 13 = 5 THEN 'payload-locator' WHEN k % 14 = 5 THEN 'source-identity'
-WHEN k % 15 = 6 OR k % 16 = 7 OR k % 17 = 8 THEN 'provenance' WHEN k % 18 = 9 THEN 'contact-identity' WHEN NOT incoming AND o_orderpriority LIKE '1%' THEN 'direction' WHEN k % 19 = 10 THEN 'speaker' END AS reason_code FROM r""")
+WHEN k % 15 = 6 OR k % 16 = 7 OR k % 17 = 8 OR k % 20 = 11 OR k % 21 = 4 THEN 'provenance' WHEN k % 18 = 9 THEN 'contact-identity' WHEN NOT incoming AND o_orderpriority LIKE '1%' THEN 'direction' WHEN k % 19 = 10 THEN 'speaker' END AS reason_code FROM r""")
 def q_eligibility(t):
     record, context = _record()
     record["direction"] = F.when((F.col("o_orderstatus") == "F") | ~F.col("o_orderpriority").startswith("1"), "incoming").otherwise("outgoing")
@@ -263,14 +313,14 @@ def q_eligibility(t):
     return t.orders.select("o_orderkey", S.reject_reason(tests).alias("reason_code"))
 
 
-@query(f"WITH {_RECORD} SELECT o_orderkey, CASE WHEN k % 19 = 10 THEN 'speaker' END AS reason_code FROM r WHERE k % 10 <> 1 AND k % 11 <> 2 AND k % 12 <> 3 AND k % 13 <> 5 AND k % 14 <> 5 AND k % 15 <> 6 AND k % 16 <> 7 AND k % 17 <> 8 AND k % 18 <> 9")
+@query(f"WITH {_RECORD} SELECT o_orderkey, CASE WHEN k % 19 = 10 THEN 'speaker' END AS reason_code FROM r WHERE k % 10 <> 1 AND k % 11 <> 2 AND k % 12 <> 3 AND k % 13 <> 5 AND k % 14 <> 5 AND k % 15 <> 6 AND k % 16 <> 7 AND k % 17 <> 8 AND k % 18 <> 9 AND k % 20 <> 11 AND k % 21 <> 4")
 def q_expected_speaker(t):
     record, context = _record()
     reason = S.reject_reason(S.export_tests(record, context, True, F.lit("peer"), F.lit("peer"), F.lit("peer")))
     return t.orders.select("o_orderkey", reason.alias("reason_code")).where(F.coalesce("reason_code", F.lit("speaker")) == "speaker")
 
 
-@query(f"WITH {_RECORD} SELECT o_orderkey, CASE WHEN k % 15 = 6 THEN 'dataset_id' WHEN k % 17 = 8 THEN 'fingerprints' END AS differs FROM r")
+@query(f"WITH {_RECORD} SELECT o_orderkey, CASE WHEN k % 15 = 6 THEN 'dataset_id' WHEN k % 20 = 11 THEN 'account_stable_id' WHEN k % 21 = 4 AND k % 16 <> 7 THEN 'adapter_version' WHEN k % 17 = 8 THEN 'fingerprints' END AS differs FROM r")
 def q_context_validation(t):
     record, context = _record()
     return t.orders.select("o_orderkey", S.context_violation(record, context).alias("differs"))
@@ -308,3 +358,32 @@ def q_segment_rejects(t):
     i = F.col("doc_id")
     found = G.plan_segments(t.documents.select("doc_id", "n_chars"), F.col("n_chars"), 100, 1050, 1000, shortest=60, supported=i % 10 != 3, readable=i % 10 != 4, rate=F.lit(48))
     return found.select("doc_id", "segment", "outcome", "duration_ms")
+
+
+_PROJECT = [
+    "event_id % 3 <> 0 AS doc", "event_id % 5 < 3 AS ok", "CASE WHEN event_id % 7 < 5 THEN 'a' || event_id % 2 END AS account", "CASE WHEN event_id % 4 <> 0 THEN 'a1' END AS wanted", "event_id % 11 <> 0 AS root",
+    "CASE event_id % 13 % 4 WHEN 0 THEN 'Staging' WHEN 1 THEN 'Completed' WHEN 2 THEN 'DatabasesCommitted' END AS commit_state", "CASE WHEN event_id % 17 <> 0 THEN event_id % 2 = 0 END AS can",
+]
+
+
+@query(f"""WITH p AS (SELECT event_id, {", ".join(_PROJECT)} FROM events), s AS (SELECT *, CASE WHEN root AND commit_state = 'Staging' THEN 'Busy' WHEN doc AND ok THEN CASE WHEN wanted IS NULL OR wanted IS NOT DISTINCT FROM account THEN 'ValidReusable' ELSE 'Stale' END
+WHEN doc THEN 'Invalid' WHEN NOT root THEN 'Missing' WHEN commit_state = 'Completed' THEN 'Invalid' WHEN can THEN 'Recoverable' ELSE 'Invalid' END AS state FROM p)
+SELECT event_id, state, state = 'Invalid' AND root AND coalesce(commit_state = 'Completed', false) AS repairable, state = 'ValidReusable' AS reusable FROM s""")
+def q_project_state(t):
+    e = t.events.selectExpr("event_id", *_PROJECT)
+    told = V.project_state(*map(F.col, ("doc", "ok", "account", "wanted", "root", "commit_state", "can")))
+    return e.select("event_id", told.alias("p")).select("event_id", "p.*")
+
+
+@query("""WITH s AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_id % 3 <> 0 AND value > 10), l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM s GROUP BY ALL), n AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL)
+SELECT n.* FROM n LEFT JOIN l USING (user_id, event_type) WHERE l.v IS DISTINCT FROM n.value""")
+def q_cache_append(t):
+    new = t.events.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    return C.to_append(t.events.where("event_id % 3 <> 0"), new, ["user_id", "event_type"], "value", "event_id", F.col("value") > 10)
+
+
+@query("""WITH l AS (SELECT o_orderstatus, lower(o_clerk) AS k, max(struct_pack(d := o_orderdate, c := o_clerk)) AS m FROM (SELECT o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN 'Path' ELSE 'PATH' END || o_custkey % 400 AS o_clerk FROM orders) GROUP BY ALL),
+r AS (SELECT o_orderstatus, m.c AS path, m.d AS registered, row_number() OVER (PARTITION BY o_orderstatus ORDER BY m.d DESC, m.c) AS place FROM l) SELECT o_orderstatus, path, registered FROM r WHERE place <= 100""")
+def q_registry_cap(t):
+    path = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Path").otherwise("PATH"), (F.col("o_custkey") % 400).cast("string"))
+    return K.registry(t.orders.select("o_orderstatus", path.alias("path"), F.col("o_orderdate").alias("registered")), ["o_orderstatus"], "path", "registered")

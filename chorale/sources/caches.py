@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timezone
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -86,6 +87,13 @@ def compact(lines: DataFrame, key: list[str], line: str, time: str, usable: Colu
     return K.latest_cache_rows(lines, key, line, time, usable, MOST_ENTRIES)
 
 
+def to_append(stored: DataFrame, new: DataFrame, key: list[str], value: str, line: str, usable: Column) -> DataFrame:
+    """The lines of ``new`` (one for each key) to append to a cache: those whose value is not that of the key's last usable line."""
+    last = stored.where(usable).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(value, line).alias("_value"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]) & F.col(value).eqNullSafe(F.col("_value"))
+    return new.join(last, same, "left_anti")
+
+
 def payload_key(stable: Column, length: Column, fingerprints: Column) -> Column:
     """Key of a payload's cached hash: the stable key, the length and the databases' fingerprints in their order."""
     return F.sha2(I.joined("|", stable, length, F.array_join(F.transform(fingerprints, lambda f: F.lower(f)), ",")), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import walk
 from ..functions import pcm
 from ..operators import recovery as V
 from ..operators import reconcile as X
@@ -19,10 +20,10 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def database_files(spark: SparkSession, root: str) -> DataFrame:
-    """``.db`` files with their roles and shards by name."""
-    name = F.element_at(F.split("path", "/"), -1)
-    role, shard = V.role_of_file(name)
-    return list_files(spark, root, "*.db").select("path", "length", role.alias("role"), shard.alias("shard")).orderBy(F.upper("path"))
+    """``.db`` files with their roles and shards by name; links are left out and not followed."""
+    files = walk.regular_files(walk.walk(spark, root), r"(?i:.*\.db)")
+    role, shard = V.role_of_file(F.element_at(F.split("path", "/"), -1))
+    return files.select("path", F.col("bytes").alias("length"), role.alias("role"), shard.alias("shard")).orderBy(F.upper("path"))
 
 
 def inventory_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -59,6 +60,25 @@ def read_journal(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return events
 
 
+_FIELDS = ", ".join(f"{c} string" for c in PORTABLE)
+
+
+def csv_rows(lines: DataFrame, line_no: str, line: str) -> DataFrame:
+    """line_no, the eight fields and ``valid`` (whether the line has eight) of CSV lines without line ends in their fields."""
+    told = F.from_csv(line, f"{_FIELDS}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"'})
+    return _csv_fields(lines.where(F.col(line) != "").select(F.col(line_no).alias("line_no"), told.alias("r")))
+
+
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``csv_rows`` of a file, whose fields may have line ends; the header is a row like the others."""
+    reader = spark.read.schema(f"{_FIELDS}, _corrupt string").options(quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    return _csv_fields(reader.csv(path).select(F.monotonically_increasing_id().alias("line_no"), F.struct("*").alias("r")))
+
+
+def _csv_fields(rows: DataFrame) -> DataFrame:
+    return rows.select("line_no", *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in PORTABLE], F.col("r._corrupt").isNull().alias("valid"))
+
+
 def read_portable_csv(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"duration_ms": "long", "byte_length": "long"}
     ddl = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in PORTABLE)
@@ -71,11 +91,16 @@ def read_document(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, root: str) -> DataFrame:
-    """WAV files with their metrics."""
+    """WAV files with their metrics, for which their samples are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
     return files.select("path", "length", pcm.wav_metrics(F.col("content"), F.lit(None).cast("long")).alias("metrics")).select("path", "length", "metrics.*")
 
 
+def read_durations(spark: SparkSession, root: str) -> DataFrame:
+    """path, length and facts (format, frames, duration) of WAV files by their chunks' heads; bodies are not read."""
+    return pcm.file_facts(list_files(spark, root, "*.wav").select("path", "length")).select("path", "length", "facts.*")
+
+
 def run_ids(listing: DataFrame) -> DataFrame:
     """Run ids in a listing's file names: the part before one of the known suffixes."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chorale.functions import identity as I
 from chorale.functions import pcm
 from chorale.operators import curation, manifest, retention, segments, selection
-from chorale.sources import files, sqlite
+from chorale.sources import caches, files, sqlite
 from chorale.streaming import journal
 
 
@@ -103,8 +103,6 @@ def test_pcm_defects_stereo_and_spark(spark):
     assert pcm.mono(np.array([[1, 2], [-1, -2]]) / 32768, 16).tolist() == [1, -1]
     df = spark.createDataFrame([(bytearray(wav(np.sin(I24 / 20) * 8000)),), (bytearray(b"x"),)], "wav binary")
     assert [r[0] for r in df.select(pcm.wav_duration_ms(F.col("wav"))).collect()] == [1000, None]
-    cut = df.select(pcm.cut_segments(F.col("wav"), F.lit(100), F.lit(50)).alias("c")).collect()
-    assert len(cut[0]["c"]) == 44 + 100 and cut[1]["c"] is None
 
 
 def test_curation(spark):
@@ -385,3 +383,53 @@ def test_journal_states_merge(spark):
             expected = "Failed" if not last else "Cancelled" if last[-1][1] == "run-cancelled" else "CompletedWithFailures" if "item-failed" in events[: last[-1][0]] else "Completed"
             assert whole.first()["status"] == expected
     assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_project_states(spark):
+    from chorale.operators import recovery
+
+    rows = [
+        ("busy", True, True, "a", "a", True, "Staging", False, "Busy", False), ("good", True, True, "a", "a", True, "Completed", False, "ValidReusable", False), ("any", True, True, "a", None, False, None, None, "ValidReusable", False),
+        ("stale", True, True, "a", "b", True, "Completed", False, "Stale", False), ("broken", True, False, None, "a", True, "Completed", True, "Invalid", True), ("broken-alone", True, None, None, None, False, None, None, "Invalid", False),
+        ("lost", False, None, None, None, True, "Completed", True, "Invalid", True), ("open", False, None, None, None, True, "DatabasesCommitted", True, "Recoverable", False), ("dead", None, None, None, None, True, None, None, "Invalid", False), ("none", False, None, None, None, False, "Staging", True, "Missing", False),
+    ]
+    df = spark.createDataFrame(rows, "n string, doc boolean, ok boolean, account string, wanted string, root boolean, state string, can boolean, expected string, repair boolean")
+    told = df.select("n", "expected", "repair", recovery.project_state(*map(F.col, ("doc", "ok", "account", "wanted", "root", "state", "can"))).alias("p")).collect()
+    assert all((r["p"]["state"], r["p"]["repairable"], r["p"]["reusable"]) == (r["expected"], r["repair"], r["expected"] == "ValidReusable") for r in told)
+
+
+def test_links_are_never_what_was_expected(spark):
+    from chorale.operators import recovery
+
+    def told(final, staged, final_link=False, staged_link=False):
+        pair = lambda x: (F.lit(1 if x else None).cast("long"), F.lit("h" if x else None).cast("string"))
+        c = recovery.reconcile_artifact(F.lit("Staged"), F.lit("Missing"), F.lit("s"), F.lit("f"), (F.lit(1), F.lit("h")), pair(final), pair(staged), F.lit(final_link), F.lit(staged_link))
+        return tuple(spark.range(1).select(c.alias("c")).first()["c"])
+
+    assert told(True, False) == ("Committed", True, False) and told(True, False, final_link=True) == ("Failed", False, False)
+    assert told(False, True) == ("Committed", True, True) and told(False, True, staged_link=True) == ("Failed", False, False) and told(False, True, final_link=True) == ("Failed", False, False)
+
+
+def test_datasets_compare_flags_and_orders(spark):
+    from chorale.operators import dataset
+
+    rows = spark.createDataFrame([("A", "p", "h", 1, 2, "True"), ("b", "q", "g", 1, 2, "False")], "item_id string, relative_audio_path string, sha256 string, byte_length long, duration_ms long, selected string")
+    audio = rows.select(F.col("relative_audio_path").alias("path"), "sha256", F.col("byte_length").alias("bytes"))
+    assert [tuple(r) for r in dataset.item_issues(rows.drop("selected"), rows, rows.select("item_id"), audio).collect()] == [("b", "item-unselected")]
+    order = lambda ids: spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, at int")
+    assert dataset.order_issues(order(["A", "b"]), order(["a", "B"]), "id", "at").count() == 0
+    assert dataset.order_issues(order(["a", "b"]), order(["b", "a", "c"]), "id", "at").count() == 3
+
+
+def test_caches_append_only_news(spark):
+    stored = spark.createDataFrame([("k", 1, 0, True), ("k", 2, 1, True), ("k", 3, 2, False), ("m", 5, 3, True), (None, 7, 4, True)], "key string, value int, line int, ok boolean")
+    new = spark.createDataFrame([("k", 2), ("m", 6), ("n", 1), (None, 7)], "key string, value int")
+    assert sorted(tuple(r) for r in caches.to_append(stored, new, ["key"], "value", "line", F.col("ok")).collect()) == [("m", 6), ("n", 1)]
+
+
+def test_registries_and_run_lists(spark):
+    paths = spark.createDataFrame([("p", f"x{i}", i) for i in range(150)] + [("p", "X3", 500), ("q", "y", 1)], "part string, path string, at int")
+    got = retention.registry(paths, ["part"], "path", "at").where("part = 'p'").collect()
+    assert len(got) == 100 and {r["path"] for r in got} == {"X3"} | {f"x{i}" for i in range(51, 150)}
+    runs = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1), ("d", None)], "run string, created int")
+    assert [r["run"] for r in retention.run_list(runs, "created", "run").collect()] == ["d", "c", "a", "b"]

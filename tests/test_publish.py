@@ -96,6 +96,7 @@ def test_recovery_refuses_changed_files(spark, outputs, tmp_path):
     document = run.stage(outputs(4), FORMATS)
     (part,) = [p for p in (tmp_path / "x" / document["staging"] / "csv").iterdir() if p.name.startswith("part")]
     part.write_text("n,x\n5,y\n")
+    (part.parent / f".{part.name}.crc").unlink()
     with pytest.raises(S.PublishError, match="staged-files-invalid"):
         run.recover()
     assert seen(spark, root) is None and run.store.read(run.transaction)["state"] == S.FAILED
