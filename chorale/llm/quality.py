@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, let
+from .common import durable, fresh, let
 
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
@@ -179,11 +179,14 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A document with fewer than 10 words, or with over a fifth of its words in repeated 5-word windows, goes; so does a
     null or empty text, and any whose posterior is below LEAST. Repeated rows share a fate; an empty table stays empty.
-    Columns of any name pass through. Texts are read twice, to estimate and to filter; nothing of them is stored between.
+    Columns of any name pass through. The rows are stored with their votes in between, so texts are judged once.
     """
-    stats = text_stats(F.col(text))
-    model = fit(docs.select(let(stats, votes).alias("v")))
-    return docs.where(let(stats, lambda s: _kept(s, model)))
+    (judged,) = fresh(docs, "_judged")
+    told = let(text_stats(F.col(text)), lambda s: F.struct(votes(s).alias("v"), base_failed(s).alias("failed")))
+    stored = durable(docs.withColumn(judged, told))
+    model = fit(stored.select(f"{judged}.v"))
+    good = posterior(F.col(f"{judged}.v"), model) if model is not None else F.lit(1.0)
+    return stored.where(~F.col(f"{judged}.failed") & (good >= LEAST)).select(*docs.columns)
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
