@@ -19,7 +19,8 @@ CHUNK = 1 << 20
 _DONE = "item string, target string, bytes long, sha256 string, outcome string"
 
 
-def _digest(files: fs.FileSystem, path: str) -> tuple[int, str]:
+def digest_of(files: fs.FileSystem, path: str) -> tuple[int, str]:
+    """Length and sha256 of a file, read in chunks."""
     size, digest = 0, sha256()
     with files.open_input_stream(path) as stream:
         while chunk := stream.read(CHUNK):
@@ -46,7 +47,7 @@ def _copy(root: str, target: str, source: str | None, payload, size: int | None,
     path = f"{base}/{target}"
     there = files.get_file_info(path)
     if there.type == fs.FileType.File and sha is not None:
-        found = _digest(files, path)
+        found = digest_of(files, path)
         same = found[1] == sha.lower() and size in (None, found[0])
         return *found, "VerifiedExisting" if same else "Conflict"
     files.create_dir(path.rpartition("/")[0], recursive=True)
@@ -60,7 +61,7 @@ def _copy(root: str, target: str, source: str | None, payload, size: int | None,
         found = digest.hexdigest()
         if (sha is not None and found != sha.lower()) or size not in (None, done):
             return done, found, "SourceMismatch"
-        if there.type == fs.FileType.File and _digest(files, path)[1] != found:
+        if there.type == fs.FileType.File and digest_of(files, path)[1] != found:
             return done, found, "Conflict"
         files.move(draft, path)
         return done, found, "Written"
@@ -118,7 +119,7 @@ def check_in_place(items: DataFrame, root: str) -> DataFrame:
                 path = f"{base}/{row['target']}"
                 if files.get_file_info(path).type != fs.FileType.File:
                     out.append((row["item"], "audio-missing"))
-                elif _digest(files, path) != (row["bytes"], (row["sha256"] or "").lower()):
+                elif digest_of(files, path) != (row["bytes"], (row["sha256"] or "").lower()):
                     out.append((row["item"], "audio-differs"))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["item", "code"])
 
