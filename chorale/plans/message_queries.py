@@ -9,6 +9,8 @@ from ..operators import association as A
 from ..operators.order import ordered_digest
 from ..operators import report as R
 from ..operators import selection as S
+from ..schemas import schema
+from .catalog import Catalog, ContactQuery, Context
 from .registry import query
 
 _MEDIA = """m AS (SELECT l_orderkey AS o_orderkey, count(*) AS n, min(l_quantity)::BIGINT AS len, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1),
@@ -59,14 +61,18 @@ def q_direction_time(t):
     return rows.groupBy(A.direction_of(F.col("o_orderstatus"), "F", "O").alias("direction")).agg(F.count("*").alias("n"), F.min(I.epoch(F.col("o_orderdate"))).alias("first_time"))
 
 
-@query("""SELECT c_name AS username, coalesce(CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_nationkey % 3 = 1 THEN ' ' || c_mktsegment END, c_name) AS display_name
-FROM customer WHERE c_name IS NOT NULL AND c_name <> '' AND c_name NOT LIKE '%7' AND (c_name ILIKE '%ER#0000%2%' OR c_mktsegment ILIKE '%build%') ORDER BY c_name LIMIT 200""")
+@query("""WITH c AS (SELECT CASE WHEN c_name LIKE '%7' THEN c_name || '@ChatRoom' ELSE c_name END AS username, CASE WHEN c_nationkey % 3 = 2 THEN '  ' END AS alias, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS remark,
+CASE WHEN c_nationkey % 3 = 1 THEN ' ' || c_mktsegment END AS nick_name FROM customer)
+SELECT username, alias, remark, nick_name, coalesce(remark, nick_name, username) AS display_name FROM c WHERE username NOT LIKE '%@ChatRoom' AND (username ILIKE '%build%' OR alias ILIKE '%build%' OR remark ILIKE '%build%' OR nick_name ILIKE '%build%') ORDER BY username LIMIT 200""")
 def q_contact_search(t):
-    c = t.customer.where(F.col("c_name").isNotNull() & (F.col("c_name") != "") & ~I.fold_ascii(F.col("c_name")).endswith("7"))
-    hit = I.fold_ascii(F.col("c_name")).like("%er#0000%2%") | F.contains(I.fold_ascii(F.col("c_mktsegment")), F.lit("build"))
     k = F.col("c_nationkey") % 3
-    shown = I.first_not_blank(F.when(k == 0, F.col("c_mktsegment")), F.when(k == 1, F.concat(F.lit(" "), "c_mktsegment")), F.when(k == 2, F.lit("  ")), F.col("c_name"))
-    return S.first_rows(c.where(hit).select(F.col("c_name").alias("username"), shown.alias("display_name")), ["username"], 200)
+    own = {
+        "id": F.col("c_custkey"), "username": F.when(F.col("c_name").endswith("7"), F.concat("c_name", F.lit("@ChatRoom"))).otherwise(F.col("c_name")), "alias": F.when(k == 2, "  "),
+        "remark": F.when(k == 0, F.col("c_mktsegment")), "nick_name": F.when(k == 1, F.concat(F.lit(" "), "c_mktsegment")),
+    }
+    contact = t.customer.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema("contact").fields])
+    none = [t.spark.createDataFrame([], schema(name)) for name in ("message_names", "messages", "media_names", "voice_info")]
+    return Catalog(contact, *none, None, Context("family", "account")).contacts(ContactQuery(search="BuILD", limit=200))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 4 AS shard, epoch(o_orderdate)::BIGINT AS sec FROM orders ORDER BY sec, CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE o_orderkey % 4 END, o_orderkey LIMIT 150""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import manifest as M
 from ..sources.files import EVENT
 
 
@@ -25,3 +26,9 @@ def failures_by_window(events: DataFrame, width: str = "5 minutes") -> DataFrame
     return events.groupBy(F.window("at", width), "run_id").agg(
         F.count_if(F.col("event") == "item-committed").alias("committed"), F.count_if(F.col("event") == "item-failed").alias("failed")
     )
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """Per run the state that a replay of its journal up to now has: the batch's mergeable state, kept by the stream and ordered by
+    the events' times. For the update and complete modes; ``manifest.judge_states`` gives the statuses of what is written."""
+    return M.journal_states(events, "run_id", "at", "event", F.col("entry"), F.col("failure"))

@@ -205,6 +205,21 @@ def test_stream_counts_every_failure(spark, tmp_path):
     assert [(r["run_id"], r["committed"], r["failed"]) for r in spark.table("failed").collect()] == [("r", 1, 3)]
 
 
+def test_stream_keeps_the_states_of_a_replay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    event = lambda kind, run, second, **more: json.dumps({"event": kind, "run_id": run, "occurred_at_utc": f"2024-01-01T00:00:{second:02}Z"} | more)
+    item, failed = {"entry": "{}"}, {"failure": {"message_id": "m", "stage": "s", "error": "e"}}
+    parts = [[event("item-committed", "r", 1, **item), event("processing-completed", "r", 3), event("item-failed", "s", 1, **failed)], [event("item-failed", "r", 4, **failed), event("item-committed", "r", 5), event("processing-completed", "s", 9)], [event("run-cancelled", "t", 2)]]
+    states = journal.run_states(journal.follow(spark, str(tmp_path / "in")))
+    q = states.writeStream.format("memory").queryName("states").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    for i, part in enumerate(parts):
+        (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(part) + "\n")
+        q.processAllAvailable()
+    q.stop()
+    got = {r["run_id"]: (r["entries"], r["failures"], r["status"]) for r in manifest.judge_states(spark.table("states"), "run_id", "Failed").collect()}
+    assert got == {"r": (1, 1, "Completed"), "s": (0, 1, "CompletedWithFailures"), "t": (0, 0, "Cancelled")}
+
+
 def test_a_bad_last_line_with_a_line_end_is_corruption(spark, tmp_path):
     good = "\n".join(lines("run-started", "item-committed"))
     for i, (text, torn) in enumerate(((good + '\n{"event": "it', True), (good + '\n{"event": "it\n', False), (good + '\n{"event": "it\n\n', False), ("{x\n" + good + '\n{"event": "it', False), (good.replace("\n", "\r\n") + "\r\n{", True))):
