@@ -20,8 +20,8 @@ from chorale.llm.quality import keep_good
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go: null and empty texts, and those without a letter. Repeated rows share a
-    fate; ties go to the more frequent language."""
+    """Documents without a determinable language go: null and empty texts, those without a letter, and those in which no language
+    has a posterior of ``langid.LEAST_SCORE`` (0.3). Repeated rows share a fate; ties go to the more frequent language."""
     return keep_identified(docs)
 
 
