@@ -147,15 +147,18 @@ def commit_issues(descriptor: DataFrame, files: DataFrame, latest: DataFrame | N
 def alias_issues(stored: DataFrame, derived: DataFrame, aliases: DataFrame, alias: str = "alias") -> DataFrame:
     """(path, code) of stored copies of a manifest that are missing or differ, as bags of rows, from the derived one.
 
-    ``aliases`` holds the names that there should be, a bounded list; ``stored`` has the alias beside the rows' fields.
+    ``aliases`` holds the names that there should be; ``stored`` has the alias beside the rows' fields. An alias says the same if
+    it has as many different rows as the derived manifest and each of them as often, so nothing is multiplied by the aliases.
     """
     fields = derived.columns
-    wanted = derived.crossJoin(F.broadcast(aliases.select(alias)))  # a handful of names
-    present = stored.select(alias).distinct()
-    missing = aliases.join(present, alias, "left_anti").select(F.col(alias).alias("path"), F.lit("manifest-alias-missing").alias("code"))
-    own, other = stored.select(alias, *fields), wanted.join(present, alias, "left_semi").select(alias, *fields)
-    differs = own.exceptAll(other).unionByName(other.exceptAll(own)).select(alias).distinct()
-    return missing.unionByName(differs.select(F.col(alias).alias("path"), F.lit("manifest-alias-mismatch").alias("code")))
+    wanted = derived.groupBy(*fields).agg(F.count("*").alias("_wanted"))
+    total = wanted.agg(F.count("*").alias("_total"))
+    own = stored.groupBy(F.col(alias).alias("_alias"), *[F.col(c).alias(f"_own{i}") for i, c in enumerate(fields)]).agg(F.count("*").alias("_stored"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_own{i}")) for i, c in enumerate(fields)])
+    counted = own.join(wanted, same, "left").groupBy("_alias").agg(F.count("*").alias("_rows"), F.count_if(F.col("_stored") == F.col("_wanted")).alias("_same"))
+    differs = counted.join(F.broadcast(total), (F.col("_rows") != F.col("_total")) | (F.col("_same") != F.col("_total")), "left_semi")  # one row
+    missing = aliases.join(stored.select(alias).distinct(), alias, "left_anti").select(F.col(alias).alias("path"), F.lit("manifest-alias-missing").alias("code"))
+    return missing.unionByName(differs.select(F.col("_alias").alias("path"), F.lit("manifest-alias-mismatch").alias("code")))
 
 
 def canonical(document: Column, without: tuple[str, ...] = ()) -> Column:

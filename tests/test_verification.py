@@ -94,3 +94,12 @@ def test_repair_gate(spark):
     sound = [("original/a", 1, "h", False), ("decoded/a", 9, "H", False)]
     for files, commits, allowed in ((sound, True, True), (sound, False, False), (sound, None, False), (sound[:1], True, False), ([*sound, ("decoded/b", 1, "h", False)], True, False)):
         assert W.repair_gate(F.lit(commits).cast("boolean"), W.artifact_issues(refs, spark.createDataFrame(files, FILE))).first()["allowed"] == allowed
+
+
+def test_aliases_are_compared_as_bags(spark):
+    derived = [("x", 1), ("x", 1), (None, 2)]
+    stored = {"same": derived[::-1], "fewer": derived[1:], "more": [*derived, ("y", 1)], "other": [("x", 1), ("x", 2), (None, 2)], "often": [*derived, derived[2]]}
+    frame = spark.createDataFrame([(k, *r) for k, rows in stored.items() for r in rows], "alias string, a string, b int")
+    names = spark.createDataFrame([(k,) for k in [*stored, "absent"]], "alias string")
+    got = {r["path"]: r["code"] for r in W.alias_issues(frame, spark.createDataFrame(derived, "a string, b int"), names).collect()}
+    assert got == {"absent": "manifest-alias-missing"} | {k: "manifest-alias-mismatch" for k in ("fewer", "more", "other", "often")}
