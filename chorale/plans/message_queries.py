@@ -161,6 +161,11 @@ def q_item_pseudonym(t):
     return t.orders.select("o_orderkey", I.item_id(_key(), b"an example of a key").alias("item_id"))
 
 
+@query(f"SELECT o_orderkey, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(k)))) AS item_id FROM (SELECT o_orderkey, {_KEY} AS k FROM orders)")
+def q_item_pseudonym_by_column(t):
+    return t.orders.select("o_orderkey", I.item_id_by(_key(), F.lit(b"an example of a key".hex())).alias("item_id"))
+
+
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) || chr(10) || o_orderstatus || chr(10) || CAST(o_custkey AS VARCHAR) || chr(10) AS line, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS part FROM orders),
 p AS (SELECT o_custkey, part, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS d, count(*) AS n FROM l GROUP BY 1, 2),
 q AS (SELECT o_custkey, part // 4 AS part, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d, sum(n) AS n FROM p GROUP BY 1, 2)

@@ -452,3 +452,10 @@ def test_registries_and_run_lists(spark):
     assert len(got) == 100 and {r["path"] for r in got} == {"X3"} | {f"x{i}" for i in range(51, 150)}
     runs = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1), ("d", None)], "run string, created int")
     assert [r["run"] for r in retention.run_list(runs, "created", "run").collect()] == ["d", "c", "a", "b"]
+
+
+def test_item_ids_by_a_key_column(spark):
+    keys = ["00" * 16, "ab" * 64, "cd" * 65, "EF" * 20, "00" * 15, "zz" * 16, None]
+    df = spark.createDataFrame([(i, k, f"stabil-é-{i}") for i, k in enumerate(keys)], "i int, k string, s string")
+    got = [r["id"] for r in df.select("i", I.item_id_by(F.col("s"), F.col("k")).alias("id")).orderBy("i").collect()]
+    assert got == [hmac.new(bytes.fromhex(k), f"stabil-é-{i}".encode(), sha256).hexdigest() if i < 4 else None for i, k in enumerate(keys)]
