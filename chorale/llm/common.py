@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable, shared_folder  # noqa: F401  (the operators take them from here)
+
 #: Bytes up to which a side of a join may be broadcast, at so many for a row; beyond it the join shuffles.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 100
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Where it is unset, a folder of our own serves in local mode only; on a cluster no other machine would see it, so that
-    is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='chorale-')}")
-    return context.getCheckpointDir()
+def freed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function after which memory that it has freed goes back to the machine: Python workers outlive their tasks, and
+    what one stage needed would stay with them through the next ones."""
 
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

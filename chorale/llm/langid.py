@@ -16,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from xxhash import xxh3_64_intdigest
 
-from .common import fresh, id_remainder
+from .common import freed, fresh, id_remainder
 
 #: Labelled documents to learn from: each language has an equal share, of which it uses all its documents or, of more, a
 #: sample expected to fill the share. All languages are kept; labels of more than LANGUAGES are refused.
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     rates = [(r["l"], max(int(share(r) * (1 << 30)), r["h"] + 1)) for r in counted]
     sample = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "l string, below long")), "l").where("h < below")
     words = sample.select("l", F.explode(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("l", "g").agg(F.count("*").alias("c"))
-    every = words.mapInArrow(_cut, "l string, n int, k long, c long").groupBy("l", "n", "k").agg(F.sum("c").alias("c"))
+    every = words.mapInArrow(freed(_cut), "l string, n int, k long, c long").groupBy("l", "n", "k").agg(F.sum("c").alias("c"))
     rows = every.toArrow().combine_chunks()  # the words and n-grams of the sample
     n_of, key, count = rows["n"].to_numpy(), rows["k"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     code = pc.index_in(rows["l"], pa.array(langs, pa.string())).to_numpy()
@@ -240,11 +241,13 @@ def _judged(docs: DataFrame, model: dict | None, text: str, lang: str, doc_id: s
     (found,) = fresh(docs, "_found")
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    @F.arrow_udf("lang_pred string, score double")
-    def predict(texts: pa.Array) -> pa.Array:
+    @freed
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(shared.value)
-        return pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()))) for t in texts], kind)
+        for texts in batches:
+            yield pa.array([dict(zip(("lang_pred", "score"), scorer.predict(t.as_py()))) for t in texts], kind)
 
+    predict = F.arrow_udf(judge, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(found, predict(F.col(text))), found
 
 
@@ -267,15 +270,16 @@ def lang_digest(docs: DataFrame) -> DataFrame:
     return identify(thin).select("doc_id", (id_remainder("doc_id", FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
 
-#: Smallest score of a document that the pipeline keeps.
+#: Smallest score of a document that the pipeline keeps: below it no language has a third of the posterior.
 LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is determined, with all their columns as they were; ``lang`` is only learned from.
 
-    Null texts, and texts without a letter, go; repeated rows share a fate; an empty table stays empty. Columns of any
-    name, ``score`` and ``lang_pred`` too, pass through.
+    Null texts, and texts without a letter, go, as do those whose score is below LEAST_SCORE; repeated rows share a fate; an
+    empty table stays empty. Very long texts and unbroken runs are judged whole, in time linear in their length. Columns of
+    any name, ``score`` and ``lang_pred`` too, pass through.
     """
     judged, found = _judged(docs, None, "text", "lang", "doc_id")
     return judged.where((F.col(f"{found}.lang_pred") != UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_SCORE)).select(*docs.columns)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import freed
 from .tokencount import vocabulary_path
 
 #: Ranks of the vocabulary ``byte_bpe_50k.json``; the ids are those of that file.
@@ -217,4 +218,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
             yield batch()
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, out)
+    return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(freed(run), out)
