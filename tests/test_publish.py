@@ -176,3 +176,23 @@ def test_datasets_are_built_and_repaired(spark, tmp_path, monkeypatch):
         P.repair_dataset(S.Run(spark, root, "three"), built, root, made)
     with pytest.raises(S.PublishError, match="not expected"):
         P.repair_dataset(S.Run(spark, root, "three"), built.where("item <> 'i3'"), root, made, audio)
+
+
+def test_profiles_come_back_as_they_were_saved(spark, tmp_path):
+    from chorale.operators.dataset import Selection
+    from chorale.sinks import profiles
+
+    root = f"file://{tmp_path}/profiles"
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "item_id string")
+    selection = Selection("ABC", "v1", least_ms=5, excluded_flags=("x", "y"))
+    saved = profiles.save_profile(S.Run(spark, root, "p1"), selection, ids(["I2", " i1 ", "i2"]), "item_id", ids(["I1"]))
+    loaded, items, representatives, fingerprint = profiles.load_profile(spark, root)
+    assert loaded == selection and fingerprint == saved and sorted(r["id"] for r in items.collect()) == ["i1", "i2"] and [r["id"] for r in representatives.collect()] == ["i1"]
+    assert profiles.profile_fits(loaded, items, "abc", ids(["I1", "i2"])).count() == 0
+    assert sorted(tuple(r) for r in profiles.profile_fits(loaded, items, "abd", ids(["I1"])).collect()) == [("i2", "profile-item-unknown"), ("manifest", "profile-manifest-mismatch")]
+    run = S.Run(spark, root, "p2")
+    head = spark.createDataFrame([('{"manifest_sha256": "abc", "profile_version": "v1", "excluded_flags": []}', fingerprint)], "selection string, fingerprint string")
+    run.publish({"selection": head, "items": items, "representatives": representatives})
+    with pytest.raises(S.PublishError, match="profile-invalid"):
+        profiles.load_profile(spark, root)
+    assert profiles.load_profile(spark, root, "p1")[3] == saved
